@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import lookalikes, tokenize
+from docmill.llm import batch_dedup, langid, lookalikes, tokenize
 from docmill.runtime import table
 
 
@@ -20,14 +20,31 @@ def p4_normalized_names(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.one_form(table(spark, d, "history").select("id", "contractor_name"), ["contractor_name"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return batch_dedup.already_there(spark, table(spark, d, "history"), table(spark, d, "inbox"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return langid.unnamed(docs, langid.fit(docs))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return langid.documents(docs, langid.fit(docs))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return langid.segments(docs, langid.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p4_found": p4_found,
-    "p4_normalized_names": p4_normalized_names,
-    "p7_ids": p7_ids,
+    f.__name__: f for f in (p4_found, p4_normalized_names, p6_found, p7_ids, p9_found, p9_documents, p9_segments)
 }
 
 SQL: dict[str, str] = {}
