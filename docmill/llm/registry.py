@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import batch_dedup, langid, lookalikes, tokenize
+from docmill.llm import batch_dedup, langid, lookalikes, near_dup, tokenize
 from docmill.runtime import table
 
 
@@ -20,6 +20,10 @@ def p4_normalized_names(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.one_form(table(spark, d, "history").select("id", "contractor_name"), ["contractor_name"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.alike_pages(table(spark, d, "ocr_cache")).unionByName(near_dup.alike_numbers(table(spark, d, "history")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return batch_dedup.already_there(spark, table(spark, d, "history"), table(spark, d, "inbox"))
 
@@ -44,7 +48,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_normalized_names, p6_found, p7_ids, p9_found, p9_documents, p9_segments)
+    f.__name__: f for f in (p4_found, p4_normalized_names, p5_found, p6_found, p7_ids, p9_found, p9_documents, p9_segments)
 }
 
 SQL: dict[str, str] = {}

@@ -43,7 +43,7 @@ def brute(history, inbox):
     out = {}
     for i, (item, name, h) in enumerate(inbox):
         before = history + [x for x in inbox if x[0] < item]
-        if h and any((y or "").lower() == h.lower() for _, _, y in before):
+        if (h or "").strip() and any((y or "").lower() == h.lower() for _, _, y in before):
             out[item] = "same"
             continue
         d, f = B.name_key(name)
