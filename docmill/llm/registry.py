@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import batch_dedup, langid, lookalikes, near_dup, tokenize
+from docmill.llm import batch_dedup, langid, lookalikes, names, near_dup, tokenize
 from docmill.runtime import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_contractor(table(spark, d, "history"))
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    return names.members(table(spark, d, "history"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pages = lookalikes.odd_texts(table(spark, d, "ocr_cache"), "page_hash", "text", "ocr_cache.text")
     names = lookalikes.odd_texts(table(spark, d, "history"), "id", "contractor_name", "history.contractor_name")
@@ -48,7 +56,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_normalized_names, p5_found, p6_found, p7_ids, p9_found, p9_documents, p9_segments)
+    f.__name__: f for f in (p3_found, p3_members, p4_found, p4_normalized_names, p5_found, p6_found, p7_ids, p9_found, p9_documents, p9_segments)
 }
 
 SQL: dict[str, str] = {}
