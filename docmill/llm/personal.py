@@ -29,7 +29,7 @@ from docmill.runtime import cut, prepare
 ROUNDS, ACCEPT, SMOOTH = 4, 0.6, 1.5
 
 _DROP = set(map(chr, lookalikes.INVISIBLE)) | {"̆", "̈", "́"}
-_TO_PLAIN = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(c): " " for c in lookalikes.SPACES} | {"−": "-", "‐": "-", "¬": "-"}
+_TO_PLAIN = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(c): " " for c in lookalikes.SPACES} | {"−": "-", "‐": "-", "¬": "-", "–": "-"}
 _SPECIAL = re.compile("[" + "".join(map(re.escape, [*_DROP, *_TO_PLAIN])) + "]")
 
 
@@ -64,17 +64,17 @@ PERSON_TAX = re.compile(rf"{D1}(?<![\w.,/+-].){D}{{11}}(?!\w)")
 _CAP = r"[А-ЯЁA-Z][а-яёa-z|!*0-9]*(?:-[ \t]*\n[ \t]*[а-яё]+)?[а-яёa-z]*"
 _TOWN = rf"(?:г(?:ор)?\.\s*{_CAP}|{_CAP})"
 _KIND = r"(?:ул|пер|пр-т|просп|пр|б-р|бул|наб|ш|пл|туп|проезд|улица|переулок|проспект|бульвар|шоссе|набережная|площадь|тупик|аллея)"
-_HOUSE = rf"(?:,?\s*(?:д|дом|владение|вл|зд)\.?\s*)?,?\s*{D1}{D}{{0,3}}(?!\d)"
+_HOUSE = rf"(?:,?\s*(?:д|дом|владение|вл|зд)\.?\s*)?,?\s*(?:{D1}{D}{{0,3}}(?!\d)|владе-)"
 ADDRESS = re.compile(
     rf"(?<![\w-])(?:(?P<post>{D}{{6}}),?\s+)?(?:(?P<region>{_CAP}\s+(?:край|обл\.|область|респ\.|республика|район|р-н)),?\s+)?(?:(?P<town>{_TOWN}),?\s+)?"
     rf"(?:{_KIND}\.?\s+{_CAP}(?:\s{_CAP})?{_HOUSE}|{_CAP}\s+(?:проезд|переулок|проспект|бульвар|тупик|шоссе|улица|ул\.|пер\.|аллея|набережная){_HOUSE})"
 )
-ADDRESS_EN = re.compile(rf"{D1}(?<![\w/.-].){D}{{0,3}}(?:/{D}{{1,4}})?,?\s+[A-Z][\w|!*]+\s+(?:Lane|Street|Avenue|Road|Square|Drive|St\.|Ave\.)(?!\w)")
+ADDRESS_EN = re.compile(rf"{D1}(?<![\w/.-].){D}{{0,3}}(?:/{D}{{1,4}})?,?\s+[A-Z][\w|!*]+\s+(?:Lane|Street|Avenue|Road|Square|Drive|St\.|Ave\.)(?!\w)|(?<!\w)[A-Z][\w|!*]+\s+(?:ul|per|pr-t|pr|proezd|pereulok|ulitsa)\.?,?\s+(?:d\.\s*)?[0-9]|(?<!\w)(?:ul|per|pr-t|pr)\.\s*[A-Z][\w|!*]+,?\s+(?:d\.\s*)?[0-9]")
 
-_STREET = re.compile(r"(?<!\w)(?:ул|пер|пр-т|просп|пр|б-р|бул|наб|ш|пл|туп|проезд|улица|переулок|проспект|бульвар|шоссе|набережная|площадь|тупик|аллея)(?!\w)|Lane|Street|Avenue|Road|Square|Drive|\sSt\.|\sAve\.")
+_STREET = re.compile(r"(?<!\w)(?:ул|пер|пр-т|просп|пр|б-р|бул|наб|ш|пл|туп|проезд|улица|переулок|проспект|бульвар|шоссе|набережная|площадь|тупик|аллея)(?!\w)|Lane|Street|Avenue|Road|Square|Drive|(?<!\w)(?:ul|per|pr-t|pr)\.|(?<!\w)(?:proezd|pereulok|ulitsa)(?!\w)|\sSt\.|\sAve\.")
 
 _W = r"[А-ЯЁ][А-ЯЁа-яё|!*0-9]*(?:-[ \t]*\n[ \t]*[а-яёА-ЯЁ]+)?[а-яёА-ЯЁ]*|[A-Z][A-Za-z|!*0-9]*(?:-[ \t]*\n[ \t]*[a-z]+)?[a-z]*"
-TOKENS = re.compile(rf"[A-ZА-ЯЁ](?<![\w-].)(?:(?<=(.))(?=[\w.|!*-])|(?=\.))[^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?(?:[ \t]*\n?[ \t]*[A-ZА-ЯЁ][^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?){{1,4}}")
+TOKENS = re.compile(rf"[A-ZА-ЯЁ](?<![\w-].)(?:(?<=(.))(?=[\w.|!*-])|(?=\.))[^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?(?:,?[ \t]*\n?[ \t]*[A-ZА-ЯЁ][^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?){{1,4}}")
 TOKEN = re.compile(rf"(?:{_W})\.?")
 _PATRONYMIC = re.compile(r"(?:[оеё]вич|ьич|ич)(?:а|у|ем|ом|е)?$|(?:[оеё]вн|ичн|иничн)(?:а|ы|е|у|ой|ою)$|(?:ovich|evich|ovna|evna|ichna)$", re.I)
 _FAMILY = re.compile(r"(?:[оеё]в|[иы]н)(?:а|у|ым|е|ой|ою|ы)?$|(?:ск|цк)(?:ий|ого|ому|им|ая|ой|ую)$|(?:enko|ov|ev|yov|in|yn|ova|eva|yova|ina|yna|sky|skaya)$|(?:енко|чук|юк)$", re.I)
@@ -86,6 +86,8 @@ def _join(word: str) -> str:
 
 def _class(token: str) -> str:
     """I initial, P patronymic, S family name, W any other word."""
+    if token in "|,":
+        return token
     word = _join(token)
     if len(word.rstrip(".")) == 1:
         return "I" if word.endswith(".") else "X"
@@ -98,27 +100,36 @@ def _class(token: str) -> str:
 
 
 #: Orders of a name's parts, the longest first; F is a W that stands for a given name.
-_ORDERS = ("SWP", "WPS", "SSP", "SPS", "SII", "IIS", "WIS", "SI", "IS", "WS", "SW", "WP")
+_ORDERS = ("SWP", "WPS", "SSP", "SPS", "SII", "IIS", "WIS", "SI", "IS", "S,W", "WS", "SW", "WP", "SS")
 
 
 def _names(text: str):
     """(start, end, proved, given name) of each stretch of capitalised words that may be a name."""
     for m in TOKENS.finditer(text):
-        tokens = [(m.start() + t.start(), m.start() + t.end(), t.group()) for t in TOKEN.finditer(m.group())]
+        tokens = []
+        last = 0
+        for t in TOKEN.finditer(m.group()):
+            if "," in m.group()[last : t.start()]:
+                tokens.append((0, 0, ","))
+            last = t.end()
+            tokens.append((m.start() + t.start(), m.start() + t.end(), t.group()))
+            if len(t.group()) > 2 and t.group().endswith("."):
+                tokens.append((0, 0, "|"))  # the end of a sentence
         at = 0
         classes = "".join(_class(t[2]) for t in tokens)
         while at < len(tokens):
             for order in _ORDERS:
-                if classes.startswith(order, at) and not any(tokens[at + k][2].endswith(".") and order[k] in "SWP" and k < len(order) - 1 for k in range(len(order))):
+                if classes.startswith(order, at):
                     # a role before a name is a W too: of W S W, W S I and W W S the first W isn't part of it
                     if order == "WS" and classes[at + 2 : at + 3] in ("W", "I", "P", "S"):
                         continue
                     span = tokens[at : at + len(order)]
                     given = next((_join(span[k][2]).rstrip(".").lower() for k in range(len(order)) if order[k] == "W"), "")
-                    if order in ("SSP", "SPS"):
-                        given = _join(span[1][2]).lower()
+                    if order in ("SSP", "SPS", "SS"):
+                        given = _join(span[order != "SS"][2]).lower()
                     proved = order in ("SWP", "WPS", "SSP", "WP", "SPS")
-                    yield span[0][0], span[-1][1], proved, order, given
+                    end = span[-1][1] - (order[-1] != "I" and span[-1][2].endswith("."))
+                    yield span[0][0], end, proved, order, given
                     at += len(order)
                     break
             else:
@@ -147,7 +158,7 @@ def instances(text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
         taken.append((a, b))
         words = _left(plain, a)
         shape = extra[0].split("-")[0] if kind == "identity" else kind
-        pats = [f"{shape}<{w}" for w in (" ".join(words[-2:]), " ".join(words[-1:])) if w] + [f"{kind}:{e}" for e in extra if e]
+        pats = [f"{shape}<{w}" for w in (" ".join(words[-2:]), " ".join(words[-1:])) if w] + [f"{kind}:{e}" for e in extra if e and not e.endswith(("-plain", "-other"))]
         lo, hi = (a, b - 1) if raw is None else (raw[a], raw[b - 1])
         out.append((kind, lo + 1, hi + 1, seed, pats))
 
@@ -166,12 +177,12 @@ def instances(text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
         if sum(c.isdigit() for c in m.group()) >= 9:
             digits = m.group().translate(_AS_DIGIT)
             ok = digits.isdigit() and sound(digits)
-            add("identity", m.start(), m.end(), 0.9 if ok else 0.0, ["tax-sound" if ok else "tax"])
+            add("identity", m.start(), m.end(), 0.9 if ok else 0.0, ["tax-sound" if ok else "tax-other"])
     for m in PASSPORT.finditer(plain):
         if sum(c.isdigit() for c in m.group()) >= 7:
             sure = re.search(r"(?i)па[сc]п[оo]рт|passport", plain[max(0, m.start() - 30) : m.start()])
             marked = re.search(r"№|номер|no", m.group())
-            add("identity", m.start(), m.end(), 0.95 if sure else 0.0, ["passport-marked" if marked else "passport"])
+            add("identity", m.start(), m.end(), 0.95 if sure else 0.0, ["passport-marked" if marked else "passport-plain"])
     for near in _STREET.finditer(plain):
         pattern = ADDRESS_EN if near.group().isascii() else ADDRESS
         for m in pattern.finditer(plain, max(0, near.start() - 90), near.end() + 60):

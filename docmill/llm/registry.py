@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import batch_dedup, langid, lookalikes, names, near_dup, personal, tokenize
+from docmill.llm import batch_dedup, langid, lookalikes, names, near_dup, personal, scan_noise, tokenize
 from docmill.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.find(table(spark, d, "ocr_cache"), table(spark, d, "scan_pages"))
+
+
+def p1_running_text(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.running_text(table(spark, d, "ocr_cache"), table(spark, d, "scan_pages"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.find(table(spark, d, "ocr_cache")).select("page_hash", "kind", "start_pos")
 
@@ -64,7 +72,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_members, p4_found, p4_normalized_names, p5_found, p6_found, p7_ids, p9_found, p9_documents, p9_segments)
+    f.__name__: f for f in (p1_found, p1_running_text, p2_found, p2_redacted, p3_found, p3_members, p4_found, p4_normalized_names, p5_found, p6_found, p7_ids, p9_found, p9_documents, p9_segments)
 }
 
 SQL: dict[str, str] = {}
