@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import batch_dedup, langid, lookalikes, names, near_dup, personal, scan_noise, tokenize
+from docmill.llm import batch_dedup, langid, lookalikes, mixing, names, near_dup, personal, scan_noise, tokenize
 from docmill.runtime import table
 
 
@@ -56,6 +56,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return langid.unnamed(docs, langid.fit(docs))
@@ -72,7 +80,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_running_text, p2_found, p2_redacted, p3_found, p3_members, p4_found, p4_normalized_names, p5_found, p6_found, p7_ids, p9_found, p9_documents, p9_segments)
+    f.__name__: f for f in (p1_found, p1_running_text, p2_found, p2_redacted, p3_found, p3_members, p4_found, p4_normalized_names, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)
 }
 
 SQL: dict[str, str] = {}
