@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from pathlib import Path
@@ -28,7 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, in which lineage is cut."""
+    return prepare(spark).sparkContext.getCheckpointDir()
+
+
+_tables: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder; survives the loss of executors."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by a table written to the shared folder; survives the loss of executors, and is smaller
+    than a checkpoint. Tables are removed when the process ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _tables.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _tables:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone
+            return
