@@ -36,7 +36,7 @@ def lines_as_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Lines "no name code quantity unit price" of a text as a table: array<array<string>> rows."""
     pattern = r"^\s*(\d{1,4}) (.+?) (\d{3}) (\d+) (\S+) ([\d ]*\d[.,]\d\d)$"
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern))
-    row = lambda x: F.transform(F.array(*map(F.lit, range(1, 7))), lambda i: F.regexp_extract(x, F.lit(pattern), i))
+    row = lambda x: F.array(*[F.regexp_extract(x, pattern, i) for i in range(1, 7)])
     return docs.select(key, F.transform(lines, row).alias("rows")).where(F.size("rows") > 0)
 
 

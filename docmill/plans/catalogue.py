@@ -1,4 +1,4 @@
-"""Named queries over the reference's operators and the SQL that gives the same rows."""
+"""Named queries over the core operators and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,12 +7,505 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.runtime import table
+from docmill.functions import text as tx
+from docmill.functions import values as vl
+from docmill.operators import classify, extract, history, quality, reconcile, tables
+from docmill.runtime import prepare, shared_folder, table
+from docmill.sources import files
+from docmill.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- pieces of SQL ----------------------------------------------------------------------------------
+
+_SP = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WD = r"\p{L}\p{N}_"
+
+
+def _norm(c: str) -> str:
+    lower = f"translate(lower({c}), 'ёЁ', 'еЕ')"
+    return rf"trim(regexp_replace(regexp_replace({lower}, '[{_SP}]+', ' ', 'g'), '[^{_WD}{_SP}.,\-+()\[\]{{}}/\\=:;]', ' ', 'g'), ' ')"
+
+
+def _norm_cls(c: str) -> str:
+    return rf"regexp_replace({_norm(c)}, '[^{_WD}{_SP}.,\-+]', '', 'g')"
+
+
+def _collapse(c: str) -> str:
+    return f"trim(regexp_replace({c}, '[{_SP}]+', ' ', 'g'), ' ')"
+
+
+def _score_sql(text: str, kw: int, pat: int, exc: int) -> str:
+    """struct list of (score, type) in the order of the signatures."""
+    out = []
+    for kind, s in classify.SIGNATURES.items():
+        terms = [f"{kw} * contains({text}, '{t}')::int" for t in dict.fromkeys(s["keywords"])]
+        terms += [f"{pat} * regexp_matches({text}, '{t}')::int" for t in dict.fromkeys(s["patterns"])]
+        terms += [f"-{exc} * contains({text}, '{t}')::int" for t in dict.fromkeys(s["exclude"])]
+        out.append(f"{{'score': greatest(0, {' + '.join(terms)}), 'type': '{kind}'}}")
+    return f"[{', '.join(out)}]"
+
+
+_BEST = "list_max(list_transform(s, lambda x: x.score))"
+_CLASSIFIED = f"""
+  SELECT doc_id, CASE WHEN top > 0 THEN list_filter(s, lambda x: x.score = top)[1].type ELSE 'unknown' END AS doc_type, top AS rule_score,
+         CASE WHEN top > 0 THEN top::double / list_sum(list_transform(s, lambda x: x.score)) ELSE 0.0 END AS confidence
+  FROM (SELECT doc_id, s, {_BEST} AS top FROM (SELECT doc_id, {_score_sql('t', 1, 2, 1)} AS s FROM (SELECT doc_id, coalesce({_norm_cls('text')}, '') AS t FROM documents)))
+"""
+
+
+def _inn_sql(c: str) -> str:
+    def control(weights, d="d"):
+        return "(((" + " + ".join(f"substr({d}, {i + 1}, 1)::int * {w}" for i, w in enumerate(weights)) + ") % 11) % 10)"
+
+    return f"""(SELECT CASE WHEN {c} IS NULL THEN NULL WHEN length(d) = 10 THEN {control(vl.W10)} = substr(d, 10, 1)::int
+       WHEN length(d) = 12 THEN {control(vl.W11)} = substr(d, 11, 1)::int AND {control(vl.W12)} = substr(d, 12, 1)::int ELSE false END
+       FROM (SELECT regexp_replace({c}, '[^0-9]', '', 'g') AS d))"""
+
+
+# --- text -------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_norm('text')} AS norm FROM documents")
+def text_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.normalize(F.col("text")).alias("norm"))
+
+
+@query(f"SELECT doc_id, {_norm_cls('text')} AS norm FROM documents")
+def text_normalize_for_classification(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.normalize_for_classification(F.col("text")).alias("norm"))
+
+
+@query("SELECT page_hash, ts, " + _collapse("translate(text, '«»„−–—', '\"\"\"---')") + " AS norm FROM ocr_cache")
+def text_normalize_for_ocr(spark, d):
+    return table(spark, d, "ocr_cache").select("page_hash", "ts", tx.normalize_for_ocr(F.col("text")).alias("norm"))
+
+
+@query(f"SELECT page_hash, ts, {_collapse('text')} AS clean FROM ocr_cache")
+def text_clean_whitespace(spark, d):
+    return table(spark, d, "ocr_cache").select("page_hash", "ts", tx.collapse(F.col("text")).alias("clean"))
+
+
+@query("SELECT page_hash, ts, replace(replace(translate(text, '“”«»–—', '\"\"\"\"--'), '  ', ' '), chr(9), ' ') AS clean FROM ocr_cache")
+def text_clean_ocr(spark, d):
+    return table(spark, d, "ocr_cache").select("page_hash", "ts", tx.clean_ocr_text(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT page_hash, ts, trim(regexp_replace(lower(regexp_replace(text, '[{_SP}]+', ' ', 'g')), '[^{_WD}{_SP}]', '', 'g'), ' ') AS norm FROM ocr_cache")
+def text_normalize_for_comparison(spark, d):
+    return table(spark, d, "ocr_cache").select("page_hash", "ts", tx.normalize_for_comparison(F.col("text")).alias("norm"))
+
+
+@query(
+    r"""SELECT id, CASE WHEN coalesce(safe, '') = '' THEN 'unnamed_file' WHEN length(safe) > 200 THEN substr(safe, 1, 190) || regexp_extract(safe, '(\.[^.]*)$', 1) ELSE safe END AS safe,
+    coalesce(length(f) BETWEEN 1 AND 255 AND NOT regexp_matches(f, '[<>:"/\\|?*\x00-\x1f]') AND upper(regexp_extract(f, '^([^.]*)', 1)) NOT IN ('CON','PRN','AUX','NUL','COM1','COM2','COM3','COM4','COM5','COM6','COM7','COM8','COM9','LPT1','LPT2','LPT3','LPT4','LPT5','LPT6','LPT7','LPT8','LPT9'), false) AS valid
+    FROM (SELECT id, original_path || '?' AS p, original_filename AS f, regexp_replace(regexp_replace(regexp_replace(original_path || '?', '^.*[/\\]', ''), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS safe FROM history)"""
+)
+def filename_sanitize(spark, d):
+    return table(spark, d, "history").select("id", tx.sanitize_filename(F.concat("original_path", F.lit("?"))).alias("safe"), tx.valid_filename(F.col("original_filename")).alias("valid"))
+
+
+@query("SELECT p.page_hash, p.page_no, md5(p.file_hash) AS md5, sha256(p.file_hash || p.page_no::varchar) AS sha FROM scan_pages p")
+def content_hashes(spark, d):
+    p = table(spark, d, "scan_pages")
+    return p.select("page_hash", "page_no", tx.content_md5(F.col("file_hash")).alias("md5"), tx.page_sha256(F.col("file_hash"), F.col("page_no")).alias("sha"))
+
+
+@query(
+    """WITH w AS (SELECT document, ts, coalesce(original_type, '') AS a, coalesce(correct_type, '') AS b FROM feedback),
+    v AS (SELECT *, list_distinct(string_split(a, '')) AS x, list_distinct(string_split(b, '')) AS y FROM w)
+    SELECT document, ts, a AS original_type, b AS correct_type, round(CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE
+      0.7 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) + 0.3 * (1 - abs(length(a) - length(b))::double / greatest(length(a), length(b))) END, 9) AS similarity FROM v"""
+)
+def word_similarity(spark, d):
+    f = table(spark, d, "feedback").select("document", "ts", F.coalesce("original_type", F.lit("")).alias("original_type"), F.coalesce("correct_type", F.lit("")).alias("correct_type"))
+    return f.withColumn("similarity", F.round(tx.word_similarity(F.col("original_type"), F.col("correct_type")), 9))
+
+
+@query(r"SELECT page_hash, ts, regexp_replace(text, '[№N]\s*(\d+)', '№ \1', 'g') AS fixed FROM ocr_cache")
+def text_fix_number_sign(spark, d):
+    return table(spark, d, "ocr_cache").select("page_hash", "ts", tx.fix_number_sign(F.col("text")).alias("fixed"))
+
+
+@query()
+def text_fix_dates(spark, d):
+    return table(spark, d, "ocr_cache").select("page_hash", "ts", tx.fix_dates(F.col("text")).alias("fixed"))
+
+
+# --- values -----------------------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT id, ok AS valid, CASE WHEN ok THEN contractor_inn END AS inn, round(CASE WHEN ok THEN least(1.0, confidence + 0.1) ELSE greatest(0.0, confidence - 0.2) END, 9) AS adjusted
+    FROM (SELECT id, contractor_inn, confidence, {_inn_sql('contractor_inn')} AS ok FROM history)"""
+)
+def inn_checksum(spark, d):
+    inn, conf = vl.inn_adjusted(F.col("contractor_inn"), F.col("confidence"))
+    return table(spark, d, "history").select("id", vl.inn_valid(F.col("contractor_inn")).alias("valid"), inn.alias("inn"), F.round(conf, 9).alias("adjusted"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CASE WHEN l_linenumber % 3 = 1 THEN l_quantity::bigint * 1000 + 234.5 ELSE -l_quantity::bigint END END::double AS v FROM lineitem"""
+)
+def value_parse_float(spark, d):
+    li = table(spark, d, "lineitem")
+    n = F.col("l_quantity").cast("bigint").cast("string")
+    raw = F.when(F.col("l_linenumber") % 3 == 1, F.concat(n, F.lit(" 234,50 руб"))).when(F.col("l_linenumber") % 3 == 2, F.concat(F.lit("-"), n)).otherwise(F.concat(n, F.lit(".5.1")))
+    return li.select("l_orderkey", "l_linenumber", vl.parse_float(raw).alias("v"))
+
+
+@query(
+    r"""SELECT id, document_date AS raw, coalesce(
+      strftime(try_strptime(nullif(regexp_extract(document_date, '\d{2}\.\d{2}\.\d{4}'), ''), '%d.%m.%Y'), '%Y-%m-%d'),
+      strftime(try_strptime(nullif(regexp_extract(document_date, '\d{2} \d{2} \d{4}'), ''), '%d %m %Y'), '%Y-%m-%d'),
+      strftime(try_strptime(nullif(regexp_extract(document_date, '\d{4}-\d{2}-\d{2}'), ''), '%Y-%m-%d'), '%Y-%m-%d'),
+      strftime(try_strptime(nullif(regexp_extract(document_date, '\d{2}-\d{2}-\d{4}'), ''), '%d-%m-%Y'), '%Y-%m-%d'),
+      CASE WHEN regexp_matches(lower(document_date), '^\d{1,2} [а-я]+ \d{4}$') THEN strftime(try_strptime(regexp_extract(document_date, '\d+') || '.' || list_position(['января','февраля','марта','апреля','мая','июня','июля','августа','сентября','октября','ноября','декабря'], regexp_extract(lower(document_date), '[а-я]+'))::varchar || '.' || regexp_extract(document_date, '\d{4}'), '%d.%m.%Y'), '%Y-%m-%d') END) AS iso FROM history"""
+)
+def value_parse_date(spark, d):
+    return table(spark, d, "history").select("id", F.col("document_date").alias("raw"), vl.parse_date(F.col("document_date")).alias("iso"))
+
+
+@query(
+    """SELECT id, CASE WHEN off THEN 'vat_mismatch' END AS warning, CASE WHEN off THEN round(amount_without_vat + vat, 2) END AS auto_corrected, round(CASE WHEN off THEN greatest(0.5, confidence - 0.2) ELSE confidence END, 9) AS confidence
+    FROM (SELECT *, coalesce(amount_with_vat <> 0 AND amount_without_vat <> 0 AND vat <> 0 AND abs(amount_with_vat - (amount_without_vat + vat)) > 0.01, false) AS off FROM (SELECT *, total_amount - amount_without_vat AS vat FROM history))"""
+)
+def vat_consistency(spark, d):
+    h = table(spark, d, "history").withColumn("vat", F.col("total_amount") - F.col("amount_without_vat"))
+    s = vl.vat_check(F.col("amount_with_vat"), F.col("amount_without_vat"), F.col("vat"), F.col("confidence"))
+    return h.select("id", s.alias("s")).select("id", "s.warning", F.round("s.auto_corrected", 2).alias("auto_corrected"), F.round("s.confidence", 9).alias("confidence"))
+
+
+@query(
+    """SELECT id, coalesce(CASE WHEN amount_with_vat < 0 OR amount_without_vat < 0 OR total_amount < 0 THEN 0.3 END, 0.0) + coalesce(CASE WHEN amount_with_vat < amount_without_vat THEN 0.2 END, 0.0) AS penalty,
+      CASE WHEN dd > DATE '2024-06-30' THEN 'future' WHEN dd < DATE '2024-06-30' - 7300 THEN 'too_old' END AS date_warning
+    FROM (SELECT *, CASE WHEN regexp_matches(document_date, '^\\d{4}-\\d{2}-\\d{2}$') THEN try_cast(document_date AS DATE) END AS dd FROM history)"""
+)
+def amount_and_date_sanity(spark, d):
+    return table(spark, d, "history").select(
+        "id", vl.amount_penalty(F.col("total_amount"), F.col("amount_with_vat"), F.col("amount_without_vat")).alias("penalty"), vl.date_warning(F.col("document_date"), F.lit("2024-06-30").cast("date")).alias("date_warning")
+    )
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN abs(e - o_totalprice) > 0.01 THEN e END AS expected FROM (SELECT o_orderkey, o_totalprice, round_even(s + 50 - 30, 2) AS e
+    FROM (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice - 20 ELSE o_totalprice END AS s FROM orders))"""
+)
+def saldo_check(spark, d):
+    o = table(spark, d, "orders")
+    start = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") - 20).otherwise(F.col("o_totalprice"))
+    return o.select("o_orderkey", vl.saldo_expected(start, F.lit(50), F.lit(30), F.col("o_totalprice")).alias("expected"))
+
+
+# --- classification ---------------------------------------------------------------------------------
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("document_type").agg(F.count("*").alias("n"))
+    return classify_stats(spark, d)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+@query(f"SELECT doc_id, doc_type, rule_score, round(confidence, 9) AS confidence FROM ({_CLASSIFIED})")
+def rule_classify(spark, d):
+    return classify.rule_classify(table(spark, d, "documents")).select("doc_id", "doc_type", "rule_score", F.round("confidence", 9).alias("confidence"))
+
+
+@query(
+    f"""SELECT doc_type, count(*) AS docs, count(*) FILTER (confidence > 0.5) AS classified, count(*) FILTER (confidence <= 0.5) AS uncertain, round(avg(confidence), 6) AS avg_confidence FROM ({_CLASSIFIED}) GROUP BY doc_type"""
+)
+def classify_stats(spark, d):
+    return classify.stats(classify.rule_classify(table(spark, d, "documents")))
+
+
+@query(
+    f"""SELECT id, CASE WHEN top > 0 THEN list_filter(s, lambda x: x.score = top)[1].type ELSE 'unknown' END AS doc_type, top AS score, round(CASE WHEN top > 0 THEN least(0.9, 0.5 + top / 10.0) ELSE 0.0 END, 9) AS confidence
+    FROM (SELECT id, s, {_BEST} AS top FROM (SELECT id, {_score_sql('t', 2, 3, 2)} AS s FROM (SELECT id, coalesce(lower(translate(original_filename, 'ёЁ_', 'еЕ ')), '') AS t FROM history)))"""
+)
+def filename_classify(spark, d):
+    return classify.filename_classify(table(spark, d, "history"), "original_filename").select("id", "doc_type", "score", F.round("confidence", 9).alias("confidence"))
+
+
+@query(
+    f"""WITH c AS ({_CLASSIFIED}), v AS (SELECT doc_id, least(1.0, rule_score / 5.0) AS r, confidence AS m, coalesce(least(1.0, n_chars / 4000.0), 0.0) AS b0 FROM c JOIN documents USING (doc_id)),
+    w AS (SELECT *, CASE WHEN b0 > 0.5 THEN least(1.0, b0 * 1.5) ELSE b0 END AS b FROM v)
+    SELECT doc_id, CASE WHEN r = greatest(r, m, b) THEN 'rule' WHEN m = greatest(r, m, b) THEN 'ml' ELSE 'vector' END AS winner, round(0.3 * r + 0.3 * m + 0.4 * b, 6) AS score FROM w"""
+)
+def ensemble_score(spark, d):
+    c = classify.rule_classify(table(spark, d, "documents"))
+    winner, score = classify.ensemble(F.least(F.lit(1.0), F.col("rule_score") / 5.0), F.col("confidence"), F.coalesce(F.least(F.lit(1.0), F.col("n_chars") / 4000.0), F.lit(0.0)))
+    return c.select("doc_id", winner.alias("winner"), F.round(score, 6).alias("score"))
+
+
+_CASES = [("reconciliation_act", ["акт сверки", "reconciliation"]), ("invoice", ["счёт на оплату", "invoice"]), ("payment_order", ["платёжное поручение"]), ("upd", ["передаточный документ"]), ("torg12", ["товарная накладная"]), ("contract", ["договор"])]
+_CASE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(text), '{t}')''' for t in terms)} THEN '{k}'" for k, terms in _CASES) + " END"
+
+
+@query(f"SELECT page_hash, ts, {_CASE_SQL} AS doc_type FROM ocr_cache")
+def detect_type(spark, d):
+    return table(spark, d, "ocr_cache").select("page_hash", "ts", classify.detect_type(F.col("text"), _CASES).alias("doc_type"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS c FROM e WHERE label IS NOT NULL GROUP BY label, i),
+    s AS (SELECT e.vec_id, m.label, sum(x * c) AS dot, sqrt(sum(x * x)) AS nx, sqrt(sum(c * c)) AS nc FROM e JOIN m USING (i) GROUP BY e.vec_id, m.label),
+    r AS (SELECT vec_id, label, round(CASE WHEN nx = 0 OR nc = 0 THEN 0.0 ELSE (dot / (nx * nc) + 1) / 2 END, 9) AS score FROM s)
+    SELECT vec_id, label, round(score, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) = 1"""
+)
+def embedding_classify(spark, d):
+    return classify.nearest_centroid(table(spark, d, "embeddings"), "vec_id", "embedding", "label").select("vec_id", F.col("label").cast("int").alias("label"), F.round("score", 6).alias("score"))
+
+
+@query()
+def ml_classify(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", "document_type")
+    model = classify.train(docs.where("document_type is not null"), "text", "document_type")
+    return _predict(model, docs)
+
+
+def _predict(model, docs):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    labels = model.stages[0].labels
+    scored = PipelineModel(model.stages[1:]).transform(docs)
+    names = F.array(*[F.lit(x) for x in labels])
+    return scored.select("doc_id", F.get(names, F.col("prediction").cast("int")).alias("doc_type"), F.round(1 - F.array_max(vector_to_array("probability")), 6).alias("uncertainty"))
+
+
+# --- quality ----------------------------------------------------------------------------------------
+
+_W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+_QUALITY = rf"""SELECT page_hash, ts, round(ls, 6) AS length_score, round(ws, 6) AS word_score, round(gs, 6) AS garbage_score, ss AS script_score, round(st, 6) AS structure_score,
+  round(least(1.0, greatest(0.0, 0.2 * ls + 0.2 * ws + 0.25 * gs + 0.2 * ss + 0.15 * st)), 6) AS quality FROM (
+  SELECT page_hash, ts, least(1.0, length(text) / 500.0) AS ls, least(1.0, len(list_filter(w, lambda x: length(x) >= 2)) / 50.0) AS ws,
+    CASE WHEN len(w) > 0 THEN 1 - least(1.0, 2.0 * len(list_filter(w, lambda x: regexp_matches(x, '^([\p{{L}}]{{1,2}}|[0-9]{{1,2}}|[^\p{{L}}\p{{N}}_\s]{{1,3}})$'))) / len(w)) ELSE 0.0 END AS gs,
+    CASE WHEN every = 0 THEN 0.5 WHEN own / every::double > 0.7 THEN 1.0 WHEN own / every::double > 0.5 THEN 0.7 WHEN own / every::double > 0.3 THEN 0.5 ELSE 0.3 END AS ss,
+    CASE WHEN regexp_matches(text, '[.,;:!?]') THEN 0.3 ELSE 0.0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(text, '[A-ZА-ЯЁ]') THEN 0.2 ELSE 0.0 END + CASE WHEN contains(text, ' ') THEN 0.3 ELSE 0.0 END AS st
+  FROM (SELECT page_hash, ts, text, {_W} AS w, length(regexp_replace(text, '[^а-яА-ЯёЁ]', '', 'g')) AS own, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS every FROM ocr_cache WHERE text IS NOT NULL))"""
+
+
+@query(_QUALITY)
+def ocr_quality(spark, d):
+    t = F.col("text")
+    return table(spark, d, "ocr_cache").where("text is not null").select(
+        "page_hash", "ts", F.round(quality.length_score(t), 6).alias("length_score"), F.round(quality.word_score(t), 6).alias("word_score"), F.round(quality.garbage_score(t), 6).alias("garbage_score"),
+        quality.script_score(t).alias("script_score"), F.round(quality.structure_score(t), 6).alias("structure_score"), F.round(quality.quality(t), 6).alias("quality"),
+    )
+
+
+@query(
+    rf"""WITH p AS (SELECT DISTINCT s.file_hash, c.page_hash, c.text FROM ocr_cache c JOIN (SELECT DISTINCT page_hash, file_hash FROM scan_pages) s USING (page_hash) WHERE c.text IS NOT NULL AND s.file_hash IS NOT NULL),
+    l AS (SELECT file_hash, unnest(string_split(text, chr(10))) AS line FROM p),
+    n AS (SELECT file_hash, line, trim(regexp_replace(lower({_collapse('line')}), '^[.,;:!?]+|[.,;:!?]+$', '', 'g'), ' ') AS norm FROM l)
+    SELECT file_hash, norm, max(line) AS line, count(*) AS votes FROM n WHERE length(norm) >= 3 GROUP BY ALL HAVING count(*) >= 2"""
+)
+def line_voting(spark, d):
+    pages = table(spark, d, "scan_pages").where("file_hash is not null").select("page_hash", "file_hash").distinct()
+    texts = table(spark, d, "ocr_cache").where("text is not null").select("page_hash", "text").distinct()
+    return quality.vote_lines(texts.join(pages, "page_hash"), "file_hash", "text", F.lit(0.5), F.lit(0.5)).drop("score")
+
+
+@query(
+    """SELECT id, CASE WHEN blur < 50 OR contrast < 30 THEN [3.0, 4.0, 5.0] WHEN blur < 100 OR contrast < 50 OR scanned THEN [3.0, 4.0, 5.0] WHEN blur < 200 OR contrast < 70 THEN [2.5, 3.5, 4.0] ELSE [2.0] END::varchar AS ladder
+    FROM (SELECT id, id % 400 AS blur, id % 150 AS contrast, contains(original_filename, 'scan') AS scanned FROM history WHERE original_filename IS NOT NULL)"""
+)
+def resolution_ladder(spark, d):
+    h = table(spark, d, "history").where("original_filename is not null")
+    r = quality.resolution_ladder(quality.resolution(F.col("id") % 400, F.col("id") % 150, F.col("original_filename").contains("scan")))
+    return h.select("id", F.concat(F.lit("["), F.array_join(F.transform(r, lambda x: x.cast("string")), ", "), F.lit("]")).alias("ladder"))
+
+
+# --- fields and tables ------------------------------------------------------------------------------
+
+
+@query()
+def extract_fields(spark, d):
+    return extract.extract(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def field_coverage(spark, d):
+    docs = table(spark, d, "documents")
+    return extract.coverage(extract.extract(docs, "doc_id", "text"), docs.count(), "doc_id")
+
+
+@query()
+def batch_summary(spark, d):
+    docs = table(spark, d, "documents")
+    return extract.summary(classify.rule_classify(docs), extract.extract(docs, "doc_id", "text"), "doc_id")
+
+
+@query()
+def export_mapping(spark, d):
+    fields = extract.extract(table(spark, d, "documents"), "doc_id", "text")
+    return extract.project_mapping(fields, "doc_id", {"A1": "document_number", "B1": "date", "C1": "amount", "A2": "inn"})
+
+
+@query(
+    r"""SELECT page_hash, count(*) AS lines, round(sum(replace(replace(regexp_extract(x, '([\d ]*\d[.,]\d\d)$', 1), ' ', ''), ',', '.')::double), 2) AS total
+    FROM (SELECT page_hash, unnest(string_split(text, chr(10))) AS x FROM (SELECT DISTINCT page_hash, text FROM ocr_cache)) WHERE regexp_matches(x, '^\s*(\d{1,4}) (.+?) (\d{3}) (\d+) (\S+) ([\d ]*\d[.,]\d\d)$') GROUP BY page_hash"""
+)
+def table_rows(spark, d):
+    pages = table(spark, d, "ocr_cache").select("page_hash", "text").distinct()
+    rows = tables.lines_as_rows(pages, "page_hash", "text").select("page_hash", F.explode("rows").alias("r"))
+    price = F.regexp_replace(F.translate(F.element_at("r", 6), ",", "."), r"\s", "").try_cast("double")
+    return rows.groupBy("page_hash").agg(F.count("*").alias("lines"), F.round(F.sum(price), 2).alias("total"))
+
+
+@query()
+def table_columns(spark, d):
+    pages = table(spark, d, "ocr_cache").select("page_hash", "text").distinct()
+    return tables.numeric_columns(tables.cells(tables.lines_as_rows(pages, "page_hash", "text"), "page_hash", "rows"), "page_hash")
+
+
+@query()
+def reconciliation_acts(spark, d):
+    return reconcile.parse_act(table(spark, d, "documents").where("lower(text) like '%акт сверки%'"), "doc_id", "text").withColumn("organisations", F.array_join("organisations", "; "))
+
+
+# --- history ----------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT id, original_filename, contractor_name, processed_at FROM history WHERE document_type = 'invoice' AND status = 'success' AND document_date >= '2024-01-01' AND document_date <= '2024-12-31'
+    AND (original_filename ILIKE '%счёт%' OR contractor_name ILIKE '%счёт%' OR document_number ILIKE '%счёт%' OR contractor_inn ILIKE '%счёт%')"""
+)
+def history_search(spark, d):
+    return history.search(table(spark, d, "history"), text="счёт", kind="invoice", state="success", date_from="2024-01-01", date_to="2024-12-31").select("id", "original_filename", "contractor_name", "processed_at")
+
+
+@query("SELECT id, original_filename, processed_at FROM history ORDER BY processed_at DESC NULLS LAST, id LIMIT 50 OFFSET 50")
+def history_page(spark, d):
+    return history.page(table(spark, d, "history"), 2, 50).select("id", "original_filename", "processed_at")
+
+
+@query(
+    """WITH t AS (SELECT contractor_name, count(*) AS n FROM history WHERE contractor_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1)
+    SELECT count(*) AS total, count(*) FILTER (processed_at::date = DATE '2024-03-01') AS today, count(*) FILTER (status = 'error') AS errors, round(count(*) FILTER (status = 'error') * 100.0 / count(*), 1) AS error_percent,
+    (SELECT contractor_name FROM t) AS top_contractor, (SELECT n FROM t) AS top_count FROM history"""
+)
+def history_statistics(spark, d):
+    return history.statistics(table(spark, d, "history"), "2024-03-01")
+
+
+@query("SELECT document_type, count(*) AS docs FROM history WHERE document_type IS NOT NULL GROUP BY 1")
+def history_by_type(spark, d):
+    return history.by_type(table(spark, d, "history"))
+
+
+@query("SELECT DISTINCT contractor_name, contractor_inn FROM history WHERE contractor_name IS NOT NULL")
+def history_contractors(spark, d):
+    return history.contractors(table(spark, d, "history"))
+
+
+_DUP = """SELECT id, CASE WHEN document_number <> '' AND document_date <> '' AND contractor_inn <> '' THEN 'n|' || document_number || '|' || document_date || '|' || contractor_inn WHEN file_hash <> '' THEN 'h|' || file_hash END AS k FROM history"""
+
+
+@query(f"SELECT id, min(id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) - 1 AS copies FROM ({_DUP}) WHERE k IS NOT NULL QUALIFY copies > 0")
+def history_duplicates(spark, d):
+    return history.duplicates(table(spark, d, "history"))
+
+
+@query("SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY original_filename, file_hash ORDER BY processed_at DESC NULLS LAST, id DESC) = 1")
+def history_upsert(spark, d):
+    return history.upsert(table(spark, d, "history"))
+
+
+@query("SELECT id, processed_at FROM history WHERE processed_at IS NULL OR processed_at >= TIMESTAMP '2024-06-01' - INTERVAL 90 DAY")
+def history_retention(spark, d):
+    return history.retained(table(spark, d, "history"), "2024-06-01", 90).select("id", "processed_at")
+
+
+@query(
+    """SELECT id, CASE WHEN error_message IS NOT NULL AND error_message <> '' THEN 'error' WHEN f = 0 THEN 'partial' ELSE 'success' END AS derived
+    FROM (SELECT *, (contractor_name IS NOT NULL)::int + (document_date IS NOT NULL)::int + (document_number IS NOT NULL)::int + (total_amount IS NOT NULL)::int AS f FROM history)"""
+)
+def history_status(spark, d):
+    n = sum((F.col(c).isNotNull().cast("int") for c in ("contractor_name", "document_date", "document_number", "total_amount")), F.lit(0))
+    return table(spark, d, "history").select("id", history.status(F.col("error_message"), n).alias("derived"))
+
+
+@query(
+    """SELECT id, CASE WHEN coalesce(low NOT IN ('', '-', '—', 'нет', 'н/д', 'не указано', 'наличный расчет', 'безналичный расчет', 'none', 'null') AND length(low) >= 3 AND NOT (regexp_matches(low, 'расчет|расчёт|оплат|налич') AND length(low) < 20), false) THEN contractor_name END AS contractor,
+    coalesce(total_amount, CASE WHEN amount_with_vat <> 0 THEN amount_with_vat END, amount_without_vat) AS amount FROM (SELECT *, lower(trim(contractor_name, ' ')) AS low FROM history)"""
+)
+def history_contractor_and_amount(spark, d):
+    h = table(spark, d, "history")
+    return h.select("id", F.when(history.acceptable_name(F.col("contractor_name")), F.col("contractor_name")).alias("contractor"), history.amount(F.col("total_amount"), F.col("amount_with_vat"), F.col("amount_without_vat")).alias("amount"))
+
+
+@query("SELECT id, coalesce(CASE WHEN json_valid(output_files) THEN len(json_keys(output_files)) END, 0)::int AS files FROM history")
+def history_output_files(spark, d):
+    return history.output_files(table(spark, d, "history"))
+
+
+@query(
+    """WITH g AS (SELECT document_type, count(*) AS docs, round(avg(confidence), 6) AS avg_confidence, count(contractor_name) AS with_name, count(document_number) AS with_number, count(total_amount) AS with_amount FROM history WHERE document_type IS NOT NULL GROUP BY 1),
+    n AS (SELECT DISTINCT document_type, original_filename FROM history WHERE document_type IS NOT NULL AND original_filename IS NOT NULL),
+    e AS (SELECT document_type, string_agg(original_filename, '; ' ORDER BY original_filename) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY document_type ORDER BY original_filename) AS r FROM n) WHERE r <= 3 GROUP BY 1)
+    SELECT g.*, e.examples FROM g LEFT JOIN e USING (document_type)"""
+)
+def document_groups(spark, d):
+    return history.groups(table(spark, d, "history"))
+
+
+@query(
+    """WITH n AS (SELECT page_hash, text FROM ocr_cache QUALIFY row_number() OVER (PARTITION BY page_hash ORDER BY ts DESC NULLS LAST, text DESC NULLS LAST) = 1)
+    SELECT DISTINCT p.page_hash, n.text, n.page_hash IS NOT NULL AS hit FROM scan_pages p LEFT JOIN n USING (page_hash)"""
+)
+def ocr_cache_lookup(spark, d):
+    return history.cache_lookup(table(spark, d, "scan_pages"), table(spark, d, "ocr_cache"))
+
+
+@query("SELECT document, correct_type FROM feedback WHERE document IS NOT NULL AND correct_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document ORDER BY ts DESC NULLS LAST, correct_type DESC) = 1")
+def feedback_labels(spark, d):
+    return history.feedback_labels(table(spark, d, "feedback"))
+
+
+@query(
+    """SELECT h.document_type, f.correct_type, count(*) AS docs FROM history h JOIN (SELECT document, correct_type FROM feedback WHERE document IS NOT NULL AND correct_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document ORDER BY ts DESC NULLS LAST, correct_type DESC) = 1) f
+    ON h.original_filename = f.document GROUP BY ALL"""
+)
+def feedback_confusion(spark, d):
+    labels = history.feedback_labels(table(spark, d, "feedback")).withColumnRenamed("document", "original_filename")
+    return table(spark, d, "history").select("original_filename", "document_type").join(labels, "original_filename").groupBy("document_type", "correct_type").agg(F.count("*").alias("docs"))
+
+
+@query("SELECT id, original_filename AS file_name, document_type AS type, contractor_name AS contractor, contractor_inn AS inn, document_number AS number, document_date AS date, total_amount AS amount, status FROM history")
+def history_export(spark, d):
+    names = {"original_filename": "file_name", "document_type": "type", "contractor_name": "contractor", "contractor_inn": "inn", "document_number": "number", "document_date": "date", "total_amount": "amount"}
+    return table(spark, d, "history").select("id", *[F.col(a).alias(b) for a, b in names.items()], "status")
+
+
+# --- sinks and streams ------------------------------------------------------------------------------
+
+
+@query()
+def export_workbooks(spark, d):
+    h = table(spark, d, "history").where("document_type is not null").select("document_type", "original_filename", "contractor_name", "document_date", "total_amount")
+    return files.workbooks(h, "document_type").select("document_type", "part", "n_rows", F.length("content").alias("n_bytes"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_windowed(spark, d):
+    return ingest.windowed(table(spark, d, "events"), "ts", "1 hour", "1 day", "event_type")
+
+
+@query("SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY original_filename, file_hash ORDER BY processed_at DESC NULLS LAST, id DESC) = 1")
+def stream_upsert(spark, d):
+    import uuid
+
+    prepare(spark)
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return ingest.upsert_stream(spark, f"{d}/history.parquet*", table(spark, d, "history").schema, f"{at}/table", f"{at}/progress")
