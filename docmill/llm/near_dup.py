@@ -142,6 +142,75 @@ def page_classes(pages: DataFrame, key: str = "page_hash", text: str = "text") -
     return source.mapInArrow(run, f"key {kind}, sig bigint").distinct()
 
 
+#: Pairs of one bit that are looked at in one go.
+BLOCK_PAIRS = 2_000_000
+
+
+def _met(sig: np.ndarray, n: np.ndarray, rank: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Of pairs of rows those where the bit is among both pages' probed bits for a partner of that size."""
+    p, q = n[left], n[right]
+    least = (p + q + 2) // 3
+    ok = (rank[left] <= p - least + EXTRA) & (rank[right] <= q - least + EXTRA) & (2 * p >= q) & (2 * q >= p) & (sig[left] != sig[right])
+    a, b = sig[left[ok]], sig[right[ok]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _meetings(batches):
+    """Rows (bit, sig, n, rank) in the order of bit to pairs of pages that share the bit, with counts. A run
+    of rows of one bit is paired in blocks, so a bit of many pages needs no more memory than its rows."""
+    held: list[np.ndarray] = []
+
+    def flush(rows: np.ndarray):
+        bit = rows[0]
+        starts = np.flatnonzero(np.r_[True, bit[1:] != bit[:-1]])
+        sizes = np.diff(np.r_[starts, len(bit)])
+        out = []
+        big = sizes * sizes > BLOCK_PAIRS
+        for s, k in zip(starts[big], sizes[big]):
+            step = max(1, BLOCK_PAIRS // int(k))
+            for lo in range(0, int(k), step):
+                i = np.arange(s + lo, s + min(lo + step, k))
+                left, right = np.repeat(i, k), np.tile(np.arange(s, s + k), len(i))
+                keep = left < right
+                yield _met(*rows[1:], left[keep], right[keep])
+        for k in np.unique(sizes[~big]):
+            if k < 2:
+                continue
+            at = starts[~big][sizes[~big] == k]
+            i, j = np.triu_indices(int(k), 1)
+            step = max(1, BLOCK_PAIRS // len(i))
+            for lo in range(0, len(at), step):
+                some = at[lo : lo + step, None]
+                out.append(_met(*rows[1:], (some + i).ravel(), (some + j).ravel()))
+        if out:
+            yield np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+    def table(a: np.ndarray, b: np.ndarray):
+        # counted here before the shuffle
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+        c = np.diff(np.r_[first, len(a)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(c)], ["sig_a", "sig_b", "c"])
+
+    for b in batches:
+        cols = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        held.append(cols)
+        if sum(x.shape[1] for x in held) < 400_000:
+            continue
+        rows = np.concatenate(held, axis=1)
+        last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bit may go on in the next batch
+        held = [rows[:, last:]]
+        if last:
+            for x in flush(rows[:, :last]):
+                yield table(*x)
+    if held:
+        rows = np.concatenate(held, axis=1)
+        if rows.shape[1]:
+            for x in flush(rows):
+                yield table(*x)
+
+
 def alike_classes(pages: DataFrame, classes: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
     """(sig_a, sig_b): classes of pages that are alike, each pair once, with sig_a < sig_b."""
     spark = prepare(pages.sparkSession)
@@ -178,11 +247,9 @@ def alike_classes(pages: DataFrame, classes: DataFrame, key: str = "page_hash",
                 )
 
     probes = source.mapInArrow(probe, "bit bigint, sig bigint, n int, rank int")
-    a = probes.select("bit", F.col("sig").alias("sig_a"), F.col("n").alias("n"), F.col("rank").alias("i"))
-    b = probes.select("bit", F.col("sig").alias("sig_b"), F.col("n").alias("m"), F.col("rank").alias("j"))
-    least = "cast((n + m + 2) / 3 as int)"
-    shared = a.join(b, "bit").where(f"sig_a < sig_b and i <= n - {least} + {EXTRA} and j <= m - {least} + {EXTRA} and 2 * n >= m and 2 * m >= n")
-    candidates = cut(shared.groupBy("sig_a", "sig_b").agg(F.count("*").alias("c")).where(F.col("c") > EXTRA).select("sig_a", "sig_b"))
+    shared = probes.repartition("bit").sortWithinPartitions("bit").mapInArrow(_meetings, "sig_a bigint, sig_b bigint, c int")
+    counted = shared.groupBy("sig_a", "sig_b").agg(F.sum("c").alias("c")).where(F.col("c") > EXTRA)
+    candidates = cut(counted.select("sig_a", "sig_b"))
 
     wanted = candidates.select(F.col("sig_a").alias("sig")).union(candidates.select(F.col("sig_b").alias("sig"))).distinct()
     keys = classes.groupBy("sig").agg(F.min("key").alias(key)).join(wanted, "sig")
