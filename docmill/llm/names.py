@@ -229,7 +229,7 @@ def members(history: DataFrame) -> DataFrame:
     keyed = sure.select("contractor", "kind", "key", "given", "form").distinct()
     asked = orphans.select(F.concat_ws(" ", "kind", "key").alias("q")).distinct()
     held = keyed.select(F.concat_ws(" ", "kind", "key").alias("x")).unionByName(asked.select(F.col("q").alias("x"))).distinct()
-    near = radius_join(asked, held)
+    near = cut(radius_join(asked, held))
     # short keys allow less; figures in a name must agree; a word more at the end is another name
     digits = lambda c: F.regexp_replace(c, r"\D", "")
     short = F.least(F.length("q"), F.length("x"))
