@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
 from docmill.functions import values as vl
-from docmill.operators import classify, extract, history, quality, reconcile, tables
+from docmill.operators import classify, correct, extract, history, quality, reconcile, tables
 from docmill.runtime import prepare, shared_folder, table
 from docmill.sources import files
 from docmill.streaming import ingest
@@ -374,6 +374,24 @@ def reconciliation_acts(spark, d):
     return reconcile.parse_act(table(spark, d, "documents").where("lower(text) like '%акт сверки%'"), "doc_id", "text").withColumn("organisations", F.array_join("organisations", "; "))
 
 
+@query()
+def ocr_correct(spark, d):
+    return correct.correct(table(spark, d, "ocr_cache").select("page_hash", "ts", "text"), "text")
+
+
+@query(r"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_extract_all(text, '((?:ООО|АО|ПАО|ЗАО|МУП) «[^»\n]+»)', 1), lambda x: length(x) > 3), 1, 2), '; ') AS organisations FROM documents WHERE text IS NOT NULL")
+def additional_organisations(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(correct.organisations(F.col("text")), "; ").alias("organisations"))
+
+
+@query(
+    r"""SELECT id, CASE WHEN c IS NULL OR c = '' THEN false WHEN length(c) > 50 THEN false WHEN regexp_matches(c, '^[0-9\s.,]+$') THEN false WHEN contains(c, '/') AND length(c) > 20 THEN false ELSE total_amount IS NOT NULL END AS is_header
+    FROM (SELECT id, trim(document_number, ' ') AS c, total_amount FROM history)"""
+)
+def header_test(spark, d):
+    return table(spark, d, "history").select("id", correct.header_like(F.col("document_number"), F.col("total_amount").isNotNull()).alias("is_header"))
+
+
 # --- history ----------------------------------------------------------------------------------------
 
 

