@@ -148,12 +148,13 @@ def text_fix_dates(spark, d):
 
 
 @query(
-    f"""SELECT id, ok AS valid, CASE WHEN ok THEN contractor_inn END AS inn, round(CASE WHEN ok THEN least(1.0, confidence + 0.1) ELSE greatest(0.0, confidence - 0.2) END, 9) AS adjusted
+    f"""SELECT id, CASE WHEN ok THEN 'valid' WHEN NOT ok THEN 'invalid' END AS valid, CASE WHEN ok THEN contractor_inn END AS inn, round(CASE WHEN ok THEN least(1.0, confidence + 0.1) ELSE greatest(0.0, confidence - 0.2) END, 9) AS adjusted
     FROM (SELECT id, contractor_inn, confidence, {_inn_sql('contractor_inn')} AS ok FROM history)"""
 )
 def inn_checksum(spark, d):
     inn, conf = vl.inn_adjusted(F.col("contractor_inn"), F.col("confidence"))
-    return table(spark, d, "history").select("id", vl.inn_valid(F.col("contractor_inn")).alias("valid"), inn.alias("inn"), F.round(conf, 9).alias("adjusted"))
+    ok = vl.inn_valid(F.col("contractor_inn"))
+    return table(spark, d, "history").select("id", F.when(ok, "valid").when(~ok, "invalid").alias("valid"), inn.alias("inn"), F.round(conf, 9).alias("adjusted"))
 
 
 @query(
@@ -189,7 +190,7 @@ def vat_consistency(spark, d):
 
 
 @query(
-    """SELECT id, coalesce(CASE WHEN amount_with_vat < 0 OR amount_without_vat < 0 OR total_amount < 0 THEN 0.3 END, 0.0) + coalesce(CASE WHEN amount_with_vat < amount_without_vat THEN 0.2 END, 0.0) AS penalty,
+    """SELECT id, (coalesce(CASE WHEN amount_with_vat < 0 OR amount_without_vat < 0 OR total_amount < 0 THEN 0.3 END, 0.0) + coalesce(CASE WHEN amount_with_vat < amount_without_vat THEN 0.2 END, 0.0))::double AS penalty,
       CASE WHEN dd > DATE '2024-06-30' THEN 'future' WHEN dd < DATE '2024-06-30' - 7300 THEN 'too_old' END AS date_warning
     FROM (SELECT *, CASE WHEN regexp_matches(document_date, '^\\d{4}-\\d{2}-\\d{2}$') THEN try_cast(document_date AS DATE) END AS dd FROM history)"""
 )
@@ -286,7 +287,7 @@ def _predict(model, docs):
 # --- quality ----------------------------------------------------------------------------------------
 
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
-_QUALITY = rf"""SELECT page_hash, ts, round(ls, 6) AS length_score, round(ws, 6) AS word_score, round(gs, 6) AS garbage_score, ss AS script_score, round(st, 6) AS structure_score,
+_QUALITY = rf"""SELECT page_hash, ts, round(ls, 6) AS length_score, round(ws, 6) AS word_score, round(gs, 6) AS garbage_score, ss::double AS script_score, round(st, 6)::double AS structure_score,
   round(least(1.0, greatest(0.0, 0.2 * ls + 0.2 * ws + 0.25 * gs + 0.2 * ss + 0.15 * st)), 6) AS quality FROM (
   SELECT page_hash, ts, least(1.0, length(text) / 500.0) AS ls, least(1.0, len(list_filter(w, lambda x: length(x) >= 2)) / 50.0) AS ws,
     CASE WHEN len(w) > 0 THEN 1 - least(1.0, 2.0 * len(list_filter(w, lambda x: regexp_matches(x, '^([\p{{L}}]{{1,2}}|[0-9]{{1,2}}|[^\p{{L}}\p{{N}}_\s]{{1,3}})$'))) / len(w)) ELSE 0.0 END AS gs,
