@@ -129,3 +129,15 @@ def project_mapping(fields: DataFrame, key: str, mapping: dict[str, str]) -> Dat
     wanted = fields.where(F.col("field_name").isin(sorted(set(mapping.values()))))
     wide = wanted.groupBy(key).pivot("field_name", sorted(set(mapping.values()))).agg(F.max("value"))
     return wide.select(key, *[F.col(mapping[c]).alias(c) for c in cells])
+
+
+def register_regex_matches(spark, name: str = "regex_matches") -> None:
+    """A table function for SQL: regex_matches(text, pattern) gives pos (from 1), whole and group1 of each match."""
+
+    class Matches:
+        def eval(self, text: str, pattern: str):
+            if text is not None and pattern is not None:
+                for m in re.finditer(pattern, text):
+                    yield m.start() + 1, m.group(), m.group(1) if m.groups() else None
+
+    spark.udtf.register(name, F.udtf(Matches, returnType="pos int, whole string, group1 string"))

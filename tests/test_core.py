@@ -90,6 +90,12 @@ def test_extraction(spark):
     assert extract.summary(classify.rule_classify(df.select(F.col("id"), F.col("t").alias("text"))), fields, "id").first().documents == 3
 
 
+def test_table_function(spark):
+    extract.register_regex_matches(spark)
+    got = spark.sql(r"SELECT t.* FROM VALUES ('ИНН 12, ИНН 34'), (NULL) AS v(x), LATERAL regex_matches(x, 'ИНН ([0-9]+)') t").collect()
+    assert sorted((r.pos, r.group1) for r in got) == [(1, "12"), (9, "34")]
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, [["ИНН", "Сумма"], ["7707083893", "10,5"], [None, None], [None, "5"]]), (2, [["h1", "h2"], ["a", "b"]])], "id long, rows array<array<string>>")
     tall = tables.cells(df, "id", "rows")
