@@ -209,7 +209,7 @@ def one_form(df: DataFrame, columns: list[str]) -> DataFrame:
 def odd_texts(df: DataFrame, key: str, column: str, field: str) -> DataFrame:
     """(field, row_key) of each row whose text differs from its one form. Rows may repeat."""
     prepare(df.sparkSession)
-    source = df.select(df[key].cast("string").alias("k"), df[column].alias("t")).where(F.col("t").isNotNull())
+    source = df.select(df[key].cast("string").alias("k"), df[column].alias("t")).where(F.col("t").isNotNull() & F.col("k").isNotNull())
 
     def run(batches):
         for batch in batches:

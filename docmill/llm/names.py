@@ -53,6 +53,9 @@ _LONG = [(re.compile(r"\b" + a.replace(" ", r"\s*") + r"\b"), b) for a, b in LON
 _SHORT = {a.translate(SPELL): b.translate(SPELL).replace(" ", "") for a, b in SHORT_WORDS.items()}
 _STUCK = re.compile(r"^(ооо|зао|пао|муп|ао|ип|нпо|тд|пк|гк|су|тк)(?=[а-яё]{4})")
 
+#: A legal form and an abbreviation written as one word.
+_GLUED = re.compile(r"^(ооо|зао|пао|муп|ао)(нпо|тд|пк|гк|су|тк)$")
+
 
 def plain(name: str) -> str:
     """The name in one alphabet where it was typed on the wrong layout or with look-alikes."""
@@ -83,6 +86,9 @@ def parts(name: str) -> tuple[str, str, str, str]:
     words = _WORD.findall(re.sub(r"(?<=[^\W\d_])[-‐](?=[^\W\d_])", "", text))
     forms = [w for w in words if w in FORMS]
     words = [w for w in words if w not in FORMS]
+    if words and (m := _GLUED.match(words[0])):
+        words[:1] = m.groups()
+        forms, words = [*forms, words[0]], words[1:]
     while words and (m := _STUCK.match(words[0])) and not (forms and m.group() in FORMS):
         words[0] = words[0][m.end() :]
         if m.group() in FORMS:
