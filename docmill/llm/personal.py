@@ -64,7 +64,7 @@ PERSON_TAX = re.compile(rf"{D1}(?<![\w.,/+-].){D}{{11}}(?!\w)")
 _CAP = r"[А-ЯЁA-Z][а-яёa-z|!*0-9]*(?:-[ \t]*\n[ \t]*[а-яё]+)?[а-яёa-z]*"
 _TOWN = rf"(?:г(?:ор)?\.\s*{_CAP}|{_CAP})"
 _KIND = r"(?:ул|пер|пр-т|просп|пр|б-р|бул|наб|ш|пл|туп|проезд|улица|переулок|проспект|бульвар|шоссе|набережная|площадь|тупик|аллея)"
-_HOUSE = rf"(?:,?\s*(?:д|дом|владение|вл|зд)\.?\s*)?,?\s*(?:{D1}{D}{{0,3}}(?!\d)|владе-)"
+_HOUSE = rf"(?:,?\s*(?:д|дом|вл\w*|зд)\.?\s*)?,?\s*(?:{D1}{D}{{0,3}}(?!\d)|владе-)"
 ADDRESS = re.compile(
     rf"(?<![\w-])(?:(?P<post>{D}{{6}}),?\s+)?(?:(?P<region>{_CAP}\s+(?:край|обл\.|область|респ\.|республика|район|р-н)),?\s+)?(?:(?P<town>{_TOWN}),?\s+)?"
     rf"(?:{_KIND}\.?\s+{_CAP}(?:\s{_CAP})?{_HOUSE}|{_CAP}\s+(?:проезд|переулок|проспект|бульвар|тупик|шоссе|улица|ул\.|пер\.|аллея|набережная){_HOUSE})"
@@ -100,7 +100,7 @@ def _class(token: str) -> str:
 
 
 #: Orders of a name's parts, the longest first; F is a W that stands for a given name.
-_ORDERS = ("SWP", "WPS", "SSP", "SPS", "SII", "IIS", "WIS", "SI", "IS", "S,W", "WS", "SW", "WP", "SS")
+_ORDERS = ("SWP", "WPS", "SSP", "SPS", "SII", "IIS", "WIS", "SIS", "SI", "IS", "S,W", "S,S", "WS", "SW", "WP", "SS")
 
 
 def _names(text: str):
