@@ -31,6 +31,8 @@ from docmill.runtime import cut, prepare
 LEXICON, LEAST_COUNT = 100_000, 4
 #: A common word must be so many times as frequent as the misread one.
 RATIO = 12
+#: A word is common that makes up one of so many words of the corpus.
+COMMON = 35_000
 EDGE = 3
 SAMPLE_PAGES, ROUNDS = 2000, 3
 
@@ -99,6 +101,7 @@ def lexicon(pages: DataFrame, text: str = "text") -> dict[str, int]:
 class Reader:
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
+        self.common = sum(counts.values()) / COMMON
         self.known: dict[str, int] = {}
 
     def count(self, word: str) -> int:
@@ -147,7 +150,7 @@ class Reader:
                 out = next(i for i, c in enumerate(word) if not c.isdigit())
             elif letters >= 4 and re.search(r"[^\W\d_][0-9|*!][^\W\d_]|[^\W\d_]{3}[0-9|*!]$|^[0-9|*!][^\W\d_]{3}", word) and not re.search(r"\d\d", word):
                 out = next(i for i, c in enumerate(word) if c in _SIGNS)
-        elif len(word) >= 3 and self.count(word.lower()) < 40 and (r := self.repair(word)) is not None:
+        elif len(word) >= 3 and (r := self.repair(word)) is not None:
             out = r[1]
         if len(self.known) > 300_000:
             self.known.clear()
@@ -164,9 +167,7 @@ class Reader:
         joined, own = self._best(a + b), self._best(f"{a}-{b}")
         if own > joined:
             return False
-        if joined == 0 and self.count(a) >= 40 and self.count(b) >= 40 and len(a) > 3 and len(b) > 3:
-            return False
-        return True
+        return joined > 0 or min(self.count(a), self.count(b)) < max(1, self.common) or len(a) <= 3 or len(b) <= 3
 
     def _best(self, word: str) -> int:
         n = self.count(word)
