@@ -56,6 +56,8 @@ _WORD = re.compile(r"[^\W_]+(?:[|*!]+[^\W_]*)*(?:-[^\W\d_]+)*|[|*!]+[^\W_]+")
 _HYPHEN_END = re.compile(r"([^\W\d_][\w|*!]*|[\w|*!]*[^\W\d_])[-‐¬–­][ \t]*\r?$")
 _START = re.compile(r"[ \t]*([^\W_][\w|*!]*)(\S*)")
 _NUMBER = re.compile(r"\d[\dОоЗзБбlI|!SВ]*[ОоЗзБбlI|!SВ][\dОоЗзБбlI|!SВ]*|[ОЗБlI|!SВ][\dОоЗзБбlI|!SВ]*\d[\dОоЗзБбlI|!SВ]*")
+#: The digits of such a number.
+_DIGITS = str.maketrans("ОоЗзБбlI|!SВ", "003366111158")
 _N = r"[\dОоЗзБбlI|!SВ]{1,4}"
 _DRESSED = re.compile(
     rf"^\s*(?:[-–—~*=•]+\s*{_N}\s*[-–—~*=•]+|[\[({{<]\s*{_N}\s*[\])}}>]|{_N}\s*(?:/|из|of)\s*{_N}|(?:[сc]тр(?:аница|аниц[аыу])?|лист|л|page|pg|p|sheet|с|№)[.:]?\s*{_N}(?:\s*(?:из|of|/)\s*{_N})?)\s*[.]?\s*$", re.I
@@ -441,26 +443,37 @@ def reassemble(text: str, drop: set[int], reader: Reader) -> str:
         if not body:
             open_ = False
             continue
-        fix = lambda m: _like(m.group(), reader)
         table = re.search(r"\d[\d ]*[.,]\d\d$", body) is not None and re.match(r"\d+ ", body) is not None
         if n in broken:
             body = body.rstrip().rstrip("-‐¬–­")
-        body = _WORD.sub(fix, body) if n not in broken and not glue else body
         if glue:
             paragraphs[-1] += body
         elif open_ and not line.startswith("    ") and not table:
-            paragraphs[-1] += " " + body
+            paragraphs[-1] += "\n" + body
         else:
             paragraphs.append(body)
         open_, glue = not table, n in broken
-    return "\n\n".join(paragraphs)
+    # words are repaired once broken ones are whole
+    return "\n\n".join(_WORD.sub(lambda m: _like(m, reader), p).replace("\n", " ") for p in paragraphs)
 
 
-def _like(word: str, reader: Reader) -> str:
-    at = reader.misread_at(word)
-    if at < 0 or (r := reader.repair(word)) is None:
+def _like(m: re.Match, reader: Reader) -> str:
+    word = m.group()
+    if reader.misread_at(word) < 0:
+        return word
+    r = reader.repair(word)
+    letters, signs = sum(c.isalpha() for c in word), sum(c in _SIGNS for c in word)
+    if _NUMBER.fullmatch(word) and (r is None or letters < max(2, signs)):
+        # an address in the net keeps its characters; the mark at the end of a sentence is no digit
+        return word if _in_address(m) else word.rstrip("!").translate(_DIGITS) + "!" * (len(word) - len(word.rstrip("!")))
+    if r is None:
         return word
     true = r[0]
     if len(true) != len(word):
         return true.upper() if word.isupper() else true
     return "".join(t.upper() if w.isupper() else t for w, t in zip(word, true))
+
+
+def _in_address(m: re.Match) -> bool:
+    around = re.search(r"\S*$", m.string[: m.start()]).group() + re.match(r"\S*", m.string[m.start() :]).group()
+    return re.search(r"@|\.(?:test|example|invalid)", around) is not None

@@ -13,3 +13,11 @@ def test_rows_do_not_depend_on_the_size_of_the_corpus(spark):
     once, ten = rows(1), rows(10)
     assert {x[1:] for x in once} == {(str(i), 1, "misread") for i in range(30, 36)}
     assert ten == {(str(k), *x[1:]) for x in once for k in range(10)}
+
+
+def test_running_text_repairs_lines_with_broken_words_and_numbers():
+    reader = S.Reader(dict.fromkeys(("главный", "бухгалтер", "проверил", "ведомость", "склад", "за"), 500))
+    assert S.reassemble("Главиый бухгал-\nтср провернл склад", set(), reader) == "Главный бухгалтер проверил склад"
+    assert S.reassemble("Провернл ведо-\nмос-\nть. Провернл", set(), reader) == "Проверил ведомость. Проверил"
+    assert S.reassemble("Склад 5О7 рублей, 3О дней, l22 листа, тел. 8О0-77-89", set(), reader) == "Склад 507 рублей, 30 дней, 122 листа, тел. 800-77-89"
+    assert S.reassemble("На 15! Провернл\nbuh 1О@sklad.example", set(), reader) == "На 15! Проверил buh 1О@sklad.example"
