@@ -222,6 +222,17 @@ def _slips(d: DataFrame) -> DataFrame:
     return near.groupBy("inn").agg(F.min("right").alias("right"), F.count_distinct("right").alias("k")).where("k = 1").select("inn", "right")
 
 
+def _connected(links: DataFrame) -> DataFrame:
+    """(who, least): the smallest node that each node is connected with; links go both ways."""
+    label = cut(links.groupBy("who").agg(F.least("who", F.min("to")).alias("least")))
+    while True:
+        met = links.join(label.select(F.col("who").alias("to"), "least"), "to").groupBy("who").agg(F.min("least").alias("met"))
+        new = cut(label.join(met, "who").select("who", F.least("least", "met").alias("least"), (F.col("met") < F.col("least")).alias("moved")))
+        label = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return label
+
+
 def members(history: DataFrame) -> DataFrame:
     """(contractor, name), distinct: under which contractors each raw name occurs."""
     prepare(history.sparkSession)
@@ -251,9 +262,12 @@ def members(history: DataFrame) -> DataFrame:
     best = hits.groupBy("name", "contractor").agg(F.min(cost).alias("d")).groupBy("name").agg(F.min(F.struct("d", "contractor")).alias("b"), F.collect_list("d").alias("ds"))
     linked = best.where(F.size(F.filter("ds", lambda v: v == F.col("b.d"))) == 1).select("name", F.col("b.contractor").alias("contractor"))
     rest = orphans.join(best.select("name"), "name", "left_anti").withColumn("q", F.concat_ws(" ", "kind", "key"))
-    # those left are contractors without a number: the smallest key in reach of a key names it
-    own = near.join(rest.select("q").distinct(), "q").join(rest.select(F.col("q").alias("x")).distinct(), "x").groupBy("q").agg(F.min("x").alias("x"))
-    alone = rest.join(own, "q").select("name", F.concat_ws("|", F.lit("name"), "x", F.when(F.col("kind") == "person", F.substring("given", 1, 1)).otherwise("")).alias("contractor"))
+    # those left are contractors without a number: the smallest key that a key is connected with names it
+    initial = F.when(F.col("kind") == "person", F.substring("given", 1, 1)).otherwise("")
+    rest = cut(rest.select("name", "q", F.concat_ws("|", "q", initial).alias("who"), F.coalesce(initial, F.lit("")).alias("initial")))
+    nodes = rest.select("q", "who", "initial").distinct()
+    links = near.where("q <> x").join(nodes, "q").join(nodes.select(F.col("q").alias("x"), F.col("who").alias("to"), "initial"), ["x", "initial"]).select("who", "to")
+    alone = rest.join(_connected(cut(links)), "who", "left").select("name", F.concat_ws("|", F.lit("name"), F.coalesce("least", "who")).alias("contractor"))
     return sure.select("contractor", "name").unionByName(linked.select("contractor", "name")).unionByName(alone.select("contractor", "name")).distinct()
 
 
