@@ -218,7 +218,7 @@ def _slips(d: DataFrame) -> DataFrame:
     wrong = masks.join(masks.where("ok").select(F.col("inn").alias("right"), F.col("n").alias("m"), F.col("keys").alias("keys2"), "mask"), "mask")
     swapped = swaps.join(whole.withColumn("mask", F.col("right")), "mask")
     cols = ["inn", "n", "ok", "keys", "right", "m", "keys2"]
-    near = wrong.select(cols).unionByName(swapped.select(cols)).where("inn <> right and (not ok or (m >= 4 * n and n <= 3 and arrays_overlap(keys, keys2)))")
+    near = wrong.select(cols).unionByName(swapped.select(cols)).where("inn <> right and (not ok or (m >= 4 * n and arrays_overlap(keys, keys2)))")
     return near.groupBy("inn").agg(F.min("right").alias("right"), F.count_distinct("right").alias("k")).where("k = 1").select("inn", "right")
 
 
