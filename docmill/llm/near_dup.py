@@ -2,13 +2,13 @@
 
 A page is a vector of bits, one for each three words in a row. Two pages of n and m bits are alike
 if at least o = ceil((n + m) * t / (1 + t)) bits are common, so at most n - o bits of the first are
-missing in the second. Bits that hang together (those sharing their rarest word) form a partition,
-and partition i gets an allowance T_i >= -1 of its own with sum(T_i + 1) = n - o + 1 + EXTRA: it
-probes T_i + 1 of its bits, so a page alike shares at least EXTRA + 1 of the probed bits. The
-allowances come from dynamic programming on estimated candidate counts. As the cost of a partition's
-next bit never falls, the programme's optimum takes the bits that are cheapest overall (allocate()
-is the programme, cheapest() the shortcut; a test holds them against each other), and as the order
-of cost is one and the same for all pages, only probed bits need to be stored, too. Candidates that
+missing in the second. In the general principle partition i of the bits has an allowance T_i >= -1
+with sum(T_i + 1) = n - o + 1 + EXTRA and probes T_i + 1 of its bits, so a page alike shares at least
+EXTRA + 1 of the probed bits. The query forms no partitions: as the cost of a partition's next bit
+never falls, the optimum of the allowances takes the bits that are cheapest overall, so it is a
+prefix filter that probes the rarest bits (cheapest(); allocate() is the dynamic programme, called
+by a test only that holds the two against each other), and as the order of cost is one and the same
+for all pages, only probed bits need to be stored, too. Candidates that
 share enough probed bits are verified on their whole sets.
 
 Candidate counts are estimated by one array of counters; its size is fixed by SKETCH_BITS, and
