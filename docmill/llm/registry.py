@@ -44,6 +44,10 @@ def p4_normalized_names(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.one_form(table(spark, d, "history").select("id", "contractor_name"), ["contractor_name"])
 
 
+def p4_normalized_texts(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.one_form(table(spark, d, "ocr_cache").select("page_hash", "text"), ["text"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.alike_pages(table(spark, d, "ocr_cache")).unionByName(near_dup.alike_numbers(table(spark, d, "history")))
 
@@ -80,7 +84,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_running_text, p2_found, p2_redacted, p3_found, p3_members, p4_found, p4_normalized_names, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)
+    f.__name__: f for f in (p1_found, p1_running_text, p2_found, p2_redacted, p3_found, p3_members, p4_found, p4_normalized_names, p4_normalized_texts, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)
 }
 
 SQL: dict[str, str] = {}
