@@ -5,7 +5,7 @@ language with whose dictionary it compresses smallest. Between close sizes the p
 rejected, that is, left without a language. The dictionaries are cut from a bounded sample of
 labelled documents; as labels may be wrong, the sample is cleaned first: each half of it is
 classified with dictionaries cut from the other half, and paragraphs that disagree with their
-label are moved or dropped. Cyrillic languages get a second dictionary of the same sample spelt
+label are dropped, until the choice settles. Cyrillic languages get a second dictionary of the same sample spelt
 in Latin letters.
 
 Defined results: null, empty and wordless texts have no language and give no row of segments; in
@@ -15,6 +15,7 @@ documents() they have a null language with confidence 0. Texts are read whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -35,6 +36,8 @@ CYRILLIC = ("ru", "uk", "be", "kk")
 #: Documents of each label in the training sample, about; and bytes of each dictionary, at most.
 SAMPLE_DOCS = 240
 DICT_BYTES = 64_000
+#: Dictionaries of an alphabet are cut to the smallest of them, but not below so many bytes; rounds of cleaning, at most.
+LEAST_BYTES, ROUNDS = 16_000, 8
 #: A language is given only if its size is smaller than the next by this share, and by this many bytes.
 MARGIN, MARGIN_BYTES = 0.02, 1
 #: Bytes of a compressed frame that hold nothing of the text.
@@ -137,50 +140,77 @@ class Classifier:
 
 
 def _cut_dictionaries(pieces: dict[str, dict[str, list[str]]]) -> dict[str, dict[str, bytes]]:
+    """Contents of equal size within an alphabet, as a longer one would win by its length alone."""
     out: dict[str, dict[str, bytes]] = {"lat": {}, "cyr": {}}
     for side, by in pieces.items():
         for lang, texts in by.items():
-            out[side][lang] = "\n".join(texts).encode("utf-8", "replace")[-DICT_BYTES:]
+            out[side][lang] = "\n".join(texts).encode("utf-8", "replace")
     for lang in CYRILLIC:
         if texts := pieces["cyr"].get(lang):
-            table = str.maketrans(_LATIN[lang])
-            latin = "\n".join(texts).translate(table)
-            out["lat"][lang] = latin.encode("utf-8", "replace")[-DICT_BYTES:]
+            out["lat"][lang] = "\n".join(texts).translate(str.maketrans(_LATIN[lang])).encode("utf-8", "replace")
+    for by in out.values():
+        most = max(LEAST_BYTES, min(map(len, by.values()), default=0))
+        by.update({lang: content[-min(most, DICT_BYTES) :] for lang, content in by.items()})
     return out
 
 
-def train(rows: list[tuple[str, str]], rounds: int = 3) -> dict[str, dict[str, bytes]]:
-    """Dictionaries from (language of the label, text)."""
+def train(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> dict[str, dict[str, bytes]]:
+    """Dictionaries from (language of the label, text). A paragraph is learnt from only where dictionaries cut
+    from the other half of the sample say what its label says; so labels are dropped and never moved, and two
+    languages can't change places. Rounds go on until the choice settles. Short paragraphs, such as titles,
+    are the same in many documents; they are learnt last, from documents whose long paragraphs all bear the
+    label out, each for the language that nearly all of these documents are in."""
+    texts = [(lang, [(alphabet(w, w.encode("utf-8", "replace")), w) for p in paragraphs(text) if (w := letters(p))]) for lang, text in rows]
+    # a language in its other alphabet is learnt by respelling
+    texts = [(lang, [(side, w) for side, w in ps if (side == "cyr") == (lang in CYRILLIC)]) for lang, ps in texts]
+    lengthy = {lang for lang, ps in texts if any(len(w) >= SHORT for _, w in ps)}
+    named: dict[tuple[str, str], Counter[str]] = {}
+    for lang, ps in texts:
+        for side, w in ps:
+            if len(w) >= SHORT or lang not in lengthy:
+                named.setdefault((side, w), Counter())[lang] += 1
     halves: list[list[tuple[str, str, str]]] = [[], []]
-    seen: set[str] = set()
-    for n, (lang, text) in enumerate(rows):
-        for p in paragraphs(text):
-            words = letters(p)
-            if not words or words in seen:
-                continue
-            seen.add(words)
-            side = alphabet(words, words.encode("utf-8", "replace"))
-            if (side == "cyr") == (lang in CYRILLIC):  # a language in its other alphabet is learnt by respelling
-                halves[n % 2].append((side, lang, words))
-    labels = [[lang for _, lang, _ in half] for half in halves]
+    for n, ((side, w), by) in enumerate(named.items()):
+        if (top := _leading(by, 0.5)) is not None:
+            halves[n % 2].append((side, top, w))
+
+    def gather(some, kept) -> dict[str, dict[str, list[str]]]:
+        pieces: dict[str, dict[str, list[str]]] = {"lat": {}, "cyr": {}}
+        for (side, lang, w), keep in zip(some, kept):
+            if keep:
+                pieces[side].setdefault(lang, []).append(w)
+        return pieces
+
+    kept = [[True] * len(half) for half in halves]
     for _ in range(rounds):
-        models = []
-        for half, named in zip(halves, labels):
-            pieces: dict[str, dict[str, list[str]]] = {"lat": {}, "cyr": {}}
-            for (side, _, words), lang in zip(half, named):
-                if lang:
-                    pieces[side].setdefault(lang, []).append(words)
-            models.append(Classifier(_cut_dictionaries(pieces)))
-        # a half is judged by the other half's dictionaries
-        labels = [[models[1 - h].of(words).lang for _, _, words in half] for h, half in enumerate(halves)]
-    pieces = {"lat": {}, "cyr": {}}
-    for half, named in zip(halves, labels):
-        for (side, _, words), lang in zip(half, named):
-            if lang and (side == "cyr") == (lang in CYRILLIC):
-                pieces[side].setdefault(lang, []).append(words)
+        models = [Classifier(_cut_dictionaries(gather(*x))) for x in zip(halves, kept)]
+        last, kept = kept, [[models[1 - h].of(w).lang == lang for _, lang, w in half] for h, half in enumerate(halves)]
+        # a label of which nothing is left keeps what it had
+        for h, half in enumerate(halves):
+            lost = {lang for _, lang, _ in half} - {lang for (_, lang, _), k in zip(half, kept[h]) if k}
+            kept[h] = [k or lang in lost for (_, lang, _), k in zip(half, kept[h])]
+        if kept == last:
+            break
+    pieces = gather(halves[0] + halves[1], kept[0] + kept[1])
+    clean = Classifier(_cut_dictionaries(pieces))
+    titles: dict[tuple[str, str], Counter[str]] = {}
+    for lang, ps in texts:
+        long = {clean.of(w).lang for _, w in ps if len(w) >= SHORT}
+        if long == {lang}:
+            for at in {(side, w) for side, w in ps if len(w) < SHORT}:
+                titles.setdefault(at, Counter())[lang] += 1
+    for (side, w), by in titles.items():
+        if (top := _leading(by, 0.8)) is not None:
+            pieces[side].setdefault(top, []).append(w)
     return _cut_dictionaries(pieces)
 
 
+def _leading(by: Counter[str], share: float) -> str | None:
+    """The language of more than this share of the documents, if there is one."""
+    lang, n = by.most_common(1)[0]
+    return lang if n > share * by.total() else None
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict[str, dict[str, bytes]]:
     """Dictionaries from about sample_docs documents of each label, drawn by a hash of the id over the whole table."""
     codes = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])

@@ -33,6 +33,24 @@ def test_languages(spark):
     assert L.fit(df.limit(0)) == {"lat": {}, "cyr": {}}
 
 
+def test_training_settles_on_kindred_languages_with_wrong_labels():
+    """A rare language of whose labelled documents four in ten are wrong keeps its own place in every draw."""
+    stems = ["договор", "отгруз", "накладн", "поставщ", "оплат", "сальдо", "период", "сумм", "налог", "склад"]
+    ends = {"ru": ["ы", "ого", "ение", "ться", "ый"], "uk": ["и", "ого", "ення", "тися", "ий"], "be": ["ы", "ага", "энне", "цца", "ы"]}
+
+    def text(lang, rng):
+        return "\n\n".join([f"{stems[0]}{ends[lang][0]}", *(" ".join(rng.choice(stems) + rng.choice(ends[lang]) for _ in range(14)) for _ in range(3))])
+
+    for seed in range(6):
+        rng = random.Random(seed)
+        rows = [("ru", text("ru", rng)) for _ in range(60)] + [("uk", text("uk", rng)) for _ in range(20)] + [("be", text("be", rng)) for _ in range(12)] + [("be", text("ru", rng)) for _ in range(8)] + [("uk", text("ru", rng)) for _ in range(6)]
+        rng.shuffle(rows)
+        c = L.Classifier(L.train(rows))
+        for lang in ends:
+            got = [v.lang for _ in range(20) for v in c.of_paragraphs(text(lang, rng)) if v.letters >= L.SHORT]
+            assert got.count(lang) >= 0.95 * len(got), (seed, lang)
+
+
 def test_name_keys():
     same = ["Акт № 049141139 от 02.11.2024.pdf", "акт_№_049141139_от_02.11.2024_copy.PDF", "Copy of Aкт № 049141139 oт 02.11.2024 — копия (2).jpg", "Копия_Акт № 049141139  от 02.11.2024 .pdf"]
     assert len({B.name_key(x) for x in same}) == 1
