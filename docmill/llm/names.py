@@ -16,6 +16,7 @@ contractors equally well is linked to none; repeated rows count once.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from docmill.llm.lookalikes import TO_CYRILLIC, normalize
 from docmill.runtime import cut, prepare
 
-#: Pivots, the sample they are drawn from, and the radius in edits.
-PIVOTS, PIVOT_SAMPLE, RADIUS = 24, 600, 2
+#: The radius in edits; the sample that pivots are drawn from, the least number of pivots, by what the root of the
+#: number of names is divided to give it, and the number up to which distances are compiled.
+RADIUS, PIVOT_SAMPLE, LEAST_PIVOTS, NAMES_A_PIVOT, COMPILED = 2, 600, 12, 6, 64
 
 #: Cyrillic letters in Latin spelling, and the keys of a Russian keyboard.
 SPELL = str.maketrans(dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh shch  y  e yu ya".split(" "))))
@@ -128,38 +130,43 @@ def sound(inn: str) -> bool:
     return len(d) == 12 and digit((7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) == d[10] and digit((3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) == d[11]
 
 
+def _distances(c: Column, pivots: list[str]) -> Column:
+    """Edits to each pivot; up to COMPILED of them as single expressions, which are compiled."""
+    if len(pivots) <= COMPILED:
+        return F.array(*[F.levenshtein(c, F.lit(p)) for p in pivots])
+    return F.transform(F.array(*[F.lit(p) for p in pivots]), lambda p: F.levenshtein(c, p))
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS, pivots: list[str] | None = None) -> DataFrame:
-    """(q, x, d): all pairs of left.q and right.x within the radius of the Levenshtein metric. Both
-    sides must be distinct. Exact for any pivots."""
+    """(q, x, d): all pairs of left.q and right.x within the radius of the Levenshtein metric. Exact for any
+    pivots; their number grows with the root of the number of names, so that cells stay small. The distances
+    to the pivots are computed once for each different name and written."""
+    both = left.select(F.col("q").alias("x"), F.lit(True).alias("asks"), F.lit(False).alias("held")).unionByName(right.select("x", F.lit(False).alias("asks"), F.lit(True).alias("held")))
+    both = cut(both.where("x is not null").groupBy("x").agg(F.max("asks").alias("asks"), F.max("held").alias("held")))
     if pivots is None:
-        sample = [r.x for r in right.orderBy(F.xxhash64("x"), "x").limit(PIVOT_SAMPLE).collect()]
-        pivots = farthest(sample, PIVOTS)
+        sample = [r.x for r in both.where("held").orderBy(F.xxhash64("x"), "x").limit(PIVOT_SAMPLE).collect()]
+        pivots = farthest(sample, max(LEAST_PIVOTS, math.isqrt(both.count()) // NAMES_A_PIVOT))
     if not pivots:
-        return left.crossJoin(right.limit(0)).select("q", "x", F.lit(0).alias("d"))
-    ps = F.array(*[F.lit(p) for p in pivots])
-
-    def to_pivots(c: str) -> Column:
-        return F.transform(ps, lambda p: F.levenshtein(F.col(c), p))
-
-    # a name's cell is its nearest pivot; its rings are the distances to that pivot and to the one after it
+        return both.select(F.col("x").alias("q"), "x", F.lit(0).alias("d")).limit(0)
+    # a name's cell is its nearest pivot; its rings are the distances to that pivot and to the two after it
     n = len(pivots)
-    homes = (
-        right.select("x", to_pivots("x").alias("ds"))
-        .select("x", "ds", (F.array_position("ds", F.array_min("ds")) - 1).cast("int").alias("cell"))
-        .select("x", "cell", F.expr("ds[cell]").alias("r1"), F.expr(f"ds[(cell + 1) % {n}]").alias("r2"), F.expr(f"ds[(cell + 2) % {n}]").alias("r3"))
+    both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x")  # few bytes but much work: not to be put together
+    near = cut(both.select("x", "asks", "held", _distances(F.col("x"), pivots).alias("ds")).withColumn("least", F.array_min("ds")))
+    homes = near.where("held").select("x", (F.array_position("ds", F.col("least")) - 1).cast("int").alias("cell"), "ds").select(
+        "x", "cell", F.expr("ds[cell]").alias("r1"), F.expr(f"ds[(cell + 1) % {n}]").alias("r2"), F.expr(f"ds[(cell + 2) % {n}]").alias("r3")
     )
     around = F.sequence(F.lit(-radius), F.lit(radius))
     asked = (
-        left.select("q", to_pivots("q").alias("ds"))
-        .select("q", "ds", F.array_min("ds").alias("least"), F.posexplode("ds").alias("cell", "d1"))
+        near.where("asks").select(F.col("x").alias("q"), "ds", "least", F.posexplode("ds").alias("cell", "d1"))
         .where(F.col("d1") <= F.col("least") + 2 * radius)
         .select("q", "cell", "d1", F.expr(f"ds[(cell + 1) % {n}]").alias("d2"), F.expr(f"ds[(cell + 2) % {n}]").alias("d3"))
         .select("q", "cell", F.explode(F.transform(around, lambda i: F.col("d1") + i)).alias("r1"), "d2", "d3")
         .where("r1 >= 0")
         .select("q", "cell", "r1", F.explode(F.transform(around, lambda i: F.col("d2") + i)).alias("r2"), "d3")
     )
-    near = asked.join(homes, ["cell", "r1", "r2"]).where(F.abs(F.col("r3") - F.col("d3")) <= radius)
-    return near.select("q", "x", F.levenshtein("q", "x", radius).alias("d")).where("d >= 0").distinct()
+    met = asked.join(homes, ["cell", "r1", "r2"]).where(F.abs(F.col("r3") - F.col("d3")) <= radius)
+    # a name stands in one cell and one ring of it, so a pair meets once
+    return met.select("q", "x", F.levenshtein("q", "x", radius).alias("d")).where("d >= 0")
 
 
 def farthest(sample: list[str], k: int) -> list[str]:
@@ -208,18 +215,21 @@ def _described(history: DataFrame) -> DataFrame:
 
 
 def _slips(d: DataFrame) -> DataFrame:
-    """(inn, right): numbers that are one digit or one swap away from a single sound number, which
-    stands in many more rows; a sound number also must share a name's key with it."""
-    inns = d.where("inn is not null").groupBy("inn").agg(F.sum("n").alias("n"), F.first("ok").alias("ok"), F.collect_set(F.when(F.col("ok"), F.col("key"))).alias("keys"))
+    """(inn, right): numbers that are one digit or one swap away from a single sound number; a sound one only
+    if that stands in many more rows and shares a name's key with it. Keys are looked up for such pairs alone."""
+    inns = cut(d.where("inn is not null").groupBy("inn").agg(F.sum("n").alias("n"), F.first("ok").alias("ok")))
     at = F.explode(F.sequence(F.lit(1), F.length("inn")))
-    masks = inns.select("*", at.alias("p")).select("*", F.concat(F.expr("substring(inn, 1, p - 1)"), F.lit("*"), F.expr("substring(inn, p + 1)")).alias("mask"))
-    swaps = inns.select("*", at.alias("p")).where(F.col("p") < F.length("inn")).select("*", F.expr("concat(substring(inn, 1, p - 1), substring(inn, p + 1, 1), substring(inn, p, 1), substring(inn, p + 2))").alias("mask"))
-    whole = inns.where("ok").select(F.col("inn").alias("right"), F.col("n").alias("m"), F.col("keys").alias("keys2"))
-    wrong = masks.join(masks.where("ok").select(F.col("inn").alias("right"), F.col("n").alias("m"), F.col("keys").alias("keys2"), "mask"), "mask")
+    masks = inns.select("*", at.alias("p")).select("*", F.concat(F.expr("substring(inn, 1, p - 1)"), F.lit("*"), F.expr("substring(inn, p + 1)")).alias("mask")).drop("p")
+    swaps = inns.select("*", at.alias("p")).where(F.col("p") < F.length("inn")).select("inn", "n", "ok", F.expr("concat(substring(inn, 1, p - 1), substring(inn, p + 1, 1), substring(inn, p, 1), substring(inn, p + 2))").alias("mask"))
+    whole = inns.where("ok").select(F.col("inn").alias("right"), F.col("n").alias("m"))
+    wrong = masks.join(masks.where("ok").select(F.col("inn").alias("right"), F.col("n").alias("m"), "mask"), "mask")
     swapped = swaps.join(whole.withColumn("mask", F.col("right")), "mask")
-    cols = ["inn", "n", "ok", "keys", "right", "m", "keys2"]
-    near = wrong.select(cols).unionByName(swapped.select(cols)).where("inn <> right and (not ok or (m >= 4 * n and arrays_overlap(keys, keys2)))")
-    return near.groupBy("inn").agg(F.min("right").alias("right"), F.count_distinct("right").alias("k")).where("k = 1").select("inn", "right")
+    cols = ["inn", "ok", "right"]
+    near = wrong.unionByName(swapped).where("inn <> right and (not ok or m >= 4 * n)").select(cols)
+    near = cut(near)
+    keys = d.where("ok").select("inn", "key").distinct()
+    shared = near.where("ok").join(keys, "inn").join(keys.withColumnRenamed("inn", "right"), ["right", "key"], "left_semi").select(cols)
+    return near.where("not ok").unionByName(shared).groupBy("inn").agg(F.min("right").alias("right"), F.count_distinct("right").alias("k")).where("k = 1").select("inn", "right")
 
 
 def _connected(links: DataFrame) -> DataFrame:
@@ -259,8 +269,9 @@ def members(history: DataFrame) -> DataFrame:
     hits = o.join(k, "x").where((F.col("kind") == "org") | fit("given", "given2"))
     # the best fit, where another legal form counts half an edit; of two equally good ones none
     cost = F.col("d") * 2 + F.when((F.col("form") != "") & (F.col("form2") != "") & (F.col("form") != F.col("form2")), 1).otherwise(0)
-    best = hits.groupBy("name", "contractor").agg(F.min(cost).alias("d")).groupBy("name").agg(F.min(F.struct("d", "contractor")).alias("b"), F.collect_list("d").alias("ds"))
-    linked = best.where(F.size(F.filter("ds", lambda v: v == F.col("b.d"))) == 1).select("name", F.col("b.contractor").alias("contractor"))
+    fits = hits.groupBy("name", "contractor").agg(F.min(cost).alias("d")).groupBy("name", "d").agg(F.count("*").alias("k"), F.min("contractor").alias("contractor"))
+    best = cut(fits.groupBy("name").agg(F.min(F.struct("d", "k", "contractor")).alias("b")).select("name", "b.k", "b.contractor"))
+    linked = best.where("k = 1")
     rest = orphans.join(best.select("name"), "name", "left_anti").withColumn("q", F.concat_ws(" ", "kind", "key"))
     # those left are contractors without a number: the smallest key that a key is connected with names it
     initial = F.when(F.col("kind") == "person", F.substring("given", 1, 1)).otherwise("")
