@@ -1,17 +1,20 @@
 """Problem 1: noise in text from scanned pages, and the running text without it.
 
-Lines at the top and foot of a page are labelled by a hidden Markov model (running header, page
-number, title, body; blank lines are breaks and count as a feature of the next line). Its
+The lines of a page are labelled by a hidden Markov model: running header, page number, title, body
+line, body line that begins a paragraph, table line, break in the margin and break in the body. Its
 observations are layout features: the form of the line, whether another page of the same file
-carries it, its length, whether it looks like the title of a paper. It starts from fixed
-probabilities and is fitted to a bounded sample by hard expectation maximisation. Misread words are
-words hardly ever seen that turn into common ones when one character is replaced by one it is taken
-for; broken words are told from true hyphens by which spelling the corpus knows. The lexicon counts
-all pages; of it the LEXICON most frequent words are kept.
+carries it, indents, lines that end early, blank lines. It starts from fixed probabilities and is
+fitted to a bounded sample by hard expectation maximisation. From each edge the lines are labelled
+inwards, as far as no two lines of prose have been met; what is left is labelled from the top, and
+the running text is put together by these labels. Misread words are words hardly ever seen that turn into common ones when one
+character is replaced by one it is taken for; broken words are told from true hyphens by which
+spelling the corpus knows. All tests are by shares of the corpus's words, so a corpus given many
+times over has the same noise. The lexicon holds the words that make up at least LEAST_SHARE of
+all, so at most 1 / LEAST_SHARE.
 
 Lines are parted by LF and counted from 1, blank ones too. Defined results: null and empty texts
 have no noise; repeated rows of a page count once; a page in no file has no headers; a page in
-several files has those of all.
+several files has those of all; words of more than LONGEST characters are never misread or broken.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 from docmill.llm import lookalikes
 from docmill.runtime import cut, prepare
 
-LEXICON, LEAST_COUNT = 100_000, 4
+#: The least share of the corpus's words that a word of the lexicon has, and its greatest length.
+LEAST_SHARE, LONGEST = 1e-6, 64
 #: A common word must be so many times as frequent as the misread one.
 RATIO = 12
 #: A word is common that makes up one of so many words of the corpus.
 COMMON = 35_000
+#: Full lines from an edge that are always looked at; more are, up to the second line of prose.
 EDGE = 3
 SAMPLE_PAGES, ROUNDS = 2000, 3
 
@@ -66,6 +71,12 @@ _BARE = re.compile(rf"^\s*{_N}\s*$")
 _TITLE = re.compile(r"(?:№|no\.?|n)\s*\S+\s+(?:от|dated|of|from)\s+\S", re.I)
 #: A line that goes on from or into a sentence.
 _PROSE = re.compile(r"^\s*[a-zа-яё]|[.,;:!?‐¬-]\s*$(?<![Гг]\.)")
+_ADDRESS = re.compile(r"@|[A-Za-z0-9]\.[a-z]{2}")
+_TABLE = re.compile(r"^\s*(?:\d+\s+\S.*\s)?\d[\d ]*[.,]\d\d\s*$")
+_ROW = re.compile(r"^\s*\d+\s+\S.*\s\d[\d ]*[.,]\d\d\s*$")
+#: A line that a sentence doesn't end with, and one that it goes on with.
+_RUNS_ON = re.compile(r"(?:№|(?<![^\W_])[a-zа-яё]{1,3})\s*$")
+_GOES_ON = re.compile(r"(?:\d[\d/]*[;,]?\s+)?[a-zа-яё]")
 _RUNNING = re.compile(r"«|»|\||•|\"|ооо|зао|пао|llc|ltd|приложение|annex|исх|форма|form|экземпляр|copy|конфиден|confid|внутрен|internal", re.I)
 
 
@@ -84,8 +95,9 @@ def same_key(line: str) -> str:
 # --- lexicon -----------------------------------------------------------------------------------
 
 
-def lexicon(pages: DataFrame, text: str = "text") -> dict[str, int]:
-    """Counts of the most frequent words; words with their own hyphen count as one word, too."""
+def lexicon(pages: DataFrame, text: str = "text") -> tuple[dict[str, int], int]:
+    """(counts of the words of the lexicon, count of all words); words with their own hyphen count as one
+    word, too, and figures alone are no words."""
 
     def run(batches):
         for b in batches:
@@ -93,17 +105,19 @@ def lexicon(pages: DataFrame, text: str = "text") -> dict[str, int]:
             for t in b.column(0).to_pylist():
                 if t:
                     n.update(_WORD.findall(readable(t).lower()))
-            rows = [(w, k) for w, k in n.items() if len(w) < 40]
+            rows = [(w, k) for w, k in n.items() if len(w) <= LONGEST and not w.isdigit()]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.int64())], ["w", "n"])
 
-    counts = pages.select(text).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    return {r.w: r.n for r in counts.orderBy(F.desc("n"), "w").limit(LEXICON).collect()}
+    counts = cut(pages.select(text).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return {r.w: r.n for r in counts.where(F.col("n") >= LEAST_SHARE * total).collect()}, total
 
 
 class Reader:
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], total: int | None = None):
         self.counts = counts
-        self.common = sum(counts.values()) / COMMON
+        total = sum(counts.values()) if total is None else total
+        self.common, self.least = total / COMMON, LEAST_SHARE * total
         self.known: dict[str, int] = {}
 
     def count(self, word: str) -> int:
@@ -111,33 +125,37 @@ class Reader:
 
     def repair(self, word: str) -> tuple[str, int] | None:
         """The common word that this one is misread from, with the place of the first wrong character."""
+        if len(word) > LONGEST:
+            return None
         low = word.lower()
-        n = self.count(low)
+        least = RATIO * (self.count(low) + self.least)
         best: tuple[int, str, int] | None = None
         for i, c in enumerate(low):
             for true in _TRUE.get(c, ""):
                 other = low[:i] + true.lower() + low[i + 1 :]
                 k = self.count(other)
-                if k >= RATIO * (n + 1) and (best is None or k > best[0]):
+                if k and k >= least and (best is None or k > best[0]):
                     best = (k, other, i)
                 if k == 0 and not c.isalpha():  # signs come in pairs at times
                     for j in range(i + 1, len(low)):
                         for true2 in _TRUE.get(low[j], ""):
                             twice = other[:j] + true2.lower() + other[j + 1 :]
                             k = self.count(twice)
-                            if k >= RATIO * (n + 1) and (best is None or k > best[0]):
+                            if k and k >= least and (best is None or k > best[0]):
                                 best = (k, twice, i)
         for read, true in PAIRS_READ:
             i = low.find(read)
             if i >= 0:
                 other = low.replace(read, true, 1)
                 k = self.count(other)
-                if k >= RATIO * (n + 1) and (best is None or k > best[0]):
+                if k and k >= least and (best is None or k > best[0]):
                     best = (k, other, i)
         return None if best is None else (best[1], best[2])
 
     def misread_at(self, word: str) -> int:
         """Place of a misread character in a word or number, -1 if there is none."""
+        if len(word) > LONGEST:
+            return -1
         if word in self.known:
             return self.known[word]
         out = -1
@@ -163,13 +181,15 @@ class Reader:
         """Whether left-/right is one word broken at the end of a line, not one with its own hyphen."""
         if not right or not (right[0].islower() or (left.isupper() and right[0].isupper())) and not right[0] in _SIGNS:
             return False
+        if len(left) + len(right) > LONGEST:
+            return False
         if "@" in tail or re.match(r"\.\w", tail):
             return False
         a, b = left.lower(), right.lower()
         joined, own = self._best(a + b), self._best(f"{a}-{b}")
         if own > joined:
             return False
-        return joined > 0 or min(self.count(a), self.count(b)) < max(1, self.common) or len(a) <= 3 or len(b) <= 3
+        return joined > 0 or min(self.count(a), self.count(b)) < max(self.common, self.least, 1e-9) or len(a) <= 3 or len(b) <= 3
 
     def _best(self, word: str) -> int:
         n = self.count(word)
@@ -214,7 +234,7 @@ def line_noise(text: str | None, reader: Reader) -> list[tuple[int, str]]:
                 continue
             if w.end() < len(line) and line[w.end()] in "@_" or w.start() > 0 and line[w.start() - 1] in "@_":
                 continue  # parts of addresses in the net
-            if reader.misread_at(word) >= 0 and not re.search(r"@|\.(?:test|example|invalid)", line[w.start() : w.end() + 8]):
+            if reader.misread_at(word) >= 0 and not _in_address(w):
                 out.add((n, "misread"))
                 break
         carried = jump
@@ -224,91 +244,148 @@ def line_noise(text: str | None, reader: Reader) -> list[tuple[int, str]]:
 # --- lines at the top and foot ----------------------------------------------------------------
 
 
-def edge_lines(text: str) -> list[tuple[str, int, int, str, str]]:
-    """(side, place from the edge, line number, line, form) of the lines near the top and the foot."""
+def edge_lines(text: str) -> list[tuple[str, int, str, str]]:
+    """(side, line number, line, form) of the lines from the top inwards, then of those from the foot inwards;
+    each run ends with its second line of prose, but has EDGE full lines at least."""
     lines = text.split("\n")
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    near = {j for i in full[:EDGE] + full[-EDGE:] for j in (i - 1, i, i + 1) if 0 <= j < len(lines)}
-    lines = [readable(x) if i in near else x for i, x in enumerate(lines)]
+    plain: dict[int, str] = {}
+
+    def at(i: int) -> str:
+        if i not in plain:
+            plain[i] = readable(lines[i]) if 0 <= i < len(lines) else ""
+        return plain[i]
+
     out = []
-    for side, some in (("t", full[:EDGE]), ("f", full[::-1][:EDGE])):
-        for place, i in enumerate(some):
-            if side == "f" and i in full[:EDGE]:
-                continue  # a short page is all top
-            x = lines[i]
-            if _DRESSED.match(x):
-                form = "dressed"
-            elif _BARE.match(x):
-                before = lines[i - 1].strip() if i else ""
-                after = lines[i + 1].strip() if i + 1 < len(lines) else ""
-                apart = x.startswith("    ") or (not before and i > 0) or (not after and i + 1 < len(lines)) or (side == "t" and (i == 0 or place == 1 and after[:1].isupper())) or (side == "f" and (place == 0 or re.search(r"[.!?:]$", before) is not None))
-                form = "bare" if apart and re.search(r"№$|\bno\.?$|\bот$", before) is None else "plain"
-            elif _TITLE.search(x) and not _RUNNING.search(x) and len(x.strip()) < 90:
-                form = "title"
-            elif _PROSE.search(x):
-                form = "prose"
+    top = 0
+    for side, some in (("t", range(len(lines))), ("f", range(len(lines) - 1, -1, -1))):
+        full = prose = 0
+        for i in some:
+            if side == "f" and i < top:
+                break  # a short page is all top
+            x = at(i)
+            if not x.strip():
+                form = "blank"
             else:
-                form = "long" if len(x.strip()) > 72 else "plain"
-            out.append((side, place, i + 1, x, form))
+                form = _form(x, at(i - 1), at(i + 1), side, full, i, len(lines))
+                full += 1
+                prose += form == "prose"
+            out.append((side, i + 1, x, form))
+            if full >= EDGE and prose >= 2:
+                break
+        if side == "t":
+            top = i + 1 if lines else 0
     return out
 
 
-STATES = "HNTB"  # header, number, title, body
-#: Where the fit starts. Form of the line and whether another page carries it.
-_START_P = {"H": 0.3, "N": 0.2, "T": 0.2, "B": 0.3}
-_STEP_P = {"H": {"H": 0.1, "N": 0.3, "T": 0.25, "B": 0.35}, "N": {"H": 0.3, "N": 0.01, "T": 0.25, "B": 0.44}, "T": {"H": 0.03, "N": 0.02, "T": 0.02, "B": 0.93}, "B": {"H": 0.02, "N": 0.02, "T": 0.02, "B": 0.94}}
+def _form(x: str, before: str, after: str, side: str, place: int, i: int, n: int) -> str:
+    if len(x) < 60:
+        if _DRESSED.match(x):
+            # the number of a paper may be carried over to a line of its own
+            carried = x.startswith("№") and before.strip() and before.rstrip()[-1] not in ".!?:"
+            return "prose" if carried else "dressed"
+        if _BARE.match(x):
+            before, after = before.strip(), after.strip()
+            apart = x.startswith("    ") or (not before and i > 0) or (not after and i + 1 < n) or (side == "t" and (i == 0 or place == 1 and after[:1].isupper())) or (side == "f" and (place == 0 or re.search(r"[.!?:]$", before) is not None))
+            return "bare" if apart and re.search(r"№$|\bno\.?$|\bот$", before) is None else "plain"
+    if _TABLE.match(x):
+        return "table"
+    size = len(x.strip())
+    if size < 90 and _TITLE.search(x) and not _RUNNING.search(x):
+        return "title"
+    if _PROSE.search(x) or not _RUNNING.search(x) and (_RUNS_ON.search(x) or _GOES_ON.match(after) and not _DRESSED.match(after)):
+        return "prose"
+    return "long" if size > 72 else "plain"
+
+
+#: Header, number, title, body line, first line of a paragraph, table line, break in the margin, break in the body.
+STATES = "HNTBPXEK"
+FORMS = ("prose", "plain", "title", "long", "dressed", "bare", "table", "blank", "first", "lower")
+#: Where the fit starts; what isn't named is unlikely.
+_START_P = {"H": 0.3, "N": 0.2, "T": 0.2, "B": 0.14, "P": 0.1, "X": 0.02, "E": 0.04}
+_STEP_P = {
+    "H": {"H": 0.1, "N": 0.2, "T": 0.16, "B": 0.12, "P": 0.12, "X": 0.01, "E": 0.29}, "N": {"H": 0.25, "N": 0.01, "T": 0.16, "B": 0.2, "P": 0.12, "X": 0.01, "E": 0.25},
+    "T": {"H": 0.03, "N": 0.02, "T": 0.02, "B": 0.2, "P": 0.2, "X": 0.03, "E": 0.02, "K": 0.48}, "B": {"H": 0.005, "N": 0.005, "T": 0.005, "B": 0.8, "P": 0.045, "X": 0.02, "K": 0.12},
+    "P": {"H": 0.005, "N": 0.005, "T": 0.005, "B": 0.8, "P": 0.045, "X": 0.02, "K": 0.12}, "X": {"H": 0.002, "N": 0.002, "T": 0.002, "B": 0.05, "P": 0.2, "X": 0.6, "K": 0.144},
+    "E": {"H": 0.25, "N": 0.2, "T": 0.25, "B": 0.1, "P": 0.17, "X": 0.02, "E": 0.01}, "K": {"H": 0.005, "N": 0.005, "T": 0.005, "B": 0.03, "P": 0.82, "X": 0.115, "K": 0.02},
+}
+_EMIT_P = {
+    "H": {"prose": 0.001, "plain": 0.799, "title": 0.02, "long": 0.17, "dressed": 0.005, "bare": 0.005}, "N": {"dressed": 0.7, "bare": 0.298, "plain": 0.0009, "title": 0.0005, "long": 0.0005, "prose": 0.0001},
+    "T": {"title": 0.9, "plain": 0.089, "long": 0.008, "prose": 0.001, "dressed": 0.001, "bare": 0.001}, "B": {"prose": 0.4, "plain": 0.3, "long": 0.28, "title": 0.01, "dressed": 0.005, "bare": 0.004, "first": 0.001, "lower": 0.4, "table": 0.02},
+    "P": {"prose": 0.2, "plain": 0.15, "long": 0.14, "title": 0.005, "dressed": 0.0025, "bare": 0.0025, "first": 0.5, "lower": 0.004, "table": 0.002}, "X": {"table": 0.97, "plain": 0.01, "bare": 0.01, "prose": 0.01}, "E": {"blank": 1.0}, "K": {"blank": 1.0},
+}
+_CARRIED_P = {"H": 0.995, "N": 0.3, "T": 0.1}
+_RARE = 1e-6
 
 
 def _start_emission(state: str, form: str, rep: bool) -> float:
-    base = {
-        "H": {"prose": 0.001, "plain": 0.799, "title": 0.02, "long": 0.17, "dressed": 0.005, "bare": 0.005}, "N": {"dressed": 0.7, "bare": 0.298, "prose": 0.0001, "plain": 0.0009, "title": 0.0005, "long": 0.0005},
-        "T": {"title": 0.9, "prose": 0.001, "plain": 0.089, "long": 0.008, "dressed": 0.001, "bare": 0.001}, "B": {"prose": 0.4, "plain": 0.3, "long": 0.28, "title": 0.01, "dressed": 0.005, "bare": 0.005},
-    }[state][form]
-    carried = {"H": 0.995, "N": 0.3, "T": 0.1, "B": 0.02}[state]
-    return base * (carried if rep else 1 - carried)
+    carried = _CARRIED_P.get(state, 0.02)
+    return _EMIT_P[state].get(form, _RARE) * (carried if rep else 1 - carried)
 
 
 class Model:
     def __init__(self):
-        forms = [(f, r) for f in ("prose", "plain", "title", "long", "dressed", "bare") for r in (False, True)]
-        self.done: dict[tuple, str] = {}
-        self.start = dict(_START_P)
-        self.step = {a: dict(b) for a, b in _STEP_P.items()}
-        self.emit = {s: {o: _start_emission(s, *o) for o in forms} for s in STATES}
-
-    def label(self, seen: list[tuple[str, bool]]) -> str:
-        """The likeliest labels of the lines from the edge inwards; few different sequences occur."""
-        got = self.done.get(tuple(seen))
-        if got is None:
-            got = self.done[tuple(seen)] = self._label(seen)
-        return got
-
-    def _label(self, seen: list[tuple[str, bool]]) -> str:
-        best = {s: (math.log(self.start[s]) + math.log(self.emit[s][seen[0]]), s) for s in STATES}
+        self.start = {s: _START_P.get(s, _RARE) for s in STATES}
+        self.step = {a: {b: _STEP_P[a].get(b, _RARE) for b in STATES} for a in STATES}
+        self.emit = {s: {(f, r): _start_emission(s, f, r) for f in FORMS for r in (False, True)} for s in STATES}
+        self._ready()
+
+    def _ready(self) -> None:
+        self.log_step = [[math.log(self.step[a][b]) for a in STATES] for b in STATES]
+        self.log_emit = {o: [math.log(self.emit[s][o]) for s in STATES] for o in self.emit["H"]}
+        self.done: dict[tuple, tuple] = {}
+
+    def label(self, seen: list[tuple[str, bool]], before: str | None = None) -> str:
+        """The likeliest labels of the lines, one after another, after a line labelled before. Scores are kept
+        relative to the best one, so that few different steps occur, and each is computed once."""
+        if not seen:
+            return ""
+        e = self.log_emit[seen[0]]
+        first = [math.log(self.start[s]) if before is None else self.log_step[k][STATES.index(before)] for k, s in enumerate(STATES)]
+        at = self._relative([a + b for a, b in zip(first, e)])
+        back = []
         for o in seen[1:]:
-            best = {
-                s: max((score + math.log(self.step[path[-1]][s]) + math.log(self.emit[s][o]), path + s) for score, path in best.values()) for s in STATES
-            }
-        return max(best.values())[1]
+            got = self.done.get((at, o))
+            if got is None:
+                got = self._next(at, o)
+            back.append(got[1])
+            at = got[0]
+        k = max(range(len(STATES)), key=at.__getitem__)
+        path = [k]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        return "".join(STATES[k] for k in reversed(path))
+
+    @staticmethod
+    def _relative(scores: list[float]) -> tuple[float, ...]:
+        top = max(scores)
+        return tuple(round(x - top, 6) for x in scores)
+
+    def _next(self, at: tuple[float, ...], o: tuple[str, bool]) -> tuple:
+        came = [max(range(len(STATES)), key=lambda j: at[j] + row[j]) for row in self.log_step]
+        scores = [at[j] + row[j] + e for j, row, e in zip(came, self.log_step, self.log_emit[o])]
+        if len(self.done) > 100_000:
+            self.done.clear()
+        got = self.done[at, o] = (self._relative(scores), came)
+        return got
 
     def fit(self, sample: list[list[tuple[str, bool]]]) -> Model:
+        prior = Model.__new__(Model)
+        Model.__init__(prior)
         for _ in range(ROUNDS):
-            self.done = {}
-            labels = [self.label(x) for x in sample]
             start, step, emit = Counter(), Counter(), Counter()
-            for seen, path in zip(sample, labels):
+            for seen in sample:
+                path = self.label(seen)
                 start[path[0]] += 1
                 step.update(zip(path, path[1:]))
                 emit.update(zip(path, seen))
             weight = 50.0  # the fixed start counts as so many observations
-            n0 = sum(start.values())
             for s in STATES:
-                self.start[s] = (start[s] + weight * _START_P[s]) / (n0 + weight)
+                self.start[s] = (start[s] + weight * prior.start[s]) / (sum(start.values()) + weight)
                 n1, n2 = sum(step[s, t] for t in STATES), sum(emit[s, o] for o in self.emit[s])
-                self.step[s] = {t: (step[s, t] + weight * _STEP_P[s][t]) / (n1 + weight) for t in STATES}
-                total = sum(_start_emission(s, *o) for o in self.emit[s])
-                self.emit[s] = {o: (emit[s, o] + weight * _start_emission(s, *o) / total) / (n2 + weight) for o in self.emit[s]}
-        self.done = {}
+                self.step[s] = {t: (step[s, t] + weight * prior.step[s][t]) / (n1 + weight) for t in STATES}
+                total = sum(prior.emit[s].values())
+                self.emit[s] = {o: (emit[s, o] + weight * prior.emit[s][o] / total) / (n2 + weight) for o in self.emit[s]}
+            self._ready()
         return self
 
 
@@ -318,24 +395,27 @@ def _digest(key: str) -> int:
 
 def line_marks(line: str) -> tuple[int | None, list[int]]:
     """Digests of a line up to misreading, case and spacing: of the whole, and of the whole without one of
-    its words, so that lines with one word misread beyond the common confusions still meet."""
+    its words (of a single word, without one of its characters), so that lines with one word misread beyond
+    the common confusions still meet."""
     words = [w for w in (same_key(w) for w in line.split()) if w]
     whole = "".join(words)
-    if len(whole) < 6:
+    if sum(c.isalpha() for c in whole) < 3:
         return None, []
-    # the place of the word left out is part of the digest
-    less = [_digest(f"{i} {' '.join(words[:i] + words[i + 1 :])}") for i in range(len(words))] if 2 <= len(words) <= 9 else []
-    return _digest(whole), less
+    # the place of what is left out is part of the digest
+    parts = words if len(words) > 1 else list(whole) if len(whole) > 5 else []
+    return _digest(whole), [_digest(f"{i} {' '.join(parts[:i] + parts[i + 1 :])}") for i in range(len(parts))]
 
 
-_EDGE = "struct<side: string, place: int, line_no: bigint, form: string, mark: bigint, less: array<bigint>>"
+_EDGE = "struct<side: string, line_no: bigint, form: string, mark: bigint, less: array<bigint>>"
+_NAMES = {"H": "header", "N": "page_number"}
 
 
-def edge_noise(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
-    """(key, line_no, noise) of running headers and page numbers."""
+def _labelled(pages: DataFrame, files: DataFrame, key: str, text: str) -> tuple[DataFrame, Model]:
+    """(page, rep, os): the lines near the edges of each page and which of their marks other pages of the
+    file carry; and the model fitted to a sample of them."""
     prepare(pages.sparkSession)
     kind = dict(pages.dtypes)[key]
-    marks = pa.struct([("side", pa.string()), ("place", pa.int32()), ("line_no", pa.int64()), ("form", pa.string()), ("mark", pa.int64()), ("less", pa.list_(pa.int64()))])
+    marks = pa.struct([("side", pa.string()), ("line_no", pa.int64()), ("form", pa.string()), ("mark", pa.int64()), ("less", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
@@ -344,10 +424,9 @@ def edge_noise(pages: DataFrame, files: DataFrame, key: str = "page_hash", text:
                 if not t:
                     continue
                 row = []
-                for side, place, n, line, form in edge_lines(t):
+                for side, n, line, form in edge_lines(t):
                     mark, less = line_marks(line) if form in ("plain", "long", "title") else (None, [])
-                    # body lines that can't be running titles need no second look
-                    row.append({"side": side, "place": place, "line_no": n, "form": form, "mark": mark, "less": less if place < 2 and form == "plain" else []})
+                    row.append({"side": side, "line_no": n, "form": form, "mark": mark, "less": less})
                 ids.append(i)
                 rows.append(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(rows, pa.list_(marks))], ["page", "os"])
@@ -363,29 +442,38 @@ def edge_noise(pages: DataFrame, files: DataFrame, key: str = "page_hash", text:
     # a line carried by no other page as it stands is held against its own file's carried lines, one word aside
     rest = placed.join(carried.select("file", "mark"), ["file", "mark"], "left_anti").select("pid", "mark", "file", F.explode("less").alias("part"))
     near = rest.join(carried.select("file", F.explode("less").alias("part")).distinct(), ["file", "part"]).select("pid", "mark")
-    rep = exact.unionByName(near).groupBy("pid").agg(F.collect_set("mark").alias("rep"))  # at most 2 * EDGE a page
+    rep = exact.unionByName(near).groupBy("pid").agg(F.collect_set("mark").alias("rep"))  # at most the lines near a page's edges
     chains = edges.join(rep, "pid", "left").select("page", F.coalesce("rep", F.array().cast("array<bigint>")).alias("rep"), F.transform("os", lambda o: o.dropFields("less")).alias("os"))
     some = chains.orderBy(F.xxhash64("page")).limit(SAMPLE_PAGES).collect()
+    return chains, Model().fit([x for r in some for side in "tf" if (x := _seen(r.os, set(r.rep), side))])
+
+
+def _seen(os, rep: set[int], side: str) -> list[tuple[str, bool]]:
+    return [(o["form"], o["mark"] is not None and o["mark"] in rep) for o in os if o["side"] == side]
 
-    def seen(os, rep, side):
-        return [(o["form"], o["mark"] is not None and o["mark"] in rep) for o in os if o["side"] == side]
 
-    model = Model().fit([x for r in some for side in "tf" if (x := seen(r.os, set(r.rep), side))])
-    names = {"H": "header", "N": "page_number"}
+def _edge_labels(os, rep: set[int], model: Model):
+    """(line number, noise) of the running headers and page numbers among a page's lines near the edges."""
+    for side in "tf":
+        obs = _seen(os, rep, side)
+        for o, (form, again), s in zip((o for o in os if o["side"] == side), obs, model.label(obs)):
+            if s == "H" and again or s == "N" and form in ("dressed", "bare"):
+                yield o["line_no"], _NAMES[s]
+
+
+def edge_noise(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
+    """(key, line_no, noise) of running headers and page numbers."""
+    chains, model = _labelled(pages, files, key, text)
+    kind = dict(pages.dtypes)[key]
 
     def label(batches):
         for b in batches:
             ids, lines, noise = [], [], []
             for i, (rep, os) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                rep = set(rep)
-                for side in "tf":
-                    obs = seen(os, rep, side)
-                    path = model.label(obs) if obs else ""
-                    for o, (form, again), s in zip((o for o in os if o["side"] == side), obs, path):
-                        if s == "H" and again or s == "N" and form in ("dressed", "bare"):
-                            ids.append(i)
-                            lines.append(o["line_no"])
-                            noise.append(names[s])
+                for n, name in _edge_labels(os, set(rep), model):
+                    ids.append(i)
+                    lines.append(n)
+                    noise.append(name)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(lines, pa.int64()), pa.array(noise, pa.string())], [key, "line_no", "noise"])
 
     return chains.select("page", "rep", "os").mapInArrow(label, f"{key} {kind}, line_no bigint, noise string")
@@ -398,7 +486,7 @@ def find(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str =
     kind = dict(pages.dtypes)[key]
 
     def run(batches):
-        reader = Reader(counts.value)
+        reader = Reader(*counts.value)
         for b in batches:
             ids, rows = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
@@ -414,45 +502,70 @@ def find(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str =
 
 def running_text(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
     """(key, text): headers and page numbers dropped, broken words joined, misread words repaired, lines
-    of a paragraph put together; blank lines and indented lines part paragraphs, table lines stay."""
+    of a paragraph put together as the model labels them; table lines and titles stay by themselves."""
     counts = pages.sparkSession.sparkContext.broadcast(lexicon(pages, text))
-    edges = edge_noise(pages, files, key, text).groupBy(F.col(key).alias("k")).agg(F.collect_set("line_no").alias("drop"))
-
+    chains, model = _labelled(pages, files, key, text)
     readers: list[Reader] = []  # one for each task, as it remembers words
 
-    def rebuild(t, drop):
+    def rebuild(t, rep, os):
+        if t is None:
+            return None
         if not readers:
-            readers.append(Reader(counts.value))
-        return None if t is None else reassemble(t, set(drop if drop is not None else ()), readers[0])
-
-    texts = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
-    return texts.join(edges, "k", "left").select(F.col("k").alias(key), F.udf(rebuild, "string", useArrow=True)("t", "drop").alias(text))
+            readers.append(Reader(*counts.value))
+        drop = {n for n, _ in _edge_labels(os, set(rep), model)} if os is not None else set()
+        return reassemble(t, drop, readers[0], model)
+
+    texts = pages.select(F.col(key).alias("page"), F.col(text).alias("t")).distinct()
+    return texts.join(chains, "page", "left").select(F.col("page").alias(key), F.udf(rebuild, "string", useArrow=True)("t", "rep", "os").alias(text))
+
+
+def body_labels(lines: list[str], drop: set[int], model: Model) -> str:
+    """A label for each line (counted from 1) that isn't dropped, from the top: P, T and X begin a paragraph."""
+    kept = [(n, x) for n, x in enumerate(lines, 1) if n not in drop]
+    width = max((len(x.rstrip()) for _, x in kept), default=0)
+    seen = []
+    last = ""
+    for k, (n, x) in enumerate(kept):
+        body = x.strip()
+        if not body:
+            form = "blank"
+        elif _ROW.match(x):
+            form = "table"
+        elif body[0].islower():
+            form = "lower"
+        elif x.startswith("    ") or last and len(last) < 0.6 * width and last[-1] in ".!?:" and body[0].isupper():
+            form = "first"  # indented, or after a line that ended early
+        elif k < 2 and _TITLE.search(x) and not _RUNNING.search(x) and len(body) < 90:
+            form = "title"
+        else:
+            form = "prose" if _PROSE.search(x) else "plain"
+        seen.append((form, False))
+        last = body
+    return model.label(seen, "K")
 
 
-def reassemble(text: str, drop: set[int], reader: Reader) -> str:
-    lines = text.split("\n")
+def reassemble(text: str, drop: set[int], reader: Reader, model: Model | None = None) -> str:
+    lines = [readable(x) for x in text.split("\n")]
     broken = {n for n, k in line_noise(text, reader) if k == "hyphen"}
+    labels = iter(body_labels(lines, drop, model or Model()))
     paragraphs: list[str] = []
-    open_ = False
-    glue = False
-    for n, raw in enumerate(lines, 1):
+    last, glue = "K", False
+    for n, line in enumerate(lines, 1):
         if n in drop:
             continue
-        line = readable(raw)
-        body = line.strip()
+        label, body = next(labels), line.strip()
         if not body:
-            open_ = False
+            last = "K"
             continue
-        table = re.search(r"\d[\d ]*[.,]\d\d$", body) is not None and re.match(r"\d+ ", body) is not None
         if n in broken:
             body = body.rstrip().rstrip("-‐¬–­")
         if glue:
             paragraphs[-1] += body
-        elif open_ and not line.startswith("    ") and not table:
+        elif paragraphs and label not in "PTX" and last not in "KTX":
             paragraphs[-1] += "\n" + body
         else:
             paragraphs.append(body)
-        open_, glue = not table, n in broken
+        last, glue = label, n in broken
     # words are repaired once broken ones are whole
     return "\n\n".join(_WORD.sub(lambda m: _like(m, reader), p).replace("\n", " ") for p in paragraphs)
 
@@ -475,5 +588,11 @@ def _like(m: re.Match, reader: Reader) -> str:
 
 
 def _in_address(m: re.Match) -> bool:
-    around = re.search(r"\S*$", m.string[: m.start()]).group() + re.match(r"\S*", m.string[m.start() :]).group()
-    return re.search(r"@|\.(?:test|example|invalid)", around) is not None
+    """Whether a word is part of an address in the net: a mail sign, or a dot right before Latin letters."""
+    text = m.string
+    start, end = m.span()
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    return _ADDRESS.search(text, start, end) is not None
