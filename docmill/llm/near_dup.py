@@ -1,20 +1,24 @@
 """Problem 5: groups of records with small edits, by the generalised pigeonhole principle.
 
-A page is a vector of bits, one for each three words in a row. Two pages of n and m bits are alike
-if at least o = ceil((n + m) * t / (1 + t)) bits are common, so at most n - o bits of the first are
-missing in the second. In the general principle partition i of the bits has an allowance T_i >= -1
-with sum(T_i + 1) = n - o + 1 + EXTRA and probes T_i + 1 of its bits, so a page alike shares at least
-EXTRA + 1 of the probed bits. The query forms no partitions: as the cost of a partition's next bit
-never falls, the optimum of the allowances takes the bits that are cheapest overall, so it is a
-prefix filter that probes the rarest bits (cheapest(); allocate() is the dynamic programme, called
-by a test only that holds the two against each other), and as the order of cost is one and the same
-for all pages, only probed bits need to be stored, too. Candidates that
-share enough probed bits are verified on their whole sets.
-
-Candidate counts are estimated by one array of counters; its size is fixed by SKETCH_BITS, and
-a coarser estimate costs time but loses nothing. Equal word sequences are one class and are probed
-once. Numbers of papers are compared within equal contractor, date and amount; where such a group
-holds many different numbers they are cut into segments of which one must be equal.
+A page is a vector of bits, one for each three words in a row. Two pages of m <= n bits are alike if
+at least o = ceil((n + m) / 3) bits are common, so at most m - o bits of the smaller are missing in
+the larger. Bits are correlated where they share a word: the bits around a rare word come and go
+together. So each bit belongs to the partition of the rarest of its three words. The smaller page
+gives partition i an allowance T_i >= -1, with sum(T_i + 1) = m - ceil(2 m / 3) + 1 + EXTRA, and
+probes T_i + 1 of its bits; the larger page shows all its bits. As at most m - o bits are missing,
+at least sum(T_i + 1) - (m - o) probed bits are met, EXTRA + 1 or more; pages that meet in fewer are
+no candidates, the others are verified on their whole sets. The allowances are the optimum, found by
+dynamic programming over the partitions, of the estimated number of candidates: j bits of one
+partition bring no more of them than the pages that hold its word, so the cost of further bits of
+a partition isn't the sum of their counts. A page is programmed in blocks of BLOCK partitions, each with its part
+of the bits needed; a partition of more than PIECE bits is taken as several.
+
+Counts are estimated by arrays of counters, sized by the number of pages up to a fixed bound; they
+never count too few (but for those of very many pages), and a coarser estimate costs time but loses
+nothing. A bit of more than HOT pages is dealt to several tasks as pairs of blocks of its pages.
+Equal word sequences are one class and are probed once. Numbers of papers are compared within equal
+contractor, date and amount; where such a group holds many different numbers they are cut into
+segments of which one must be equal.
 
 Defined results: null texts and pages under MIN_WORDS words take no part; repeated rows of a page
 count once; null keys take no part; equal numbers count as alike.
@@ -33,10 +37,16 @@ from pyspark.sql import functions as F
 from docmill.runtime import cut, prepare
 
 MIN_WORDS, WORDS, THRESHOLD = 30, 3, 0.5
-#: Probed bits beyond the least number; a candidate must share EXTRA + 1.
+#: Probed bits beyond the least number.
 EXTRA = 4
-#: log2 of the counters of the estimate, and the part of it that goes through one task at a time.
-SKETCH_BITS, CHUNK_BITS = 24, 16
+#: Most bits of a partition in one piece, pieces in one block of the programme, and blocks programmed at once.
+PIECE, BLOCK, AT_ONCE = 8, 40, 512
+#: log2 of the counters of bits (least and most) and of words.
+SKETCH_BITS, WORD_BITS = (14, 26), 18
+#: Counters that go through one task at a time, and their greatest value.
+CHUNK, FULL = 1 << 16, 65_535
+#: Pages of one bit up to which they are paired in one task; and blocks that a bit's pages are dealt to, at most.
+HOT, MOST_BLOCKS = 4096, 64
 #: Different numbers in one group up to which they are compared directly.
 WINDOW = 48
 
@@ -56,222 +66,348 @@ class _Hashes(dict):
 _hash = _Hashes().__getitem__
 
 
-def bits_of(text: str) -> tuple[int, np.ndarray] | None:
-    """(signature of the word sequence, sorted hashes of the distinct threes); None for too few words."""
+def words_of(text: str) -> tuple[int, np.ndarray] | None:
+    """(signature of the word sequence, hashes of the words); None for too few words."""
     words = _WORDS(text.lower())
     if len(words) < MIN_WORDS:
         return None
     h = np.fromiter(map(_hash, words), np.uint64, len(words))
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True), h
+
+
+def threes(h: np.ndarray) -> np.ndarray:
+    """Hashes of all three words in a row."""
     x = h[:-2]
     for nxt in (h[1:-1], h[2:]):
         x = (x ^ (x >> _B)) * _A + nxt
     x = (x ^ (x >> _B)) * _A
-    x ^= x >> np.uint64(32)
-    sig = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
-    return sig, np.unique(x)
-
+    return x ^ (x >> np.uint64(32))
 
-def common_least(n: int, m: int) -> int:
-    """Common bits that two sets of n and m bits need: ceil((n + m) t / (1 + t)) for t = 1/2."""
-    return -(-(n + m) // 3)
-
-
-def allocate(costs: list[list[float]], need: int) -> tuple[float, list[int]]:
-    """Bits to probe in each partition (T_i + 1), for the least total cost of need bits; costs[i] are
-    the costs of partition i's bits in ascending order."""
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for own in costs:
-        nxt: dict[int, tuple[float, list[int]]] = {}
-        for have, (cost, chosen) in best.items():
-            for j in range(len(own) + 1):
-                k = min(need, have + j)
-                new = cost + sum(own[:j])
-                if k not in nxt or new < nxt[k][0]:
-                    nxt[k] = (new, [*chosen, j])
-        best = nxt
-    return best[need]
 
-
-def cheapest(bits: np.ndarray, counts: np.ndarray, need: int) -> np.ndarray:
-    """The need bits of least estimated count, in that order; ties in the order of the hash."""
-    return np.lexsort((bits, counts))[:need]
+def bits_of(text: str) -> tuple[int, np.ndarray] | None:
+    """(signature of the word sequence, sorted hashes of the distinct threes); None for too few words."""
+    got = words_of(text)
+    return None if got is None else (got[0], np.unique(threes(got[1])))
 
 
-def _sketch(pages: DataFrame, text: str) -> np.ndarray:
-    """Counters of all bits of all pages, saturated at 255; 2 ** SKETCH_BITS bytes in all."""
-    chunk = 1 << CHUNK_BITS
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
+def common_least(n, m):
+    """Common bits that two sets of n and m bits need: ceil((n + m) t / (1 + t)) for t = 1/2."""
+    return (n + m + 2) // 3
+
+
+def probed_bits(m):
+    """Bits that a page of m bits probes: enough for every partner of at least its size."""
+    return np.minimum(m, m - common_least(m, m) + 1 + EXTRA)
+
+
+def allocate(costs: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Bits to probe of each piece (T_i + 1), for the least total cost of exactly need[b] bits in block b, by
+    dynamic programming over the pieces of all blocks at once. costs[b, k, j] is the cost of j bits of piece k,
+    infinite where there are fewer."""
+    blocks, pieces, most = costs.shape
+    width = int(need.max(initial=0)) + 1
+    best = np.full((blocks, width), np.inf, np.float32)
+    best[:, 0] = 0
+    taken = np.zeros((pieces, blocks, width), np.uint8)
+    for k in range(pieces):
+        new = best + costs[:, k, :1]
+        for j in range(1, min(most, width)):
+            own = costs[:, k, j]
+            if not np.isfinite(own).any():
+                break
+            other = best[:, : width - j] + own[:, None]
+            better = other < new[:, j:]
+            np.copyto(new[:, j:], other, where=better)
+            taken[k, :, j:][better] = j
+        best = new
+    at, rows = need.astype(np.int64).copy(), np.arange(blocks)
+    out = np.zeros((blocks, pieces), np.int64)
+    for k in range(pieces - 1, -1, -1):
+        out[:, k] = taken[k, rows, at]
+        at -= out[:, k]
+    return out
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row of each) of a column of lists."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(column)), sizes)
+
+
+def _page_bits(column: pa.Array, words: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, bit) of the distinct bits of each row, in that order; with counters of words also the hash of the
+    rarest of the three words, the least one of equally rare ones."""
+    h, row = _flat(column)
+    same = row[:-2] == row[2:]
+    x, at = threes(h)[same], row[:-2][same]
+    order = np.lexsort((x, at))
+    x, at = x[order], at[order]
+    first = np.r_[True, (x[1:] != x[:-1]) | (at[1:] != at[:-1])] if len(x) else np.zeros(0, bool)
+    if words is None:
+        return at[first], x[first]
+    mask = np.uint64(len(words) - 1)
+    count = words[(h & mask).astype(np.int64)]
+    rare, least = h[:-2], count[:-2]
+    for k in (1, 2):
+        other, c = h[k : len(h) - 2 + k], count[k : len(h) - 2 + k]
+        better = (c < least) | (c == least) & (other < rare)
+        rare, least = np.where(better, other, rare), np.where(better, c, least)
+    return at[first], x[first], rare[same][order][first]
+
+
+def choose(row: np.ndarray, bit: np.ndarray, word: np.ndarray, count: np.ndarray, held: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which bits are probed. row, bit, word: the bits of the pages and their partitions; count: estimated pages of
+    each bit; held: of each partition's word; need: bits to probe of each row (of those given)."""
+    probed = np.zeros(len(bit), bool)
+    if not len(bit):
+        return probed
+    order = np.lexsort((bit, count, word, row))
+    row, word, count, held = row[order], word[order], count[order].astype(np.float32), held[order].astype(np.float32)
+    new = np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+    rank = np.arange(len(row)) - start
+    piece_new = new | (rank % PIECE == 0)
+    piece = np.cumsum(piece_new) - 1
+    piece_at = np.flatnonzero(piece_new)
+    place = np.arange(len(row)) - piece_at[piece]  # of a bit in its piece
+    total = np.cumsum(count)
+    cost = np.minimum(total - (total - count)[piece_at][piece], held)
+    # blocks of pieces of one page
+    piece_row = row[piece_at]
+    page_new = np.r_[True, piece_row[1:] != piece_row[:-1]]
+    page_at = np.flatnonzero(page_new)
+    within = np.arange(len(piece_at)) - page_at[np.cumsum(page_new) - 1]
+    block_new = page_new | (within % BLOCK == 0)
+    block = np.cumsum(block_new) - 1
+    block_at = np.flatnonzero(block_new)
+    slot = np.arange(len(piece_at)) - block_at[block]
+    # each block has its part of the bits needed
+    sizes = np.diff(np.r_[piece_at, len(row)])
+    bits = np.add.reduceat(sizes, block_at)
+    ends = np.cumsum(bits)
+    pages = piece_row[block_at]
+    first_of_page = np.flatnonzero(np.r_[True, pages[1:] != pages[:-1]])
+    page_of = np.cumsum(np.r_[True, pages[1:] != pages[:-1]]) - 1
+    before = (ends - bits)[first_of_page][page_of]
+    whole = np.add.reduceat(bits, first_of_page)[page_of]
+    wanted = np.minimum(need[pages], whole)
+    share = ((ends - before) * wanted) // whole - ((ends - bits - before) * wanted) // whole
+    out = np.zeros(len(piece_at), np.int64)
+    by_need = np.argsort(share, kind="stable")
+    piece_block = block
+    for lo in range(0, len(by_need), AT_ONCE):
+        some = by_need[lo : lo + AT_ONCE]
+        if share[some[-1]] == 0:
+            continue
+        local = np.full(len(block_at), -1)
+        local[some] = np.arange(len(some))
+        mine = local[piece_block] >= 0
+        mine_bits = mine[piece]
+        costs = np.full((len(some), int(slot[mine].max()) + 1, PIECE + 1), np.inf, np.float32)
+        costs[:, :, 0] = 0
+        costs[local[piece_block[piece[mine_bits]]], slot[piece[mine_bits]], place[mine_bits] + 1] = cost[mine_bits]
+        chosen = allocate(costs, share[some])
+        out[mine] = chosen[local[piece_block[mine]], slot[mine]]
+    probed[order] = place < out[piece]
+    return probed
+
+
+def _counters(pages: DataFrame, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counters of the pages of each bit and of each word, up to FULL; of 2 ** log_bits and 2 ** WORD_BITS entries.
+    As many tasks as there are cores send theirs, whatever the number of splits."""
+    sizes = (1 << log_bits, 1 << WORD_BITS)
 
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.uint16)
+        totals = [np.zeros(n, np.uint32) for n in sizes]
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t and (x := bits_of(t)) is not None:
-                    at = (x[1] & mask).astype(np.int64)
-                    np.add.at(total, at, 1)
-            np.minimum(total, 40_000, out=total)
-        total = np.minimum(total, 255).astype(np.uint8)
-        for k in range(0, len(total), chunk):
-            yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([total[k : k + chunk].tobytes()], pa.binary())], ["k", "c"])
-
-    def merge(key, t):  # a part of every task's counters, 64 KB each
-        total = np.zeros(chunk, np.uint16)
+            if not b.num_rows:
+                continue
+            h, row = _flat(b.column(0))
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            for total, x in zip(totals, (_page_bits(b.column(0))[1], h[np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]])):
+                total += np.bincount((x & np.uint64(len(total) - 1)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+        for kind, total in enumerate(totals):
+            total = np.minimum(total, FULL).astype(np.uint16)
+            for k in range(0, len(total), CHUNK):
+                if total[k : k + CHUNK].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k // CHUNK], pa.int32()), pa.array([total[k : k + CHUNK].tobytes()], pa.binary())], ["kind", "k", "c"])
+
+    def merge(key, t):  # a part of every task's counters
+        total = 0
         for c in t.column("c"):
-            total = np.minimum(total + np.frombuffer(c.as_py(), np.uint8), 255).astype(np.uint16)
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "c": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
+            total = np.minimum(np.frombuffer(c.as_py(), np.uint16).astype(np.uint32) + total, FULL)
+        return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "k": pa.array([key[1].as_py()], pa.int32()), "c": pa.array([total.astype(np.uint16).tobytes()], pa.binary())})
 
-    rows = pages.select(text).mapInArrow(run, "k int, c binary").groupBy("k").applyInArrow(merge, "k int, c binary").collect()
-    return np.frombuffer(b"".join(bytes(r.c) for r in sorted(rows, key=lambda r: r.k)), np.uint8)
+    few = pages.select("h").coalesce(max(1, pages.sparkSession.sparkContext.defaultParallelism))
+    out = [np.zeros(n, np.uint16) for n in sizes]
+    for r in few.mapInArrow(run, "kind int, k int, c binary").groupBy("kind", "k").applyInArrow(merge, "kind int, k int, c binary").collect():
+        c = np.frombuffer(bytes(r.c), np.uint16)
+        out[r.kind][r.k * CHUNK : r.k * CHUNK + len(c)] = c
+    return out[0], out[1]
 
 
-def page_classes(pages: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
-    """(key, sig): the class of equal word sequences of each page that takes part; distinct."""
+def page_words(pages: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
+    """(key, sig, h): the class of equal word sequences and the words of each page that takes part."""
     prepare(pages.sparkSession)
 
     def run(batches):
         for b in batches:
-            ids, sigs = [], []
+            ids, sigs, words = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                if t and (x := bits_of(t)) is not None:
+                if t and (x := words_of(t)) is not None:
                     ids.append(i)
                     sigs.append(x[0])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(sigs, pa.int64())], ["key", "sig"])
+                    words.append(x[1])
+            values = np.concatenate(words).view(np.int64) if words else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(sigs, pa.int64()), lists], ["key", "sig", "h"])
 
     kind = dict(pages.dtypes)[key]
     source = pages.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return source.mapInArrow(run, f"key {kind}, sig bigint").distinct()
+    return source.mapInArrow(run, f"key {kind}, sig bigint, h array<bigint>")
 
 
 #: Pairs of one bit that are looked at in one go.
 BLOCK_PAIRS = 2_000_000
 
 
-def _met(sig: np.ndarray, n: np.ndarray, rank: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """Of pairs of rows those where the bit is among both pages' probed bits for a partner of that size."""
-    p, q = n[left], n[right]
-    least = (p + q + 2) // 3
-    ok = (rank[left] <= p - least + EXTRA) & (rank[right] <= q - least + EXTRA) & (2 * p >= q) & (2 * q >= p) & (sig[left] != sig[right])
-    a, b = sig[left[ok]], sig[right[ok]]
-    return np.minimum(a, b), np.maximum(a, b)
+def _met(sig: np.ndarray, n: np.ndarray, block: np.ndarray, pair: np.ndarray, probing: np.ndarray, other: np.ndarray):
+    """Of pairs of rows (one probing, one held) those of different pages where the probing one is the smaller, or
+    of equal size and smaller signature; with the number of met bits that makes them candidates."""
+    p, q = n[probing], n[other]
+    # pairs within a block belong to the cell of that block alone
+    own = (pair[probing] < 0) | (block[probing] != block[other]) | (pair[probing] == 0)
+    ok = own & ((p < q) | (p == q) & (sig[probing] < sig[other])) & (2 * p >= q)
+    probing, other, p, q = probing[ok], other[ok], p[ok], q[ok]
+    a, b = sig[probing], sig[other]
+    return np.minimum(a, b), np.maximum(a, b), probed_bits(p) - p + common_least(p, q)
 
 
 def _meetings(batches):
-    """Rows (bit, sig, n, rank) in the order of bit to pairs of pages that share the bit, with counts. A run
-    of rows of one bit is paired in blocks, so a bit of many pages needs no more memory than its rows."""
+    """Rows (bit, cell, sig, n, block, pair) in the order of bit and cell to pairs of pages that meet in the bit, with
+    counts; n is negative for a page that only holds the bit. A run of rows of one cell is paired in parts, so it
+    needs no more memory than its rows."""
     held: list[np.ndarray] = []
 
     def flush(rows: np.ndarray):
-        bit = rows[0]
-        starts = np.flatnonzero(np.r_[True, bit[1:] != bit[:-1]])
+        bit, cell, sig, n, block, pair = rows
+        starts = np.flatnonzero(np.r_[True, (bit[1:] != bit[:-1]) | (cell[1:] != cell[:-1])])
+        run = np.cumsum(np.r_[True, (bit[1:] != bit[:-1]) | (cell[1:] != cell[:-1])]) - 1
         sizes = np.diff(np.r_[starts, len(bit)])
-        out = []
-        big = sizes * sizes > BLOCK_PAIRS
-        for s, k in zip(starts[big], sizes[big]):
-            step = max(1, BLOCK_PAIRS // int(k))
-            for lo in range(0, int(k), step):
-                i = np.arange(s + lo, s + min(lo + step, k))
-                left, right = np.repeat(i, k), np.tile(np.arange(s, s + k), len(i))
-                keep = left < right
-                yield _met(*rows[1:], left[keep], right[keep])
-        for k in np.unique(sizes[~big]):
-            if k < 2:
-                continue
-            at = starts[~big][sizes[~big] == k]
-            i, j = np.triu_indices(int(k), 1)
-            step = max(1, BLOCK_PAIRS // len(i))
-            for lo in range(0, len(at), step):
-                some = at[lo : lo + step, None]
-                out.append(_met(*rows[1:], (some + i).ravel(), (some + j).ravel()))
-        if out:
-            yield np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-
-    def table(a: np.ndarray, b: np.ndarray):
+        probing = np.flatnonzero((n > 0) & (sizes[run] > 1))
+        n = np.abs(n)
+        each = sizes[run[probing]]
+        ends = np.cumsum(each)
+        lo = 0
+        while lo < len(probing):
+            # as many probing rows as make BLOCK_PAIRS pairs, and one of a longer run in parts
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_PAIRS, side="right")))
+            some, k = probing[lo:hi], each[lo:hi]
+            if hi == lo + 1 and k[0] > BLOCK_PAIRS:
+                s = starts[run[some[0]]]
+                for at in range(0, int(k[0]), BLOCK_PAIRS):
+                    others = np.arange(s + at, s + min(at + BLOCK_PAIRS, int(k[0])))
+                    yield _met(sig, n, block, pair, np.repeat(some, len(others)), others)
+            else:
+                left = np.repeat(some, k)
+                others = np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(starts[run[some]], k)
+                yield _met(sig, n, block, pair, left, others)
+            lo = hi
+
+    def table(a: np.ndarray, b: np.ndarray, least: np.ndarray):
         # counted here before the shuffle
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+        a, b, least = a[order], b[order], least[order]
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
         c = np.diff(np.r_[first, len(a)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(c)], ["sig_a", "sig_b", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(c), pa.array(least[first].astype(np.int32))], ["sig_a", "sig_b", "c", "least"])
+
+    def out(rows):
+        parts, size = [], 0
+        for x in flush(rows):
+            parts.append(x)
+            size += len(x[0])
+            if size > BLOCK_PAIRS:
+                yield table(*(np.concatenate(c) for c in zip(*parts)))
+                parts, size = [], 0
+        if parts:
+            yield table(*(np.concatenate(c) for c in zip(*parts)))
 
     for b in batches:
-        cols = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        cols = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
         held.append(cols)
         if sum(x.shape[1] for x in held) < 400_000:
             continue
         rows = np.concatenate(held, axis=1)
-        last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bit may go on in the next batch
+        last = rows.shape[1] - int(np.argmax((rows[0, ::-1] != rows[0, -1]) | (rows[1, ::-1] != rows[1, -1])))
+        if last == rows.shape[1] and (rows[0, 0] == rows[0, -1] and rows[1, 0] == rows[1, -1]):
+            last = 0  # all one cell, which may go on in the next batch
         held = [rows[:, last:]]
         if last:
-            for x in flush(rows[:, :last]):
-                yield table(*x)
+            yield from out(rows[:, :last])
     if held:
         rows = np.concatenate(held, axis=1)
         if rows.shape[1]:
-            for x in flush(rows):
-                yield table(*x)
+            yield from out(rows)
 
 
-def alike_classes(pages: DataFrame, classes: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
-    """(sig_a, sig_b): classes of pages that are alike, each pair once, with sig_a < sig_b."""
-    spark = prepare(pages.sparkSession)
-    # one page stands for each class
-    extra = classes.join(classes.groupBy("sig").agg(F.min("key").alias("rep")), "sig").where("key <> rep").select(F.col("key").alias(key))
-    source = pages.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).join(extra, key, "left_anti")
-    counters = spark.sparkContext.broadcast(_sketch(source, text))
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
+def alike_classes(words: DataFrame) -> DataFrame:
+    """(sig_a, sig_b): classes of pages that are alike, each pair once, with sig_a < sig_b. words: as page_words."""
+    spark = prepare(words.sparkSession)
+    reps = cut(words.select("sig", "h").dropDuplicates(["sig"]))
+    pages = reps.count()
+    if not pages:
+        return reps.select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"))
+    log_bits = int(np.clip(np.ceil(np.log2(pages * 128)), *SKETCH_BITS))
+    counters = spark.sparkContext.broadcast(_counters(reps, log_bits))
 
     def probe(batches):
-        count, seen = counters.value, set()
+        bit_count, word_count = counters.value
+        mask, word_mask = np.uint64(len(bit_count) - 1), np.uint64(len(word_count) - 1)
         for b in batches:
-            out: list[np.ndarray] = []
-            sigs, sizes, ranks, lens = [], [], [], []
-            for t in b.column(1).to_pylist():
-                if not t or (x := bits_of(t)) is None or x[0] in seen:
-                    continue
-                seen.add(x[0])
-                sig, bits = x
-                n = len(bits)
-                c = count[(bits & mask).astype(np.int64)]
-                # the smallest page alike has n / 2 bits, so n - ceil(n / 2) may be missing
-                order = cheapest(bits, c, n - (-(-n // 2)) + 1 + EXTRA)
-                keep = np.flatnonzero(c[order] > 1)  # a bit counted once is in no other page
-                out.append(bits[order[keep]].view(np.int64))
-                ranks.append(keep.astype(np.int32))
-                lens.append(len(keep))
-                sigs.append(sig)
-                sizes.append(n)
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(sigs, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.concatenate(ranks))],
-                    ["bit", "sig", "n", "rank"],
-                )
-
-    probes = source.mapInArrow(probe, "bit bigint, sig bigint, n int, rank int")
-    shared = probes.repartition("bit").sortWithinPartitions("bit").mapInArrow(_meetings, "sig_a bigint, sig_b bigint, c int")
-    counted = shared.groupBy("sig_a", "sig_b").agg(F.sum("c").alias("c")).where(F.col("c") > EXTRA)
+            if not b.num_rows:
+                continue
+            sig = b.column(0).to_numpy(zero_copy_only=False)
+            row, bit, word = _page_bits(b.column(1), word_count)
+            count = bit_count[(bit & mask).astype(np.int64)]
+            n = np.bincount(row, minlength=b.num_rows)
+            some = count > 1  # a bit counted once is in no other page: it is probed for nothing
+            alone = n - np.bincount(row[some], minlength=b.num_rows)
+            # a page of more such bits than it may miss for its smallest partner is like no other
+            some &= (alone <= n - (n + 1) // 2)[row]
+            row, bit, word, count = row[some], bit[some], word[some], count[some]
+            probed = choose(row, bit, word, count, word_count[(word & word_mask).astype(np.int64)], np.maximum(0, probed_bits(n) - alone))
+            size = np.where(probed, n[row], -n[row])
+            blocks = np.minimum(MOST_BLOCKS, -(-count.astype(np.int64) // HOT))
+            mine = np.where(blocks > 1, (sig[row].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64), 0)
+            # a page's row goes to the cell of its block with each block; those of one block have one cell
+            at = np.repeat(np.arange(len(row)), blocks)
+            with_ = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            lo, hi = np.minimum(mine[at], with_), np.maximum(mine[at], with_)
+            pair = np.where(blocks[at] == 1, -1, np.where(lo == hi, 0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bit[at].view(np.int64)), pa.array((lo * MOST_BLOCKS + hi).astype(np.int32)), pa.array(sig[row[at]]), pa.array(size[at].astype(np.int32)), pa.array(mine[at].astype(np.int32)), pa.array(pair.astype(np.int32))],
+                ["bit", "cell", "sig", "n", "block", "pair"],
+            )
+
+    probes = reps.select("sig", "h").mapInArrow(probe, "bit bigint, cell int, sig bigint, n int, block int, pair int")
+    shared = probes.repartition("bit", "cell").sortWithinPartitions("bit", "cell").mapInArrow(_meetings, "sig_a bigint, sig_b bigint, c int, least int")
+    counted = shared.groupBy("sig_a", "sig_b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least")
     candidates = cut(counted.select("sig_a", "sig_b"))
 
-    wanted = candidates.select(F.col("sig_a").alias("sig")).union(candidates.select(F.col("sig_b").alias("sig"))).distinct()
-    keys = classes.groupBy("sig").agg(F.min("key").alias(key)).join(wanted, "sig")
-
-    def sets(batches):
-        for b in batches:
-            rows = {x[0]: x[1].tobytes() for t in b.column(0).to_pylist() if t and (x := bits_of(t)) is not None}
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["sig", "bits"])
-
-    whole = cut(pages.select(key, text).join(keys.select(key), key, "left_semi").select(text).mapInArrow(sets, "sig bigint, bits binary").dropDuplicates(["sig"]))
-
     def verify(batches):
         for b in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if common >= THRESHOLD * (len(p) + len(q) - common):
-                    keep.append(k)
-            yield b.take(pa.array(keep, pa.int64())).select(["sig_a", "sig_b"])
-
-    pairs = candidates.join(whole.select(F.col("sig").alias("sig_a"), F.col("bits").alias("p")), "sig_a").join(whole.select(F.col("sig").alias("sig_b"), F.col("bits").alias("q")), "sig_b")
+            (row_p, p), (row_q, q) = _page_bits(b.column(2)), _page_bits(b.column(3))
+            row, bit = np.r_[row_p, row_q], np.r_[p, q]
+            order = np.lexsort((bit, row))
+            row, bit = row[order], bit[order]
+            twice = (row[1:] == row[:-1]) & (bit[1:] == bit[:-1])
+            common = np.bincount(row[1:][twice], minlength=b.num_rows)
+            union = np.bincount(row, minlength=b.num_rows) - common
+            yield b.filter(pa.array(common >= THRESHOLD * union)).select(["sig_a", "sig_b"])
+
+    pairs = candidates.join(reps.select(F.col("sig").alias("sig_a"), F.col("h").alias("p")), "sig_a").join(reps.select(F.col("sig").alias("sig_b"), F.col("h").alias("q")), "sig_b")
     return pairs.select("sig_a", "sig_b", "p", "q").mapInArrow(verify, "sig_a bigint, sig_b bigint")
 
 
@@ -282,8 +418,9 @@ def _ordered(df: DataFrame, x: str, y: str, field: str) -> DataFrame:
 
 def alike_pages(pages: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
     """(field, key_a, key_b): pages alike; classes of equal pages are spread out to their members."""
-    classes = cut(page_classes(pages, key, text))
-    links = alike_classes(pages, classes, key, text)
+    words = cut(page_words(pages, key, text))
+    classes = words.select("key", "sig").distinct()
+    links = cut(alike_classes(words))
     a = classes.select(F.col("sig").alias("sig_a"), F.col("key").alias("x"))
     b = classes.select(F.col("sig").alias("sig_b"), F.col("key").alias("y"))
     across = links.join(a, "sig_a").join(b, "sig_b").select("x", "y")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -8,14 +9,31 @@ from docmill.llm import names as N
 from docmill.llm import near_dup as D
 
 
-def test_allowances_by_programme_equal_the_shortcut():
+def test_allowances_are_the_least_cost():
     rng = random.Random(3)
     for _ in range(60):
-        costs = [sorted(rng.randrange(1, 30) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(2, 6))]
-        flat = np.array([c for own in costs for c in own])
-        need = rng.randrange(1, len(flat) + 1)
-        best, chosen = D.allocate(costs, need)
-        assert sum(chosen) >= need and best == flat[D.cheapest(np.arange(len(flat)), flat, need)].sum()
+        pieces = [[0, *np.minimum(np.cumsum(sorted(rng.randrange(1, 30) for _ in range(rng.randrange(1, 4)))), rng.randrange(5, 60))] for _ in range(rng.randrange(2, 6))]
+        costs = np.full((1, len(pieces), 4), np.inf, np.float32)
+        for k, own in enumerate(pieces):
+            costs[0, k, : len(own)] = own
+        need = rng.randrange(1, sum(len(own) - 1 for own in pieces) + 1)
+        chosen = D.allocate(costs, np.array([need]))[0]
+        best = min(sum(own[j] for own, j in zip(pieces, js)) for js in itertools.product(*(range(len(own)) for own in pieces)) if sum(js) == need)
+        assert chosen.sum() == need and sum(own[j] for own, j in zip(pieces, chosen)) == best
+
+
+@pytest.mark.parametrize("piece, block", [(2, 3), (8, 40)])
+def test_a_page_probes_as_many_bits_as_it_needs(monkeypatch, piece, block):
+    monkeypatch.setattr(D, "PIECE", piece)
+    monkeypatch.setattr(D, "BLOCK", block)
+    monkeypatch.setattr(D, "AT_ONCE", 5)
+    rng = np.random.default_rng(4)
+    row = np.sort(rng.integers(0, 30, 900))
+    word = rng.integers(0, 12, 900).astype(np.uint64)
+    need = rng.integers(0, 60, 31)
+    got = D.choose(row, rng.permutation(900).astype(np.uint64), word, rng.integers(2, 50, 900), rng.integers(2, 50, 900), need)
+    assert (np.bincount(row[got], minlength=31) == np.minimum(need, np.bincount(row, minlength=31))).all()
+    assert D.choose(row[:0], word[:0], word[:0], row[:0], row[:0], need).size == 0
 
 
 def brute_pages(pages):
@@ -30,9 +48,11 @@ def brute_pages(pages):
     return out
 
 
-def test_alike_pages_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(D, "SKETCH_BITS", 17)
-    monkeypatch.setattr(D, "BLOCK_PAIRS", 50)
+@pytest.mark.parametrize("hot, piece, pairs", [(4096, 8, 2_000_000), (2, 2, 7)])
+def test_alike_pages_against_brute_force(spark, monkeypatch, hot, piece, pairs):
+    monkeypatch.setattr(D, "BLOCK_PAIRS", pairs)
+    monkeypatch.setattr(D, "HOT", hot)
+    monkeypatch.setattr(D, "PIECE", piece)
     rng = random.Random(5)
     words = [f"слово{i}" for i in range(60)]
     pages = []
@@ -45,6 +65,9 @@ def test_alike_pages_against_brute_force(spark, monkeypatch):
                 at = rng.randrange(len(edited))
                 edited[at : at + 1] = rng.choice([[], [rng.choice(words)], [edited[at], rng.choice(words)]])
             pages.append((f"k{i:03d}{'bcd'[j]}", " ".join(edited)))
+    # pages of few different bits, and one passage that a third of all pages share
+    pages += [("r1", "раз " * 30), ("r2", "раз " * 31), ("r3", "раз два " * 16), ("r4", "раз два " * 17)]
+    pages += [(f"h{i:02d}", " ".join(words[:40] + [words[(i * 7 + j) % 60] for j in range(i % 9)])) for i in range(30)]
     pages += [("z1", None), ("z2", ""), ("z3", "мало слов"), pages[0], pages[0], ("k000x", pages[0][1].upper())]
     df = spark.createDataFrame([(k, t, "x") for k, t in pages], "page_hash string, text string, sig string")
     got = [(r.key_a, r.key_b) for r in D.alike_pages(df).collect()]
