@@ -89,9 +89,38 @@ def test_batches_against_brute_force(spark, monkeypatch):
     assert {r.item_id: r.how for r in B.already_there(spark, h, i).collect()} == want
     # batch after batch, with runs that are compacted on the way
     runs, got = B.AcceptedRuns(spark), {}
-    runs.append(B.keyed(h, None))
+    runs.start(h)
     for lo in range(0, 90, 30):
         batch = spark.createDataFrame(inbox[lo : lo + 30], schema)
         got |= {r.item_id: r.how for r in runs.accept(batch).collect()}
     assert got == want and len(runs.runs) <= 3
+    assert B.AcceptedRuns(spark, runs.folder).runs == runs.runs  # opened again
     assert B.already_there(spark, h.limit(0), i.limit(0)).count() == 0
+
+
+def test_a_batch_reads_only_the_ranges_it_touches(spark, monkeypatch):
+    monkeypatch.setattr(B, "RANGE_ENTRIES", 50)
+    schema = "item_id long, original_filename string, file_hash string"
+    runs = B.AcceptedRuns(spark)
+    runs.start(spark.createDataFrame([(i, f"Акт {i:06d}.pdf", f"{i * 7919 % 65536:04x}") for i in range(1000)], schema))
+    assert len(runs.bounds["h"]) == len(runs.bounds["n"]) == 19
+    read = []
+    monkeypatch.setattr(B.AcceptedRuns, "_read", lambda self, rs, touched=None, f=B.AcceptedRuns._read: read.append(f(self, rs, touched)) or read[-1])
+    batch = spark.createDataFrame([(1001, "Акт_000500 (1).PDF", "FFFF0"), (1002, "Акт 000501.pdf", None), (1003, "акт 000502.pdf", f"{502 * 7919 % 65536:04X}")], schema)
+    assert {(r.item_id, r.how) for r in runs.accept(batch).collect()} == {(1001, "near"), (1002, "near"), (1003, "same")}
+    plan = read[-1]._jdf.queryExecution().executedPlan()
+    parts = {(r.kind, r.part) for r in read[-1].select("kind", "part").distinct().collect()}
+    assert "PartitionFilters: [" in plan.toString() and {k for k, _ in parts} == {"h", "n"} and len(parts) <= 4
+    # the second batch goes on with both runs
+    again = spark.createDataFrame([(1004, "Акт 000501 копия.pdf", None), (1005, "Акт 777777.pdf", "FFFF0")], schema)
+    assert {(r.item_id, r.how) for r in runs.accept(again).collect()} == {(1004, "near"), (1005, "same")}
+
+
+def test_a_wide_window_loses_no_name(spark, monkeypatch):
+    monkeypatch.setattr(B, "WINDOW", 3)
+    rng = random.Random(8)
+    names = ["".join(rng.choice("абв") for _ in range(rng.randrange(6, 12))) + " 5.pdf" for _ in range(60)]
+    rows = [(i, n, None) for i, n in enumerate(names)]
+    schema = "item_id long, original_filename string, file_hash string"
+    got = {r.item_id: r.how for r in B.already_there(spark, spark.createDataFrame(rows[:30], schema), spark.createDataFrame(rows[30:], schema)).collect()}
+    assert got == brute([(-1, n, h) for _, n, h in rows[:30]], rows[30:])
