@@ -168,11 +168,14 @@ def _greek(text: str) -> str:
     return re.sub(r"[A-Za-zͰ-Ͽ]+", lambda m: m.group() if not _ANY_LAT.search(m.group()) else "".join(GREEK.get(c, c) for c in m.group()), text)
 
 
+def has_odd(text: str) -> bool:
+    """Whether text holds a character that the mapping or the Greek look-alikes are about."""
+    return transducer().sign.search(text) is not None or _GREEK.search(text) is not None
+
+
 def plain_already(text: str) -> bool:
     """A quick test that says True only where normalize() changes nothing."""
-    if transducer().sign.search(text) is not None or _GREEK.search(text):
-        return False
-    return not (_ANY_CYR.search(text) and _ANY_LAT.search(text))
+    return not has_odd(text) and not (_ANY_CYR.search(text) and _ANY_LAT.search(text))
 
 
 def normalize(text: str | None) -> str | None:

@@ -19,7 +19,6 @@ several files has those of all; words of more than LONGEST characters are never
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -27,6 +26,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from docmill.llm import lookalikes
 from docmill.runtime import cut, prepare
@@ -57,6 +57,7 @@ _SIGNS = "0123456789|*!"
 #: One form for all characters that are taken for each other.
 _ONE = {ord(c): group[-1] for group in ("0Оо", "3Зз", "8Вв", "4ЧчЦц", "6Бб", "|ЙйИиНн", "*Жж", "lI!1", "СсЕеe", "ТтГг", "ЛлПпДд", "ЩщШш", "S5s", "Аа") for c in group}
 
+_OTHER = re.compile(r"[^\w|*!№ ]+")
 _WORD = re.compile(r"[^\W_]+(?:[|*!]+[^\W_]*)*(?:-[^\W\d_]+)*|[|*!]+[^\W_]+")
 _HYPHEN_END = re.compile(r"([^\W\d_][\w|*!]*|[\w|*!]*[^\W\d_])[-‐¬–­][ \t]*\r?$")
 _START = re.compile(r"[ \t]*([^\W_][\w|*!]*)(\S*)")
@@ -69,46 +70,94 @@ _DRESSED = re.compile(
 )
 _BARE = re.compile(rf"^\s*{_N}\s*$")
 _TITLE = re.compile(r"(?:№|no\.?|n)\s*\S+\s+(?:от|dated|of|from)\s+\S", re.I)
-#: A line that goes on from or into a sentence.
-_PROSE = re.compile(r"^\s*[a-zа-яё]|[.,;:!?‐¬-]\s*$(?<![Гг]\.)")
+#: A line that a sentence begun on the line before goes on with.
+_LOWER = frozenset("abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяё")
 _ADDRESS = re.compile(r"@|[A-Za-z0-9]\.[a-z]{2}")
+_LATIN = re.compile("[A-Za-z]")
+_LETTER = re.compile(r"[^\W\d_]")
 _TABLE = re.compile(r"^\s*(?:\d+\s+\S.*\s)?\d[\d ]*[.,]\d\d\s*$")
 _ROW = re.compile(r"^\s*\d+\s+\S.*\s\d[\d ]*[.,]\d\d\s*$")
-#: A line that a sentence doesn't end with, and one that it goes on with.
-_RUNS_ON = re.compile(r"(?:№|(?<![^\W_])[a-zа-яё]{1,3})\s*$")
 _GOES_ON = re.compile(r"(?:\d[\d/]*[;,]?\s+)?[a-zа-яё]")
 _RUNNING = re.compile(r"«|»|\||•|\"|ооо|зао|пао|llc|ltd|приложение|annex|исх|форма|form|экземпляр|copy|конфиден|confid|внутрен|internal", re.I)
 
 
 def readable(text: str) -> str:
-    """Text without look-alikes and odd characters, line by line as before; a soft hyphen stays."""
+    """Text without look-alikes and odd characters."""
     if text.isascii() or lookalikes.plain_already(text):
         return text
-    return "\n".join(lookalikes.normalize(x) or "" for x in text.split("\n"))
+    return lookalikes.normalize(text) or ""
+
+
+def readable_lines(text: str, soft: bool = False) -> list[str]:
+    """The lines of a text, each readable by itself; with soft a soft hyphen at the end of a line becomes a hyphen."""
+    lines = text.split("\n")
+    if text.isascii():
+        return lines
+    if lookalikes.has_odd(text):
+        return [readable(x.replace("­", "-") if soft and x.rstrip().endswith("­") else x) for x in lines]
+    # only a line with letters of both alphabets can change
+    return [lookalikes.normalize(x) or "" if _LATIN.search(x) else x for x in lines]
 
 
 def same_key(line: str) -> str:
     """A line up to misreading, case and spacing."""
-    return re.sub(r"[^\w|*!№]+", "", line.lower().translate(_ONE)).replace("ё", "с")
+    return "".join(_same_words(line))
+
+
+def _same_words(line: str) -> list[str]:
+    return _OTHER.sub("", " ".join(line.lower().translate(_ONE).replace("ё", "с").split())).split()
 
 
 # --- lexicon -----------------------------------------------------------------------------------
 
 
-def lexicon(pages: DataFrame, text: str = "text") -> tuple[dict[str, int], int]:
-    """(counts of the words of the lexicon, count of all words); words with their own hyphen count as one
-    word, too, and figures alone are no words."""
+_MARKS = pa.struct([("side", pa.string()), ("line_no", pa.int64()), ("form", pa.string()), ("mark", pa.int64()), ("less", pa.list_(pa.int64()))])
+_EDGE = "struct<side: string, line_no: bigint, form: string, mark: bigint, less: array<bigint>>"
+
+
+def read_once(pages: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
+    """(page, os, w, n), written: the lines near the edges of each page (os), and for each batch of pages its words
+    (w) and their counts (n). Words with their own hyphen count as one word, too; figures alone are no words."""
+    prepare(pages.sparkSession)
+    kind = dict(pages.dtypes)[key]
 
     def run(batches):
         for b in batches:
-            n: Counter[str] = Counter()
-            for t in b.column(0).to_pylist():
-                if t:
-                    n.update(_WORD.findall(readable(t).lower()))
-            rows = [(w, k) for w, k in n.items() if len(w) <= LONGEST and not w.isdigit()]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.int64())], ["w", "n"])
-
-    counts = cut(pages.select(text).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+            strings: Counter[str] = Counter()  # words are looked for in each different string between blanks once
+            ids, rows = [], []
+            for i, (page, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if not t:
+                    continue
+                lines = readable_lines(t)
+                strings.update("\n".join(lines).lower().split())
+                if page is not None:
+                    row = []
+                    for side, n, line, form in edge_lines(lines):
+                        mark, less = line_marks(line) if form in ("plain", "long", "title") else (None, [])
+                        row.append({"side": side, "line_no": n, "form": form, "mark": mark, "less": less})
+                    ids.append(i)
+                    rows.append(row)
+            count: Counter[str] = Counter()
+            for string, k in strings.items():
+                for w in _WORD.findall(string):
+                    count[w] += k
+            words = [(w, k) for w, k in count.items() if len(w) <= LONGEST and not w.isdigit()]
+            some = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.nulls(1, b.column(0).type)]), pa.array([*rows, None], pa.list_(_MARKS)),
+                    pa.array([*[None] * some, [w for w, _ in words]], pa.list_(pa.string())), pa.array([*[None] * some, [k for _, k in words]], pa.list_(pa.int64())),
+                ],
+                ["page", "os", "w", "n"],
+            )
+
+    return cut(pages.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"page {kind}, os array<{_EDGE}>, w array<string>, n array<bigint>"))
+
+
+def lexicon(once: DataFrame) -> tuple[dict[str, int], int]:
+    """(counts of the words of the lexicon, count of all words) of pages read once."""
+    pairs = once.where("w is not null").select(F.explode(F.arrays_zip("w", "n")).alias("x"))
+    counts = cut(pairs.groupBy("x.w").agg(F.sum("x.n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r.w: r.n for r in counts.where(F.col("n") >= LEAST_SHARE * total).collect()}, total
 
@@ -119,6 +168,7 @@ class Reader:
         total = sum(counts.values()) if total is None else total
         self.common, self.least = total / COMMON, LEAST_SHARE * total
         self.known: dict[str, int] = {}
+        self.fine: set[str] = set()  # strings between blanks met without a misread character
 
     def count(self, word: str) -> int:
         return self.counts.get(word, 0)
@@ -159,8 +209,10 @@ class Reader:
         if word in self.known:
             return self.known[word]
         out = -1
-        letters = sum(c.isalpha() for c in word)
-        signs = sum(c in _SIGNS for c in word)
+        if word.isalpha():
+            letters, signs = len(word), 0
+        else:
+            letters, signs = len(_LETTER.findall(word)), sum(c in _SIGNS for c in word)
         if letters == 0:
             out = next((i for i, c in enumerate(word) if c in "|!*" and len(word) > 1), -1)
         elif signs:
@@ -177,6 +229,29 @@ class Reader:
         self.known[word] = out
         return out
 
+    def misread_in(self, text: str) -> bool:
+        """Whether a word of the text has a misread character; parts of addresses in the net don't count."""
+        for w in _WORD.finditer(text):
+            word = w.group()
+            if word.isdigit() or w.end() < len(text) and text[w.end()] in "@_" or w.start() > 0 and text[w.start() - 1] in "@_":
+                continue
+            if self.misread_at(word) >= 0 and not _in_address(w):
+                return True
+        return False
+
+    def misread(self, strings: list[str]) -> bool:
+        """Whether one of these strings between blanks has a misread character."""
+        if self.fine.issuperset(strings):
+            return False
+        for x in strings:
+            if x not in self.fine:
+                if self.misread_in(x):
+                    return True
+                if len(self.fine) > 300_000:
+                    self.fine.clear()
+                self.fine.add(x)
+        return False
+
     def broken(self, left: str, right: str, tail: str) -> bool:
         """Whether left-/right is one word broken at the end of a line, not one with its own hyphen."""
         if not right or not (right[0].islower() or (left.isupper() and right[0].isupper())) and not right[0] in _SIGNS:
@@ -202,17 +277,15 @@ def line_noise(text: str | None, reader: Reader) -> list[tuple[int, str]]:
     """(line, kind) of broken and misread words."""
     if not text:
         return []
-    plain = [readable(x.replace("­", "-") if x.rstrip().endswith("­") else x) for x in text.split("\n")]
+    plain = readable_lines(text, soft=True)
     out: set[tuple[int, str]] = set()
-    known, words = reader.known.get, _WORD.findall
-    carried = 0  # characters at the start of the line that belong to a broken word
+    jump = 0  # characters at the start of the line that belong to a broken word
     for n, line in enumerate(plain, 1):
-        end = len(line)
+        carried, jump, end = jump, 0, len(line)
         tail = line.rstrip()
-        m = _HYPHEN_END.search(line, max(0, len(tail) - 60)) if tail[-1:] in "-‐¬–" and tail else None
-        nxt = plain[n] if n < len(plain) else ""
-        s = _START.match(nxt) if m else None
-        if m and s:
+        m = _HYPHEN_END.search(line, max(0, len(tail) - LONGEST)) if tail[-1:] in "-‐¬–" and tail else None
+        s = _START.match(plain[n]) if m and n < len(plain) else None
+        if s:
             left = re.search(r"[\w|*!]+$", line[: m.end(1)])
             left_at = left.start() if left else m.start(1)
             word = line[left_at : m.end(1)]
@@ -223,38 +296,18 @@ def line_noise(text: str | None, reader: Reader) -> list[tuple[int, str]]:
                 if at >= 0:
                     out.add((n if at < len(word) else n + 1, "misread"))
                 jump = s.end(1)
-            else:
-                jump = 0
-        else:
-            jump = 0
-        odd = any(known(w, 0) >= 0 for w in words(line, carried, end))  # 0 for words not met yet
-        for w in _WORD.finditer(line, carried, end) if odd else ():
-            word = w.group()
-            if known(word, 0) < 0:
-                continue
-            if w.end() < len(line) and line[w.end()] in "@_" or w.start() > 0 and line[w.start() - 1] in "@_":
-                continue  # parts of addresses in the net
-            if reader.misread_at(word) >= 0 and not _in_address(w):
-                out.add((n, "misread"))
-                break
-        carried = jump
+        # words never hold blanks, so each string between them is looked at by itself
+        if reader.misread((line[carried:end] if carried or end < len(line) else line).split()):
+            out.add((n, "misread"))
     return sorted(out)
 
 
 # --- lines at the top and foot ----------------------------------------------------------------
 
 
-def edge_lines(text: str) -> list[tuple[str, int, str, str]]:
-    """(side, line number, line, form) of the lines from the top inwards, then of those from the foot inwards;
+def edge_lines(lines: list[str]) -> list[tuple[str, int, str, str]]:
+    """(side, line number, line, form) of readable lines from the top inwards, then of those from the foot inwards;
     each run ends with its second line of prose, but has EDGE full lines at least."""
-    lines = text.split("\n")
-    plain: dict[int, str] = {}
-
-    def at(i: int) -> str:
-        if i not in plain:
-            plain[i] = readable(lines[i]) if 0 <= i < len(lines) else ""
-        return plain[i]
-
     out = []
     top = 0
     for side, some in (("t", range(len(lines))), ("f", range(len(lines) - 1, -1, -1))):
@@ -262,11 +315,11 @@ def edge_lines(text: str) -> list[tuple[str, int, str, str]]:
         for i in some:
             if side == "f" and i < top:
                 break  # a short page is all top
-            x = at(i)
+            x = lines[i]
             if not x.strip():
                 form = "blank"
             else:
-                form = _form(x, at(i - 1), at(i + 1), side, full, i, len(lines))
+                form = _form(x, lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else "", side, full, i, len(lines))
                 full += 1
                 prose += form == "prose"
             out.append((side, i + 1, x, form))
@@ -289,12 +342,21 @@ def _form(x: str, before: str, after: str, side: str, place: int, i: int, n: int
             return "bare" if apart and re.search(r"№$|\bno\.?$|\bот$", before) is None else "plain"
     if _TABLE.match(x):
         return "table"
-    size = len(x.strip())
-    if size < 90 and _TITLE.search(x) and not _RUNNING.search(x):
+    body = x.strip()
+    if body[0] in _LOWER:
+        return "prose"  # goes on from a line before
+    if len(body) < 90 and _TITLE.search(x) and not _RUNNING.search(x):
         return "title"
-    if _PROSE.search(x) or not _RUNNING.search(x) and (_RUNS_ON.search(x) or _GOES_ON.match(after) and not _DRESSED.match(after)):
+    ends = body[-1] in ".,;:!?‐¬-" and not body.endswith(("Г.", "г."))
+    if ends or (_runs_on(body) or _GOES_ON.match(after) and not _DRESSED.match(after)) and not _RUNNING.search(x):
         return "prose"
-    return "long" if size > 72 else "plain"
+    return "long" if len(body) > 72 else "plain"
+
+
+def _runs_on(body: str) -> bool:
+    """Whether a sentence can't end with this line: with a number sign or a short word."""
+    last = body.rsplit(None, 1)[-1]
+    return body[-1] == "№" or len(last) <= 3 and last.isalpha() and last.islower()
 
 
 #: Header, number, title, body line, first line of a paragraph, table line, break in the margin, break in the body.
@@ -390,54 +452,34 @@ class Model:
 
 
 def _digest(key: str) -> int:
-    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return xxh3_64_intdigest(key.encode("utf-8", "replace")) - (1 << 63)
 
 
 def line_marks(line: str) -> tuple[int | None, list[int]]:
     """Digests of a line up to misreading, case and spacing: of the whole, and of the whole without one of
     its words (of a single word, without one of its characters), so that lines with one word misread beyond
     the common confusions still meet."""
-    words = [w for w in (same_key(w) for w in line.split()) if w]
+    words = _same_words(line)
     whole = "".join(words)
-    if sum(c.isalpha() for c in whole) < 3:
+    if len(_LETTER.findall(whole)) < 3:
         return None, []
     # the place of what is left out is part of the digest
     parts = words if len(words) > 1 else list(whole) if len(whole) > 5 else []
     return _digest(whole), [_digest(f"{i} {' '.join(parts[:i] + parts[i + 1 :])}") for i in range(len(parts))]
 
 
-_EDGE = "struct<side: string, line_no: bigint, form: string, mark: bigint, less: array<bigint>>"
 _NAMES = {"H": "header", "N": "page_number"}
 
 
-def _labelled(pages: DataFrame, files: DataFrame, key: str, text: str) -> tuple[DataFrame, Model]:
+def _labelled(once: DataFrame, files: DataFrame) -> tuple[DataFrame, Model]:
     """(page, rep, os): the lines near the edges of each page and which of their marks other pages of the
     file carry; and the model fitted to a sample of them."""
-    prepare(pages.sparkSession)
-    kind = dict(pages.dtypes)[key]
-    marks = pa.struct([("side", pa.string()), ("line_no", pa.int64()), ("form", pa.string()), ("mark", pa.int64()), ("less", pa.list_(pa.int64()))])
-
-    def run(batches):
-        for b in batches:
-            ids, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                if not t:
-                    continue
-                row = []
-                for side, n, line, form in edge_lines(t):
-                    mark, less = line_marks(line) if form in ("plain", "long", "title") else (None, [])
-                    row.append({"side": side, "line_no": n, "form": form, "mark": mark, "less": less})
-                ids.append(i)
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(rows, pa.list_(marks))], ["page", "os"])
-
-    source = pages.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
     # rows of one page are alike, as they hold the same text
-    edges = cut(source.mapInArrow(run, f"page {kind}, os array<{_EDGE}>").dropDuplicates(["page"]).withColumn("pid", F.xxhash64("page")))
+    edges = cut(once.where("page is not null").select("page", "os").dropDuplicates(["page"]).withColumn("pid", F.xxhash64("page")))
     where = files.where("file_hash is not null and page_hash is not null").select(F.xxhash64("page_hash").alias("pid"), F.xxhash64("file_hash").alias("file")).distinct()
     placed = cut(edges.select("pid", F.explode("os").alias("o")).where("o.mark is not null").select("pid", "o.mark", "o.less").join(where, "pid"))
     # how many pages of a file carry a line: counted before anything is brought together
-    carried = placed.groupBy("file", "mark").agg(F.count_distinct("pid").alias("pages"), F.first("less").alias("less")).where("pages > 1")
+    carried = cut(placed.groupBy("file", "mark").agg(F.count_distinct("pid").alias("pages"), F.first("less").alias("less")).where("pages > 1").drop("pages"))
     exact = placed.join(carried.select("file", "mark"), ["file", "mark"]).select("pid", "mark")
     # a line carried by no other page as it stands is held against its own file's carried lines, one word aside
     rest = placed.join(carried.select("file", "mark"), ["file", "mark"], "left_anti").select("pid", "mark", "file", F.explode("less").alias("part"))
@@ -461,10 +503,10 @@ def _edge_labels(os, rep: set[int], model: Model):
                 yield o["line_no"], _NAMES[s]
 
 
-def edge_noise(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
-    """(key, line_no, noise) of running headers and page numbers."""
-    chains, model = _labelled(pages, files, key, text)
-    kind = dict(pages.dtypes)[key]
+def edge_noise(once: DataFrame, files: DataFrame, key: str = "page_hash") -> DataFrame:
+    """(key, line_no, noise) of running headers and page numbers of pages read once."""
+    chains, model = _labelled(once, files)
+    kind = dict(once.dtypes)["page"]
 
     def label(batches):
         for b in batches:
@@ -481,8 +523,8 @@ def edge_noise(pages: DataFrame, files: DataFrame, key: str = "page_hash", text:
 
 def find(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
     """(key, line_no, noise) of all kinds."""
-    prepare(pages.sparkSession)
-    counts = pages.sparkSession.sparkContext.broadcast(lexicon(pages, text))
+    once = read_once(pages, key, text)
+    counts = pages.sparkSession.sparkContext.broadcast(lexicon(once))
     kind = dict(pages.dtypes)[key]
 
     def run(batches):
@@ -497,14 +539,15 @@ def find(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str =
 
     source = pages.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
     inner = source.mapInArrow(run, f"{key} {kind}, line_no bigint, noise string").distinct()
-    return inner.unionByName(edge_noise(pages, files, key, text))
+    return inner.unionByName(edge_noise(once, files, key))
 
 
 def running_text(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
     """(key, text): headers and page numbers dropped, broken words joined, misread words repaired, lines
     of a paragraph put together as the model labels them; table lines and titles stay by themselves."""
-    counts = pages.sparkSession.sparkContext.broadcast(lexicon(pages, text))
-    chains, model = _labelled(pages, files, key, text)
+    once = read_once(pages, key, text)
+    counts = pages.sparkSession.sparkContext.broadcast(lexicon(once))
+    chains, model = _labelled(once, files)
     readers: list[Reader] = []  # one for each task, as it remembers words
 
     def rebuild(t, rep, os):
@@ -538,14 +581,14 @@ def body_labels(lines: list[str], drop: set[int], model: Model) -> str:
         elif k < 2 and _TITLE.search(x) and not _RUNNING.search(x) and len(body) < 90:
             form = "title"
         else:
-            form = "prose" if _PROSE.search(x) else "plain"
+            form = "prose" if body[-1] in ".,;:!?‐¬-" else "plain"
         seen.append((form, False))
         last = body
     return model.label(seen, "K")
 
 
 def reassemble(text: str, drop: set[int], reader: Reader, model: Model | None = None) -> str:
-    lines = [readable(x) for x in text.split("\n")]
+    lines = readable_lines(text)
     broken = {n for n, k in line_noise(text, reader) if k == "hyphen"}
     labels = iter(body_labels(lines, drop, model or Model()))
     paragraphs: list[str] = []

@@ -33,13 +33,13 @@ def test_counts_given_many_times_over_change_no_row():
 def test_edges_have_no_fixed_depth_and_long_words_are_let_be():
     top = ["ООО «Ромашка»", "Отдел учёта", "Архив", "Том второй", "Опись"]
     body = ["Агент принял товар,", "кассир утвердил ведомость."] * 4
-    seen = edge = S.edge_lines("\n".join(top + body))
+    seen = edge = S.edge_lines(top + body)
     assert [n for side, n, _, form in seen if side == "t" and form == "plain"] == [1, 2, 3, 4, 5]
     model = S.Model()
     marks = [({"side": side, "line_no": n, "form": form, "mark": n}) for side, n, _, form in edge]
     assert {n for n, noise in S._edge_labels(marks, {1, 2, 3, 4, 5}, model) if noise == "header"} == {1, 2, 3, 4, 5}
     assert S.line_noise("1" + "а" * 100_000 + "-\nб", S.Reader({"аа": 5})) == []
-    assert S.edge_lines("") == [("t", 1, "", "blank")] and S.Model().label([]) == ""
+    assert S.edge_lines([""]) == [("t", 1, "", "blank")] and S.Model().label([]) == ""
 
 
 def test_paragraphs_follow_the_labels():
