@@ -45,6 +45,8 @@ PIECE, BLOCK, AT_ONCE = 8, 40, 512
 SKETCH_BITS, WORD_BITS = (14, 26), 18
 #: Counters that go through one task at a time, and their greatest value.
 CHUNK, FULL = 1 << 16, 65_535
+#: Pages of a partition up to which its bits go to one task together.
+WIDE = 8192
 #: Pages of one bit up to which they are paired in one task; and blocks that a bit's pages are dealt to, at most.
 HOT, MOST_BLOCKS = 4096, 64
 #: Different numbers in one group up to which they are compared directly.
@@ -212,6 +214,16 @@ def choose(row: np.ndarray, bit: np.ndarray, word: np.ndarray, count: np.ndarray
     return probed
 
 
+def _taking_part(row: np.ndarray, bit: np.ndarray, bit_count: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits of each page, which bits matter, bits to probe among these). A bit counted once is in no other page: it
+    is probed for nothing. A page of more such bits than it may miss for its smallest partner is like no other."""
+    n = np.bincount(row, minlength=pages)
+    some = bit_count[(bit & np.uint64(len(bit_count) - 1)).astype(np.int64)] > 1
+    alone = n - np.bincount(row[some], minlength=pages)
+    some &= (alone <= n - (n + 1) // 2)[row]
+    return n, some, np.maximum(0, probed_bits(n) - alone)
+
+
 def _counters(pages: DataFrame, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters of the pages of each bit and of each word, up to FULL; of 2 ** log_bits and 2 ** WORD_BITS entries.
     As many tasks as there are cores send theirs, whatever the number of splits."""
@@ -285,7 +297,7 @@ def _met(sig: np.ndarray, n: np.ndarray, block: np.ndarray, pair: np.ndarray, pr
 
 
 def _meetings(batches):
-    """Rows (bit, cell, sig, n, block, pair) in the order of bit and cell to pairs of pages that meet in the bit, with
+    """Rows (bit, cell, sig, n, block, pair), those of a bit and cell side by side, to pairs of pages that meet in the bit, with
     counts; n is negative for a page that only holds the bit. A run of rows of one cell is paired in parts, so it
     needs no more memory than its rows."""
     held: list[np.ndarray] = []
@@ -362,37 +374,69 @@ def alike_classes(words: DataFrame) -> DataFrame:
     log_bits = int(np.clip(np.ceil(np.log2(pages * 128)), *SKETCH_BITS))
     counters = spark.sparkContext.broadcast(_counters(reps, log_bits))
 
-    def probe(batches):
+    size = len(counters.value[0])
+    mask = np.uint64(size - 1)
+
+    def mark(batches):
         bit_count, word_count = counters.value
-        mask, word_mask = np.uint64(len(bit_count) - 1), np.uint64(len(word_count) - 1)
+        met = np.zeros(size, bool)
+        kinds = ["sig", "h", "probed", "k", "c"]
+        for b in batches:
+            row, bit, word = _page_bits(b.column(1), word_count)
+            n, some, need = _taking_part(row, bit, bit_count, b.num_rows)
+            probed = np.zeros(len(row), bool)
+            held = word_count[(word[some] & np.uint64(len(word_count) - 1)).astype(np.int64)]
+            probed[some] = choose(row[some], bit[some], word[some], bit_count[(bit[some] & mask).astype(np.int64)], held, need)
+            met[(bit[probed] & mask).astype(np.int64)] = True
+            ends = np.cumsum(n)
+            packed = [np.packbits(probed[e - k : e]).tobytes() for e, k in zip(ends, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], kinds)
+        ks = [k for k in range(0, size, CHUNK) if met[k : k + CHUNK].any()]
+        none = pa.nulls(len(ks), pa.int64())
+        lists = pa.nulls(len(ks), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([none, lists, pa.nulls(len(ks), pa.binary()), pa.array([k // CHUNK for k in ks], pa.int32()), pa.array([np.packbits(met[k : k + CHUNK]).tobytes() for k in ks], pa.binary())], kinds)
+
+    def either(key, t):  # a part of every task's probed bits
+        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "c": pa.array([np.bitwise_or.reduce([np.frombuffer(c.as_py(), np.uint8) for c in t.column("c")]).tobytes()], pa.binary())})
+
+    few = reps.select("sig", "h").coalesce(max(1, spark.sparkContext.defaultParallelism))
+    marked = cut(few.mapInArrow(mark, "sig bigint, h array<bigint>, probed binary, k int, c binary"))
+    probed_anywhere = np.zeros(-(-size // CHUNK) * CHUNK, bool)
+    for r in marked.where("k is not null").select("k", "c").groupBy("k").applyInArrow(either, "k int, c binary").collect():
+        got = np.unpackbits(np.frombuffer(bytes(r.c), np.uint8)).astype(bool)
+        probed_anywhere[r.k * CHUNK : r.k * CHUNK + len(got)] = got
+    wanted = spark.sparkContext.broadcast(np.packbits(probed_anywhere))
+
+    def probe(batches):
+        (bit_count, word_count), probed_bit = counters.value, np.unpackbits(wanted.value).astype(bool)
         for b in batches:
             if not b.num_rows:
                 continue
             sig = b.column(0).to_numpy(zero_copy_only=False)
             row, bit, word = _page_bits(b.column(1), word_count)
-            count = bit_count[(bit & mask).astype(np.int64)]
-            n = np.bincount(row, minlength=b.num_rows)
-            some = count > 1  # a bit counted once is in no other page: it is probed for nothing
-            alone = n - np.bincount(row[some], minlength=b.num_rows)
-            # a page of more such bits than it may miss for its smallest partner is like no other
-            some &= (alone <= n - (n + 1) // 2)[row]
-            row, bit, word, count = row[some], bit[some], word[some], count[some]
-            probed = choose(row, bit, word, count, word_count[(word & word_mask).astype(np.int64)], np.maximum(0, probed_bits(n) - alone))
-            size = np.where(probed, n[row], -n[row])
-            blocks = np.minimum(MOST_BLOCKS, -(-count.astype(np.int64) // HOT))
+            n, some, _ = _taking_part(row, bit, bit_count, b.num_rows)
+            probed = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=int(k)).astype(bool) for x, k in zip(b.column(2), n)])
+            # a page shows the bits that some page probes
+            some &= probed_bit[(bit & mask).astype(np.int64)]
+            row, bit, word, probed = row[some], bit[some], word[some], probed[some]
+            # the bits of a partition go together, unless it is in too many pages
+            place = np.where(word_count[(word & np.uint64(len(word_count) - 1)).astype(np.int64)] < WIDE, word, bit)
+            blocks = np.minimum(MOST_BLOCKS, -(-bit_count[(bit & mask).astype(np.int64)].astype(np.int64) // HOT))
             mine = np.where(blocks > 1, (sig[row].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64), 0)
             # a page's row goes to the cell of its block with each block; those of one block have one cell
             at = np.repeat(np.arange(len(row)), blocks)
             with_ = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             lo, hi = np.minimum(mine[at], with_), np.maximum(mine[at], with_)
             pair = np.where(blocks[at] == 1, -1, np.where(lo == hi, 0, 1))
+            held = np.where(probed, n[row], -n[row])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bit[at].view(np.int64)), pa.array((lo * MOST_BLOCKS + hi).astype(np.int32)), pa.array(sig[row[at]]), pa.array(size[at].astype(np.int32)), pa.array(mine[at].astype(np.int32)), pa.array(pair.astype(np.int32))],
-                ["bit", "cell", "sig", "n", "block", "pair"],
+                [pa.array(place[at].view(np.int64)), pa.array(bit[at].view(np.int64)), pa.array((lo * MOST_BLOCKS + hi).astype(np.int32)), pa.array(sig[row[at]]), pa.array(held[at].astype(np.int32)), pa.array(mine[at].astype(np.int32)), pa.array(pair.astype(np.int32))],
+                ["place", "bit", "cell", "sig", "n", "block", "pair"],
             )
 
-    probes = reps.select("sig", "h").mapInArrow(probe, "bit bigint, cell int, sig bigint, n int, block int, pair int")
-    shared = probes.repartition("bit", "cell").sortWithinPartitions("bit", "cell").mapInArrow(_meetings, "sig_a bigint, sig_b bigint, c int, least int")
+    reps = marked.where("sig is not null").select("sig", "h", "probed")
+    probes = reps.mapInArrow(probe, "place bigint, bit bigint, cell int, sig bigint, n int, block int, pair int")
+    shared = probes.repartition("place", "cell").sortWithinPartitions("place", "cell", "bit").select("bit", "cell", "sig", "n", "block", "pair").mapInArrow(_meetings, "sig_a bigint, sig_b bigint, c int, least int")
     counted = shared.groupBy("sig_a", "sig_b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least")
     candidates = cut(counted.select("sig_a", "sig_b"))
 
