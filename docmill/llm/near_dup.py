@@ -1,24 +1,21 @@
-"""Problem 5: groups of records with small edits, by the generalised pigeonhole principle.
-
-A page is a vector of bits, one for each three words in a row. Two pages of m <= n bits are alike if
-at least o = ceil((n + m) / 3) bits are common, so at most m - o bits of the smaller are missing in
-the larger. Bits are correlated where they share a word: the bits around a rare word come and go
-together. So each bit belongs to the partition of the rarest of its three words. The smaller page
-gives partition i an allowance T_i >= -1, with sum(T_i + 1) = m - ceil(2 m / 3) + 1 + EXTRA, and
-probes T_i + 1 of its bits; the larger page shows all its bits. As at most m - o bits are missing,
-at least sum(T_i + 1) - (m - o) probed bits are met, EXTRA + 1 or more; pages that meet in fewer are
-no candidates, the others are verified on their whole sets. The allowances are the optimum, found by
-dynamic programming over the partitions, of the estimated number of candidates: j bits of one
-partition bring no more of them than the pages that hold its word, so the cost of further bits of
-a partition isn't the sum of their counts. A page is programmed in blocks of BLOCK partitions, each with its part
-of the bits needed; a partition of more than PIECE bits is taken as several.
-
-Counts are estimated by arrays of counters, sized by the number of pages up to a fixed bound; they
-never count too few (but for those of very many pages), and a coarser estimate costs time but loses
-nothing. A bit of more than HOT pages is dealt to several tasks as pairs of blocks of its pages.
-Equal word sequences are one class and are probed once. Numbers of papers are compared within equal
-contractor, date and amount; where such a group holds many different numbers they are cut into
-segments of which one must be equal.
+"""Problem 5: groups of records with small edits, by the pigeonhole principle on bits.
+
+A page is a vector of bits, one for each three words in a row. Two pages of n and m bits are alike if at least
+o = ceil((n + m) / 3) bits are common, so at most n - o bits of the first are missing in the second. In the general
+principle bits are grouped into partitions with an allowance T_i >= -1 each, sum(T_i + 1) = n - o + 1 + EXTRA, and
+T_i + 1 bits of partition i are probed. Here each bit is a partition of its own and the allowances follow one order of
+all bits, the rarest first: a page probes its first n - o + 1 + EXTRA bits, and pages alike share at least
+min(EXTRA + 1, o) of the bits that both probe. As the order is one and the same for all pages, only probed bits are
+stored. Partitions of correlated bits (those that share their rarest word), with allowances from dynamic programming
+for each page, were built and measured: they break that order, so that a page has to be met in all its bits, which
+gives about twenty times as many meetings and more than the disk that is to be had (figures in the README). Of the
+grouping what helps is kept: bits that share a rare word go to one task, where their meetings are counted together.
+Candidates that share enough bits are verified on their whole sets.
+
+Counts are estimated by arrays of counters, sized by the number of pages up to a fixed bound; a coarser estimate costs
+time but loses nothing. A bit of more than HOT pages is dealt to several tasks as pairs of blocks of its pages.
+Equal word sequences are one class and are probed once. Numbers of papers are compared within equal contractor, date
+and amount; where such a group holds many different numbers they are cut into segments of which one must be equal.
 
 Defined results: null texts and pages under MIN_WORDS words take no part; repeated rows of a page
 count once; null keys take no part; equal numbers count as alike.
@@ -39,8 +36,6 @@ from docmill.runtime import cut, prepare
 MIN_WORDS, WORDS, THRESHOLD = 30, 3, 0.5
 #: Probed bits beyond the least number.
 EXTRA = 4
-#: Most bits of a partition in one piece, pieces in one block of the programme, and blocks programmed at once.
-PIECE, BLOCK, AT_ONCE = 8, 40, 512
 #: log2 of the counters of bits (least and most) and of words.
 SKETCH_BITS, WORD_BITS = (14, 26), 18
 #: Counters that go through one task at a time, and their greatest value.
@@ -97,39 +92,6 @@ def common_least(n, m):
     return (n + m + 2) // 3
 
 
-def probed_bits(m):
-    """Bits that a page of m bits probes: enough for every partner of at least its size."""
-    return np.minimum(m, m - common_least(m, m) + 1 + EXTRA)
-
-
-def allocate(costs: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Bits to probe of each piece (T_i + 1), for the least total cost of exactly need[b] bits in block b, by
-    dynamic programming over the pieces of all blocks at once. costs[b, k, j] is the cost of j bits of piece k,
-    infinite where there are fewer."""
-    blocks, pieces, most = costs.shape
-    width = int(need.max(initial=0)) + 1
-    best = np.full((blocks, width), np.inf, np.float32)
-    best[:, 0] = 0
-    taken = np.zeros((pieces, blocks, width), np.uint8)
-    for k in range(pieces):
-        new = best + costs[:, k, :1]
-        for j in range(1, min(most, width)):
-            own = costs[:, k, j]
-            if not np.isfinite(own).any():
-                break
-            other = best[:, : width - j] + own[:, None]
-            better = other < new[:, j:]
-            np.copyto(new[:, j:], other, where=better)
-            taken[k, :, j:][better] = j
-        best = new
-    at, rows = need.astype(np.int64).copy(), np.arange(blocks)
-    out = np.zeros((blocks, pieces), np.int64)
-    for k in range(pieces - 1, -1, -1):
-        out[:, k] = taken[k, rows, at]
-        at -= out[:, k]
-    return out
-
-
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, row of each) of a column of lists."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -157,73 +119,6 @@ def _page_bits(column: pa.Array, words: np.ndarray | None = None) -> tuple[np.nd
     return at[first], x[first], rare[same][order][first]
 
 
-def choose(row: np.ndarray, bit: np.ndarray, word: np.ndarray, count: np.ndarray, held: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Which bits are probed. row, bit, word: the bits of the pages and their partitions; count: estimated pages of
-    each bit; held: of each partition's word; need: bits to probe of each row (of those given)."""
-    probed = np.zeros(len(bit), bool)
-    if not len(bit):
-        return probed
-    order = np.lexsort((bit, count, word, row))
-    row, word, count, held = row[order], word[order], count[order].astype(np.float32), held[order].astype(np.float32)
-    new = np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
-    rank = np.arange(len(row)) - start
-    piece_new = new | (rank % PIECE == 0)
-    piece = np.cumsum(piece_new) - 1
-    piece_at = np.flatnonzero(piece_new)
-    place = np.arange(len(row)) - piece_at[piece]  # of a bit in its piece
-    total = np.cumsum(count)
-    cost = np.minimum(total - (total - count)[piece_at][piece], held)
-    # blocks of pieces of one page
-    piece_row = row[piece_at]
-    page_new = np.r_[True, piece_row[1:] != piece_row[:-1]]
-    page_at = np.flatnonzero(page_new)
-    within = np.arange(len(piece_at)) - page_at[np.cumsum(page_new) - 1]
-    block_new = page_new | (within % BLOCK == 0)
-    block = np.cumsum(block_new) - 1
-    block_at = np.flatnonzero(block_new)
-    slot = np.arange(len(piece_at)) - block_at[block]
-    # each block has its part of the bits needed
-    sizes = np.diff(np.r_[piece_at, len(row)])
-    bits = np.add.reduceat(sizes, block_at)
-    ends = np.cumsum(bits)
-    pages = piece_row[block_at]
-    first_of_page = np.flatnonzero(np.r_[True, pages[1:] != pages[:-1]])
-    page_of = np.cumsum(np.r_[True, pages[1:] != pages[:-1]]) - 1
-    before = (ends - bits)[first_of_page][page_of]
-    whole = np.add.reduceat(bits, first_of_page)[page_of]
-    wanted = np.minimum(need[pages], whole)
-    share = ((ends - before) * wanted) // whole - ((ends - bits - before) * wanted) // whole
-    out = np.zeros(len(piece_at), np.int64)
-    by_need = np.argsort(share, kind="stable")
-    piece_block = block
-    for lo in range(0, len(by_need), AT_ONCE):
-        some = by_need[lo : lo + AT_ONCE]
-        if share[some[-1]] == 0:
-            continue
-        local = np.full(len(block_at), -1)
-        local[some] = np.arange(len(some))
-        mine = local[piece_block] >= 0
-        mine_bits = mine[piece]
-        costs = np.full((len(some), int(slot[mine].max()) + 1, PIECE + 1), np.inf, np.float32)
-        costs[:, :, 0] = 0
-        costs[local[piece_block[piece[mine_bits]]], slot[piece[mine_bits]], place[mine_bits] + 1] = cost[mine_bits]
-        chosen = allocate(costs, share[some])
-        out[mine] = chosen[local[piece_block[mine]], slot[mine]]
-    probed[order] = place < out[piece]
-    return probed
-
-
-def _taking_part(row: np.ndarray, bit: np.ndarray, bit_count: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bits of each page, which bits matter, bits to probe among these). A bit counted once is in no other page: it
-    is probed for nothing. A page of more such bits than it may miss for its smallest partner is like no other."""
-    n = np.bincount(row, minlength=pages)
-    some = bit_count[(bit & np.uint64(len(bit_count) - 1)).astype(np.int64)] > 1
-    alone = n - np.bincount(row[some], minlength=pages)
-    some &= (alone <= n - (n + 1) // 2)[row]
-    return n, some, np.maximum(0, probed_bits(n) - alone)
-
-
 def _counters(pages: DataFrame, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters of the pages of each bit and of each word, up to FULL; of 2 ** log_bits and 2 ** WORD_BITS entries.
     As many tasks as there are cores send theirs, whatever the number of splits."""
@@ -284,47 +179,41 @@ def page_words(pages: DataFrame, key: str = "page_hash", text: str = "text") ->
 BLOCK_PAIRS = 2_000_000
 
 
-def _met(sig: np.ndarray, n: np.ndarray, block: np.ndarray, pair: np.ndarray, probing: np.ndarray, other: np.ndarray):
-    """Of pairs of rows (one probing, one held) those of different pages where the probing one is the smaller, or
-    of equal size and smaller signature; with the number of met bits that makes them candidates."""
-    p, q = n[probing], n[other]
+def _met(sig: np.ndarray, n: np.ndarray, rank: np.ndarray, block: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Of pairs of rows those of different pages where the bit is among both pages' first bits for a partner of that
+    size; with the number of met bits that makes them candidates."""
+    p, q = n[left], n[right]
+    least = common_least(p, q)
+    ok = (rank[left] <= p - least + EXTRA) & (rank[right] <= q - least + EXTRA) & (2 * p >= q) & (2 * q >= p) & (sig[left] != sig[right])
     # pairs within a block belong to the cell of that block alone
-    own = (pair[probing] < 0) | (block[probing] != block[other]) | (pair[probing] == 0)
-    ok = own & ((p < q) | (p == q) & (sig[probing] < sig[other])) & (2 * p >= q)
-    probing, other, p, q = probing[ok], other[ok], p[ok], q[ok]
-    a, b = sig[probing], sig[other]
-    return np.minimum(a, b), np.maximum(a, b), probed_bits(p) - p + common_least(p, q)
+    ok &= (block[left] % 4 < 2) | (block[left] != block[right])
+    a, b = sig[left[ok]], sig[right[ok]]
+    return np.minimum(a, b), np.maximum(a, b), np.minimum(EXTRA + 1, least[ok])
 
 
 def _meetings(batches):
-    """Rows (bit, cell, sig, n, block, pair), those of a bit and cell side by side, to pairs of pages that meet in the bit, with
-    counts; n is negative for a page that only holds the bit. A run of rows of one cell is paired in parts, so it
-    needs no more memory than its rows."""
+    """Rows (bit, cell, sig, n, rank, block), those of a bit and cell side by side, to pairs of pages that meet in the
+    bit, with counts. A run of rows of one cell is paired in parts, so it needs no more memory than its rows."""
     held: list[np.ndarray] = []
 
     def flush(rows: np.ndarray):
-        bit, cell, sig, n, block, pair = rows
-        starts = np.flatnonzero(np.r_[True, (bit[1:] != bit[:-1]) | (cell[1:] != cell[:-1])])
-        run = np.cumsum(np.r_[True, (bit[1:] != bit[:-1]) | (cell[1:] != cell[:-1])]) - 1
+        bit, cell, sig, n, rank, block = rows
+        new = np.r_[True, (bit[1:] != bit[:-1]) | (cell[1:] != cell[:-1])]
+        starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(bit)])
-        probing = np.flatnonzero((n > 0) & (sizes[run] > 1))
-        n = np.abs(n)
-        each = sizes[run[probing]]
-        ends = np.cumsum(each)
+        ends = (starts + sizes)[np.cumsum(new) - 1]
+        each = ends - np.arange(len(bit)) - 1  # a row is paired with those after it
+        rows_left = np.flatnonzero(each)
+        total = np.cumsum(each[rows_left])
         lo = 0
-        while lo < len(probing):
-            # as many probing rows as make BLOCK_PAIRS pairs, and one of a longer run in parts
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_PAIRS, side="right")))
-            some, k = probing[lo:hi], each[lo:hi]
-            if hi == lo + 1 and k[0] > BLOCK_PAIRS:
-                s = starts[run[some[0]]]
-                for at in range(0, int(k[0]), BLOCK_PAIRS):
-                    others = np.arange(s + at, s + min(at + BLOCK_PAIRS, int(k[0])))
-                    yield _met(sig, n, block, pair, np.repeat(some, len(others)), others)
-            else:
-                left = np.repeat(some, k)
-                others = np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(starts[run[some]], k)
-                yield _met(sig, n, block, pair, left, others)
+        while lo < len(rows_left):
+            # as many rows as make BLOCK_PAIRS pairs, one of a longer run by itself
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK_PAIRS, side="right")))
+            some = rows_left[lo:hi]
+            k = each[some]
+            left = np.repeat(some, k)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+            yield _met(sig, n, rank, block, left, right)
             lo = hi
 
     def table(a: np.ndarray, b: np.ndarray, least: np.ndarray):
@@ -374,69 +263,41 @@ def alike_classes(words: DataFrame) -> DataFrame:
     log_bits = int(np.clip(np.ceil(np.log2(pages * 128)), *SKETCH_BITS))
     counters = spark.sparkContext.broadcast(_counters(reps, log_bits))
 
-    size = len(counters.value[0])
-    mask = np.uint64(size - 1)
-
-    def mark(batches):
-        bit_count, word_count = counters.value
-        met = np.zeros(size, bool)
-        kinds = ["sig", "h", "probed", "k", "c"]
-        for b in batches:
-            row, bit, word = _page_bits(b.column(1), word_count)
-            n, some, need = _taking_part(row, bit, bit_count, b.num_rows)
-            probed = np.zeros(len(row), bool)
-            held = word_count[(word[some] & np.uint64(len(word_count) - 1)).astype(np.int64)]
-            probed[some] = choose(row[some], bit[some], word[some], bit_count[(bit[some] & mask).astype(np.int64)], held, need)
-            met[(bit[probed] & mask).astype(np.int64)] = True
-            ends = np.cumsum(n)
-            packed = [np.packbits(probed[e - k : e]).tobytes() for e, k in zip(ends, n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], kinds)
-        ks = [k for k in range(0, size, CHUNK) if met[k : k + CHUNK].any()]
-        none = pa.nulls(len(ks), pa.int64())
-        lists = pa.nulls(len(ks), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([none, lists, pa.nulls(len(ks), pa.binary()), pa.array([k // CHUNK for k in ks], pa.int32()), pa.array([np.packbits(met[k : k + CHUNK]).tobytes() for k in ks], pa.binary())], kinds)
-
-    def either(key, t):  # a part of every task's probed bits
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "c": pa.array([np.bitwise_or.reduce([np.frombuffer(c.as_py(), np.uint8) for c in t.column("c")]).tobytes()], pa.binary())})
-
-    few = reps.select("sig", "h").coalesce(max(1, spark.sparkContext.defaultParallelism))
-    marked = cut(few.mapInArrow(mark, "sig bigint, h array<bigint>, probed binary, k int, c binary"))
-    probed_anywhere = np.zeros(-(-size // CHUNK) * CHUNK, bool)
-    for r in marked.where("k is not null").select("k", "c").groupBy("k").applyInArrow(either, "k int, c binary").collect():
-        got = np.unpackbits(np.frombuffer(bytes(r.c), np.uint8)).astype(bool)
-        probed_anywhere[r.k * CHUNK : r.k * CHUNK + len(got)] = got
-    wanted = spark.sparkContext.broadcast(np.packbits(probed_anywhere))
+    mask = np.uint64(len(counters.value[0]) - 1)
 
     def probe(batches):
-        (bit_count, word_count), probed_bit = counters.value, np.unpackbits(wanted.value).astype(bool)
+        bit_count, word_count = counters.value
         for b in batches:
             if not b.num_rows:
                 continue
             sig = b.column(0).to_numpy(zero_copy_only=False)
             row, bit, word = _page_bits(b.column(1), word_count)
-            n, some, _ = _taking_part(row, bit, bit_count, b.num_rows)
-            probed = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=int(k)).astype(bool) for x, k in zip(b.column(2), n)])
-            # a page shows the bits that some page probes
-            some &= probed_bit[(bit & mask).astype(np.int64)]
-            row, bit, word, probed = row[some], bit[some], word[some], probed[some]
-            # the bits of a partition go together, unless it is in too many pages
-            place = np.where(word_count[(word & np.uint64(len(word_count) - 1)).astype(np.int64)] < WIDE, word, bit)
-            blocks = np.minimum(MOST_BLOCKS, -(-bit_count[(bit & mask).astype(np.int64)].astype(np.int64) // HOT))
+            count = bit_count[(bit & mask).astype(np.int64)].astype(np.int64)
+            held = word_count[(word & np.uint64(len(word_count) - 1)).astype(np.int64)]
+            n = np.bincount(row, minlength=b.num_rows)
+            alone = np.bincount(row[count < 2], minlength=b.num_rows)
+            order = np.lexsort((bit, count, row))
+            row, bit, word, count, held = row[order], bit[order], word[order], count[order], held[order]
+            rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            # a bit counted once is in no other page; a page of more of them than it may miss for its smallest partner is like no other
+            some = (count > 1) & (rank < n[row] - (n[row] + 1) // 2 + 1 + EXTRA) & (alone <= n // 2)[row]
+            row, bit, word, count, held, rank = row[some], bit[some], word[some], count[some], held[some], rank[some]
+            # bits that share a rare word go together, unless it is in too many pages
+            place = np.where(held < WIDE, word, bit)
+            blocks = np.minimum(MOST_BLOCKS, -(-count // HOT))
             mine = np.where(blocks > 1, (sig[row].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64), 0)
-            # a page's row goes to the cell of its block with each block; those of one block have one cell
+            # a row goes to the cell of its page's block with each block; pages of one block have one cell
             at = np.repeat(np.arange(len(row)), blocks)
             with_ = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             lo, hi = np.minimum(mine[at], with_), np.maximum(mine[at], with_)
-            pair = np.where(blocks[at] == 1, -1, np.where(lo == hi, 0, 1))
-            held = np.where(probed, n[row], -n[row])
+            kind = np.where(blocks[at] == 1, 0, np.where(lo == hi, 1, 2))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(place[at].view(np.int64)), pa.array(bit[at].view(np.int64)), pa.array((lo * MOST_BLOCKS + hi).astype(np.int32)), pa.array(sig[row[at]]), pa.array(held[at].astype(np.int32)), pa.array(mine[at].astype(np.int32)), pa.array(pair.astype(np.int32))],
-                ["place", "bit", "cell", "sig", "n", "block", "pair"],
+                [pa.array(place[at].view(np.int64)), pa.array(bit[at].view(np.int64)), pa.array((lo * MOST_BLOCKS + hi).astype(np.int32)), pa.array(sig[row[at]]), pa.array(n[row[at]].astype(np.int32)), pa.array(rank[at].astype(np.int32)), pa.array((mine[at] * 4 + kind).astype(np.int32))],
+                ["place", "bit", "cell", "sig", "n", "rank", "block"],
             )
 
-    reps = marked.where("sig is not null").select("sig", "h", "probed")
-    probes = reps.mapInArrow(probe, "place bigint, bit bigint, cell int, sig bigint, n int, block int, pair int")
-    shared = probes.repartition("place", "cell").sortWithinPartitions("place", "cell", "bit").select("bit", "cell", "sig", "n", "block", "pair").mapInArrow(_meetings, "sig_a bigint, sig_b bigint, c int, least int")
+    probes = reps.mapInArrow(probe, "place bigint, bit bigint, cell int, sig bigint, n int, rank int, block int")
+    shared = probes.repartition("place", "cell").sortWithinPartitions("place", "cell", "bit").select("bit", "cell", "sig", "n", "rank", "block").mapInArrow(_meetings, "sig_a bigint, sig_b bigint, c int, least int")
     counted = shared.groupBy("sig_a", "sig_b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least")
     candidates = cut(counted.select("sig_a", "sig_b"))
 

@@ -1,4 +1,3 @@
-import itertools
 import random
 
 import numpy as np
@@ -9,33 +8,6 @@ from docmill.llm import names as N
 from docmill.llm import near_dup as D
 
 
-def test_allowances_are_the_least_cost():
-    rng = random.Random(3)
-    for _ in range(60):
-        pieces = [[0, *np.minimum(np.cumsum(sorted(rng.randrange(1, 30) for _ in range(rng.randrange(1, 4)))), rng.randrange(5, 60))] for _ in range(rng.randrange(2, 6))]
-        costs = np.full((1, len(pieces), 4), np.inf, np.float32)
-        for k, own in enumerate(pieces):
-            costs[0, k, : len(own)] = own
-        need = rng.randrange(1, sum(len(own) - 1 for own in pieces) + 1)
-        chosen = D.allocate(costs, np.array([need]))[0]
-        best = min(sum(own[j] for own, j in zip(pieces, js)) for js in itertools.product(*(range(len(own)) for own in pieces)) if sum(js) == need)
-        assert chosen.sum() == need and sum(own[j] for own, j in zip(pieces, chosen)) == best
-
-
-@pytest.mark.parametrize("piece, block", [(2, 3), (8, 40)])
-def test_a_page_probes_as_many_bits_as_it_needs(monkeypatch, piece, block):
-    monkeypatch.setattr(D, "PIECE", piece)
-    monkeypatch.setattr(D, "BLOCK", block)
-    monkeypatch.setattr(D, "AT_ONCE", 5)
-    rng = np.random.default_rng(4)
-    row = np.sort(rng.integers(0, 30, 900))
-    word = rng.integers(0, 12, 900).astype(np.uint64)
-    need = rng.integers(0, 60, 31)
-    got = D.choose(row, rng.permutation(900).astype(np.uint64), word, rng.integers(2, 50, 900), rng.integers(2, 50, 900), need)
-    assert (np.bincount(row[got], minlength=31) == np.minimum(need, np.bincount(row, minlength=31))).all()
-    assert D.choose(row[:0], word[:0], word[:0], row[:0], row[:0], need).size == 0
-
-
 def brute_pages(pages):
     bits = {k: x[1] for k, t in pages if t and (x := D.bits_of(t)) is not None}
     out = set()
@@ -48,11 +20,11 @@ def brute_pages(pages):
     return out
 
 
-@pytest.mark.parametrize("hot, piece, pairs", [(4096, 8, 2_000_000), (2, 2, 7)])
-def test_alike_pages_against_brute_force(spark, monkeypatch, hot, piece, pairs):
+@pytest.mark.parametrize("hot, wide, pairs", [(4096, 8192, 2_000_000), (2, 2, 7)])
+def test_alike_pages_against_brute_force(spark, monkeypatch, hot, wide, pairs):
     monkeypatch.setattr(D, "BLOCK_PAIRS", pairs)
     monkeypatch.setattr(D, "HOT", hot)
-    monkeypatch.setattr(D, "PIECE", piece)
+    monkeypatch.setattr(D, "WIDE", wide)
     rng = random.Random(5)
     words = [f"слово{i}" for i in range(60)]
     pages = []
