@@ -86,3 +86,31 @@ def fix_dates(c: Column) -> Column:
 
 def fix_number_sign(c: Column) -> Column:
     return F.regexp_replace(c, r"[№N]\s*(\d+)", "№ $1")
+
+
+def safe_size(n_bytes: Column, most: int) -> tuple[Column, Column]:
+    """(whether a file is small enough, its size in MB)."""
+    return n_bytes <= most, n_bytes / 1048576.0
+
+
+def has_keys(json: Column, required: list[str]) -> Column:
+    """Whether a text is a JSON object with all these keys."""
+    keys = F.json_object_keys(json)
+    return F.coalesce(F.size(F.array_intersect(keys, F.array(*[F.lit(k) for k in required]))) == len(set(required)), F.lit(False))
+
+
+def path_within(path: str, folder: str, suffixes: tuple[str, ...] = ()) -> bool:
+    """Whether a path, with its links followed, lies in a folder and has one of the suffixes; for the driver."""
+    from pathlib import Path
+
+    try:
+        at, root = Path(path).resolve(), Path(folder).resolve()
+    except (OSError, RuntimeError, ValueError):
+        return False
+    return at.is_relative_to(root) and (not suffixes or at.suffix.lower() in suffixes)
+
+
+def is_folder(path: str) -> bool:
+    from pathlib import Path
+
+    return bool(path) and Path(path).is_dir()

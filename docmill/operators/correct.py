@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +15,47 @@ from docmill.runtime import prepare
 TO_CYRILLIC = str.maketrans("AaBCcEeHKMOoPpTXxy036", "АаВСсЕеНКМОоРрТХхуОЗб")
 
 
+#: Scraps that recognition leaves, whatever the type: single letters and figures between blanks, short
+#: stretches with points, words with a mark, three short words in a row; dates with colons; decimal commas; blanks.
+GARBAGE = (
+    (r"\s+[A-Za-zА-Яа-я]\s+", " "),
+    (r"\b[A-Za-zА-Яа-я]{1,2}\.[A-Za-zА-Яа-я]{1,2}\.\b", ""),
+    (r"\b[A-Za-zА-Яа-я]{1,2}\.\s+[а-яА-Я]\b", ""),
+    (r"\b\d{4,}\+?\.\b", ""),
+    (r"\b[A-Za-zА-Яа-я]{5,}!\b", ""),
+    (r"\s+[а-яА-Яa-zA-Z0-9]\s+", " "),
+    (r"\b[а-яА-Яa-zA-Z]{1,2}\s+[а-яА-Яa-zA-Z]{1,2}\s+[а-яА-Яa-zA-Z]{1,2}\b", ""),
+    (r"(\d{1,2}):(\d{2}):(\d{4})", r"\1.\2.\3"),
+    (r"(\d+),(\d{2})", r"\1.\2"),
+)
+#: Words of each type that are put into their usual form, whatever their case and look-alikes.
+FORMS = {
+    "invoice": ("счет", "счёт", "инвойс", "поставщик", "покупатель", "НДС", "итого"),
+    "payment_order": ("платежное поручение", "платёжное поручение", "БИК", "р/с", "к/с"),
+    "upd": ("УПД", "универсальный передаточный документ", "статус"),
+    "torg12": ("ТОРГ-12", "товарная накладная", "грузоотправитель", "грузополучатель"),
+    "medical_report": ("лаборатория", "пациент", "исследование", "результат"),
+    "contract": ("договор", "контракт", "стороны", "предмет договора"),
+}
+_ALIKE = {"а": "аa", "в": "вb", "е": "еe", "к": "кk", "м": "мm", "н": "нh", "о": "оo0", "р": "рp", "с": "сc", "т": "тt", "у": "уy", "х": "хx"}
+
+
+def form_rule(words: str) -> tuple[str, str]:
+    """A pattern for the words with look-alike letters, and the words themselves."""
+    spelt = "".join(r"\s+" if c == " " else "[- ]?" if c == "-" else f"[{_ALIKE[c]}]" if c in _ALIKE else re.escape(c) for c in words.lower())
+    return rf"(?<!\w){spelt}(?!\w)", words.replace("\\", r"\\")
+
+
+BY_TYPE = {kind: tuple(map(form_rule, words)) for kind, words in FORMS.items()}
+
+
 @dataclass(frozen=True)
 class Rules:
     """Ordered (pattern, replacement) pairs for all texts and for one type each, and the words that are known."""
 
     everywhere: tuple[tuple[str, str], ...] = ((r"(\d{1,2})[. ]+(\d{1,2})[. ]+(\d{4})", r"\1.\2.\3"), (r"[№N]\s*(\d+)", r"№ \1"))
-    by_type: dict[str, tuple[tuple[str, str], ...]] = field(default_factory=dict)
+    by_type: dict[str, tuple[tuple[str, str], ...]] = field(default_factory=lambda: BY_TYPE)
+    garbage: tuple[tuple[str, str], ...] = field(default_factory=lambda: GARBAGE)
     words: tuple[str, ...] = ("акт", "сверки", "договор", "счет", "сальдо", "дебет", "кредит", "оборот", "итого", "накладная", "поставщик", "покупатель", "плательщик", "получатель", "директор", "бухгалтер")
     likeness: float = 0.7
 
@@ -39,6 +75,7 @@ class Corrector:
         compile_ = lambda pairs: [(re.compile(p, re.I), r) for p, r in pairs]
         self.rules, self.everywhere = rules, compile_(rules.everywhere)
         self.by_type = {k: compile_(v) for k, v in rules.by_type.items()}
+        self.garbage = [(re.compile(p), r) for p, r in rules.garbage]
         self.known: dict[str, str] = {w: w for w in rules.words}
 
     def characters(self, token: str) -> str:
@@ -69,33 +106,56 @@ class Corrector:
         lines = []
         for line in text.split("\n"):  # lines are kept, as later steps vote on them
             line = re.sub(r"[^\S\n]+", " ", line).strip()
-            for pattern, new in (*self.everywhere, *self.by_type.get(kind or "", ())):
+            for pattern, new in self.everywhere:
                 line = pattern.sub(new, line)
             line = re.sub(r"\w+", lambda m: self.characters(m.group()), line)
             line = " ".join(self.word(w) for w in line.split(" "))
-            lines.append(re.sub(r"\s+([.,;:!?])", r"\1", line))
+            for pattern, new in self.by_type.get(kind or "", ()):
+                line = pattern.sub(new, line)
+            for pattern, new in self.garbage:
+                line = pattern.sub(new, line)
+            lines.append(self.finish(line))
         return "\n".join(lines)
 
+    @staticmethod
+    def finish(line: str) -> str:
+        """One blank between words, none before punctuation, one kind of quotation mark and dash."""
+        line = re.sub(r"\s+([.,;:!?])", r"\1", re.sub(r"\s+", " ", line))
+        return line.translate(str.maketrans("«»„“”−–—", '"""""---')).strip()
 
-def correct(df: DataFrame, text: str, kind: str | None = None, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """df with its text corrected. Narrow; in Arrow batches, with the rules compiled once a task."""
+
+def correct(df: DataFrame, text: str, kind: str | None = None, rules: Rules | None = None) -> DataFrame:
+    """df with its text corrected; kind is the column of the type, whose rules are used too. Narrow; in Arrow batches,
+    with the rules compiled once."""
     prepare(df.sparkSession)
-    fix = Corrector(rules)
+    fix = Corrector(rules or Rules())
     if kind is None:
         return df.withColumn(text, F.udf(lambda t: fix(t), "string", useArrow=True)(text))
     return df.withColumn(text, F.udf(lambda t, k: fix(t, k), "string", useArrow=True)(text, kind))
 
 
-def organisations(text: Column, most: int = 2) -> Column:
-    """The first organisations with a legal form, of more than three characters."""
-    found = F.regexp_extract_all(text, F.lit(r"((?:ООО|АО|ПАО|ЗАО|МУП) «[^»\n]+»)"), F.lit(1))
-    return F.slice(F.filter(found, lambda x: F.length(x) > 3), 1, most)
+def keep_by_confidence(lines: Column, least: float = 0.1) -> tuple[Column, Column]:
+    """(text, mean confidence) of array<struct<text, confidence>>: the lines surer than least, one to a line."""
+    kept = F.filter(lines, lambda s: s["confidence"] > least)
+    mean = F.aggregate(kept, F.lit(0.0), lambda a, s: a + s["confidence"]) / F.size(kept)
+    return F.array_join(F.transform(kept, lambda s: s["text"]), "\n"), F.when(F.size(kept) > 0, mean).otherwise(0.0)
+
+
+#: Words of requisites, those that name a column by themselves, and words of common columns.
+REQUISITES = ("банк", "бik", "бик", "сч.", "счет", "р/с", "к/с", "получатель", "отправитель")
+LABELS = ("бик", "бik", "сч.", "счет", "р/с", "к/с")
 
 
-def header_like(cell: Column, used: Column) -> Column:
-    """Whether a cell names a column: not empty or long, not figures only; an empty column must be used."""
-    c = F.trim(cell)
-    return F.when(c.isNull() | (c == ""), F.lit(False)).when(F.length(c) > 50, False).when(c.rlike(r"^[0-9\s.,]+$"), False).when(c.contains("/") & (F.length(c) > 20), False).otherwise(used)
+def header_like(cell: Column, value: Column, used: Column) -> Column:
+    """Whether a cell names a column, by rules in this order: an empty or long one doesn't; a word of requisites does by
+    itself, but not within a longer text; figures alone don't, nor a longer text in quotation marks; above an empty
+    value it does if the rows below use it; any other does."""
+    low = F.lower(cell)
+    bank = reduce(lambda a, b: a | b, (low.contains(w) for w in REQUISITES))
+    return (
+        F.when(cell.isNull() | (cell == ""), F.lit(False)).when(F.length(cell) > 50, False).when(bank & low.isin(list(LABELS)), True).when(bank & (F.length(cell) > 15), False)
+        .when(F.trim(cell).rlike("^[0-9]+$"), False).when((cell.contains("«") | cell.contains("»")) & (F.length(cell) > 20), False).when(value.isNull() | (F.trim(value) == ""), F.coalesce(used, F.lit(False))).otherwise(True)
+    )
 
 
 def preferred_order(fields: DataFrame, kind: str, name: str, preferred: dict[str, list[str]]) -> DataFrame:

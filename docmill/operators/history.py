@@ -6,16 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docmill.runtime import cut
+
 #: Names that aren't a contractor's, and words of payment that make a short one doubtful.
-NOT_A_NAME = ["", "-", "—", "нет", "н/д", "не указано", "наличный расчет", "безналичный расчет", "none", "null"]
+NOT_A_NAME = [
+    "", "наличныйрасчет", "наличный расчет", "наличный", "расчет", "безналичный", "безналичный расчет", "безналичныйрасчет", "оплата", "способ оплаты",
+    "способоплаты", "н/д", "н/а", "не указано", "не указан", "не указана", "-", "—", "–", "нет", "отсутствует",
+]
+PAYMENT = "наличн|безналичн|карт|перевод|электронн"
+#: The fields that name a contractor, in this order; of a medical report the laboratory comes first.
+PARTIES = ("supplier", "buyer", "seller", "payer", "recipient", "executor", "customer", "counterparty", "party1", "party2")
 
 
 def acceptable_name(name: Column) -> Column:
     low = F.lower(F.trim(name))
-    doubtful = low.rlike("расчет|расчёт|оплат|налич") & (F.length(low) < 20)
+    doubtful = low.rlike(PAYMENT) & (F.length(low) < 20)
     return F.coalesce(~low.isin(NOT_A_NAME) & (F.length(low) >= 3) & ~doubtful, F.lit(False))
 
 
+def contractor(fields: Column, kind: Column) -> tuple[Column, Column]:
+    """(name, tax number) of a map of field values: the first acceptable name of the parties, and the first number of 10
+    or 12 digits, blanks and hyphens aside."""
+    at = lambda name: F.trim(F.try_element_at(fields, F.lit(name)))
+    named = lambda name: F.when(acceptable_name(at(name)), at(name))
+    plain = lambda name: F.regexp_replace(at(f"{name}_inn"), "[ -]", "")
+    inn = lambda name: F.when(plain(name).rlike("^([0-9]{10}|[0-9]{12})$"), plain(name))
+    return F.coalesce(F.when(kind == "medical_report", named("laboratory_name")), *[named(p) for p in PARTIES]), F.coalesce(*[inn(p) for p in PARTIES])
+
+
+def field_amount(value: Column) -> Column:
+    """A number of a field's value, decimal comma and blanks allowed; empty values and noughts of figures alone give none."""
+    return F.when(value != "", F.replace(F.replace(value, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"))
+
+
 def amount(total: Column, with_vat: Column, without: Column) -> Column:
     """The total, else the amount with tax unless it is nought, else the one without."""
     return F.coalesce(total, F.when(with_vat != 0, with_vat), without)
@@ -34,16 +57,37 @@ def upsert(old: DataFrame, new: DataFrame | None = None) -> DataFrame:
     return latest.select("r.*")
 
 
-def search(history: DataFrame, text: str | None = None, kind: str | None = None, state: str | None = None, inn: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+def with_new_ids(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old and new upserted; a row that takes the place of an older one has an id of its own, as all new rows: they are
+    numbered from the largest id there is on, in the order of time and file."""
+    from pyspark.sql.window import Window as W
+
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))  # one row
+    # numbered in ranges: a row's place in its range and the rows of the ranges before it
+    cols = [c for c in new.columns if c != "id"]
+    ranged = new.drop("id").repartitionByRange("processed_at", "original_filename", "file_hash").withColumn("__p", F.spark_partition_id())
+    ranged = cut(ranged)
+    before = ranged.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)))  # a row a range
+    placed = ranged.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy("processed_at", "original_filename", "file_hash", *[c for c in cols if c not in ("processed_at", "original_filename", "file_hash")])))
+    numbered = placed.join(F.broadcast(before), "__p").crossJoin(F.broadcast(top)).withColumn("id", (F.col("__top") + F.coalesce("__before", F.lit(0)) + F.col("__r")).cast("bigint"))
+    return upsert(old, numbered.select(*new.columns))
+
+
+def search(
+    history: DataFrame, text: str | None = None, kind: str | None = None, state: str | None = None, inn: str | None = None, date_from: str | None = None, date_to: str | None = None,
+    processed_from: str | None = None, processed_to: str | None = None,
+) -> DataFrame:
     """Conjunction of the filters given; each one that can reaches the scan."""
     out = history
     for name, want in (("document_type", kind), ("status", state), ("contractor_inn", inn)):
         if want is not None:
             out = out.where(F.col(name) == want)
-    if date_from is not None:
-        out = out.where(F.col("document_date") >= date_from)
-    if date_to is not None:
-        out = out.where(F.col("document_date") <= date_to)
+    for name, low, high in (("document_date", date_from, date_to), ("processed_at", processed_from, processed_to)):
+        typed = lambda v, n=name: F.lit(v).cast("timestamp") if n == "processed_at" else F.lit(v)
+        if low is not None:
+            out = out.where(F.col(name) >= typed(low))
+        if high is not None:
+            out = out.where(F.col(name) <= typed(high))
     if text is not None:
         like = f"%{text}%"
         out = out.where(F.col("original_filename").ilike(like) | F.col("contractor_name").ilike(like) | F.col("document_number").ilike(like) | F.col("contractor_inn").ilike(like))
@@ -55,6 +99,35 @@ def page(history: DataFrame, number: int, size: int) -> DataFrame:
     return history.orderBy(F.desc_nulls_last("processed_at"), "id").offset((number - 1) * size).limit(size)
 
 
+def page_count(history: DataFrame, size: int) -> DataFrame:
+    """One row: the rows there are and the pages they make."""
+    return history.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / size))
+
+
+def get(history: DataFrame, id: int) -> DataFrame:
+    return history.where(F.col("id") == id)
+
+
+def delete(history: DataFrame, ids: list[int]) -> DataFrame:
+    """The history without these rows; the ids reach the scan."""
+    return history.where(~F.col("id").isin(ids))
+
+
+#: The columns of an export of the history, and the most rows that it has.
+EXPORT = {
+    "original_filename": "Исходное имя файла", "document_type": "Тип документа", "status": "Статус обработки", "contractor_name": "Контрагент", "contractor_inn": "ИНН контрагента",
+    "document_date": "Дата документа", "document_number": "Номер документа", "total_amount": "Сумма", "amount_with_vat": "Сумма с НДС", "amount_without_vat": "Сумма без НДС",
+    "processed_at": "Дата обработки", "confidence": "Уверенность", "error_message": "Ошибка",
+}
+EXPORT_ROWS = 10_000
+
+
+def export(history: DataFrame, names: dict[str, str] | None = None, most: int = EXPORT_ROWS) -> DataFrame:
+    """The first page of most rows under the names of the export, missing texts empty."""
+    kinds = dict(history.dtypes)
+    return page(history, 1, most).select(*[(F.coalesce(c, F.lit("")) if kinds[c] == "string" else F.col(c)).alias(n) for c, n in (names or EXPORT).items()])
+
+
 def statistics(history: DataFrame, today: str) -> DataFrame:
     """One row: total, today's, errors, their share in per cent, and the contractor met most."""
     one = history.agg(
@@ -110,6 +183,48 @@ def groups(history: DataFrame, examples: int = 3) -> DataFrame:
     return base.join(few, "document_type", "left")
 
 
+def type_of(classified: Column, own: Column, nested: Column) -> Column:
+    """A document's type: of its classification, else its own, else that of a classification kept inside it."""
+    return F.coalesce(classified, own, nested, F.lit("unknown"))
+
+
+def field_groups(fields: DataFrame, key: str, kind: str, examples: int = 3, preferred: dict[str, list[str]] | None = None) -> DataFrame:
+    """(kind, field_name, filled, total, examples, rank) of tall fields: for each type and field the documents that have
+    a value and all that have the field, the first few different values, and its rank: the preferred fields in their
+    order, then the others as they are first met (by key). Names that begin with _ don't count."""
+    some = fields.where(~F.col("field_name").startswith("_"))
+    base = some.groupBy(kind, "field_name").agg(F.count("value").alias("filled"), F.count("*").alias("total"), F.min(key).alias("first_seen"))
+    values = some.where("value is not null").groupBy(kind, "field_name", "value").agg(F.min(key).alias("__k"))
+    w = Window.partitionBy(kind, "field_name").orderBy("__k", "value")
+    few = values.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= examples).groupBy(kind, "field_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "value"))), lambda x: x["value"]), "; ").alias("examples"))
+    places = [F.when((F.col(kind) == k) & (F.col("field_name") == n), i) for k, names in (preferred or {}).items() for i, n in enumerate(names)]
+    place = F.coalesce(*places, F.lit(1_000_000)) if places else F.lit(1_000_000)
+    ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(place, "first_seen", "field_name")))  # as many rows as a type has fields
+    return ranked.join(few, [kind, "field_name"], "left").select(kind, "field_name", "filled", "total", "examples", "rank")
+
+
+def cache_put(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache with new pages in the place of those of the same hash; a cache of older columns gets the missing ones
+    as nulls."""
+    both = cache.unionByName(new, allowMissingColumns=True)
+    return both.groupBy("page_hash").agg(F.max_by(F.struct(*both.columns), F.struct("ts", "text")).alias("r")).select("r.*")
+
+
+def cache_expired(cache: DataFrame, now: float, days: int = 30) -> DataFrame:
+    """The pages that aren't older than so many days; those without a time stay."""
+    return cache.where(F.col("ts").isNull() | (F.col("ts") >= now - days * 86_400))
+
+
+def mapping_saved(mappings: DataFrame, new: DataFrame, key: str = "doc_type") -> DataFrame:
+    """The export mappings with the new ones in the place of those of the same type."""
+    return mappings.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def feedback_saved(feedback: DataFrame, new: DataFrame) -> DataFrame:
+    """The feedback with the new rows; a row without a document or a right type isn't taken."""
+    return feedback.unionByName(new.where("document is not null and correct_type is not null"))
+
+
 def cache_lookup(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """(page_hash, text, hit): the newest cached text of each page asked for."""
     newest = cache.groupBy("page_hash").agg(F.max_by("text", F.struct("ts", "text")).alias("text"))

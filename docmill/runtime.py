@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
+import time
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -21,12 +24,17 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"file:///tmp/docmill-checkpoint/{uuid.uuid4().hex}")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or f"file:///tmp/docmill-checkpoint/{uuid.uuid4().hex}")  # of one machine: for tests only
     return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. docmill.spread deals the rows of a small file of one row group to so many tasks."""
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = spark.conf.get("docmill.spread", None)
+    return t.repartition(int(spread)) if spread else t
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return prepare(spark).sparkContext.getCheckpointDir()
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row, however often they are used later: the optimiser copies
+    a projection into each of its uses, but not a generator."""
+    struct = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(struct)))
+
+
 _tables: list[tuple[SparkSession, str]] = []
 
 
@@ -55,3 +70,32 @@ def _clean() -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session may be gone
             return
+
+
+def retried(f, times: int = 3, wait: float = 0.0, errors: tuple[type[Exception], ...] = (Exception,), on_failure=None):
+    """f, called again after these errors up to so many times in all, waiting twice as long each time; on_failure is
+    called once when all have failed. For the driver's own calls; tasks are repeated by Spark."""
+
+    def call(*args, **kwargs):
+        for n in range(1, times + 1):
+            try:
+                return f(*args, **kwargs)
+            except errors as e:
+                if n == times:
+                    if on_failure is not None:
+                        on_failure(e)
+                    raise
+                time.sleep(wait * 2 ** (n - 1))
+
+    return call
+
+
+def logger(name: str = "docmill", level: int = logging.INFO, path: str | None = None) -> logging.Logger:
+    """A logger that writes to the console and, if given, to a file; set up once however often it is asked for."""
+    log = logging.getLogger(name)
+    log.setLevel(level)
+    have = {getattr(h, "baseFilename", "console") for h in log.handlers}
+    for h in ([logging.StreamHandler()] if "console" not in have else []) + ([logging.FileHandler(path, encoding="utf-8")] if path and os.path.abspath(path) not in have else []):
+        h.setFormatter(logging.Formatter("%(asctime)s %(name)s %(levelname)s %(message)s"))
+        log.addHandler(h)
+    return log

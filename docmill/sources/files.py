@@ -7,9 +7,12 @@ import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.runtime import prepare
+
 #: Suffixes that are read, and the largest size of a PDF and of an image.
 SUFFIXES = ("pdf", "jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp")
 PDF_BYTES, IMAGE_BYTES = 10 * 1024 * 1024, 50 * 1024 * 1024
@@ -30,29 +33,119 @@ def folder(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame
 
 def read_texts(files: DataFrame, reader: Callable[[bytes, str], str], fallback: Callable[[bytes, str], str] | None = None, least: int = 300, ocr: Callable[[bytes, str], str] | None = None) -> DataFrame:
     """files with full_text by a pluggable reader; a second reader where it fails, and recognition where the
-    text is short. A file that can't be read keeps its row, with an error."""
+    text is short. A file that can't be read keeps its row, with an error. One file at a time is held."""
+    prepare(files.sparkSession)
+    keep = [c for c in files.columns if c not in ("content", "error")]
+    kinds = dict(files.dtypes)
 
     def one(content, suffix, error):
         if error is not None or content is None:
-            return {"full_text": None, "error": error or "no content"}
+            return None, error or "no content"
         text, why = None, None
         for r in (reader, fallback):
             if r is None:
                 continue
             try:
-                text = r(bytes(content), suffix)
+                text = r(content, suffix)
                 break
             except Exception as e:  # noqa: BLE001  any reader's failure is the row's error
                 why = f"{type(e).__name__}: {e}"
         if ocr is not None and (text is None or len(text.strip()) < least):
             try:
-                text = ocr(bytes(content), suffix)
+                text = ocr(content, suffix)
             except Exception as e:  # noqa: BLE001
                 why = why or f"{type(e).__name__}: {e}"
-        return {"full_text": text, "error": None if text is not None else why}
+        return text, None if text is not None else why
+
+    def run(batches):
+        for b in batches:
+            got = [one(c.as_py(), s, e) for c, s, e in zip(b.column("content"), b.column("suffix").to_pylist(), b.column("error").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], [*keep, "full_text", "error"])
+
+    return files.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "full_text string, error string"]))
+
+
+#: A page as structured readers give it: text, words with their boxes, and tables of cells.
+PAGE = "struct<page_no: int, text: string, words: array<struct<text: string, x0: double, y0: double, x1: double, y1: double>>, tables: array<array<array<string>>>>"
+
+
+def read_pages(files: DataFrame, reader: Callable[[bytes, str], list[dict]]) -> DataFrame:
+    """files with pages (as PAGE), full_text (a line end after each page's text) and error, by a pluggable reader that
+    gives a list of pages. Tables and words come along for what works on them."""
+    def one(content, suffix, error):
+        if error is not None or content is None:
+            return {"pages": None, "error": error or "no content"}
+        try:
+            pages = [{"page_no": i, "text": p.get("text"), "words": p.get("words", []), "tables": p.get("tables", [])} for i, p in enumerate(reader(bytes(content), suffix), 1)]
+        except Exception as e:  # noqa: BLE001
+            return {"pages": None, "error": f"{type(e).__name__}: {e}"}
+        return {"pages": pages, "error": None}
+
+    prepare(files.sparkSession)
+    f = F.udf(one, f"struct<pages: array<{PAGE}>, error: string>", useArrow=True)
+    d = files.withColumn("__r", f("content", "suffix", "error"))
+    text = F.array_join(F.transform("__r.pages", lambda p: F.concat(F.coalesce(p["text"], F.lit("")), F.lit("\n"))), "")
+    return d.select(*[c for c in files.columns if c not in ("content", "error")], "__r.pages", text.alias("full_text"), "__r.error")
+
+
+def page_tables(read: DataFrame, key: str) -> DataFrame:
+    """(key, table_no, rows) of all tables of all pages, numbered on, empty ones left out."""
+    every = F.filter(F.flatten(F.transform("pages", lambda p: p["tables"])), lambda t: F.size(t) > 0)
+    return read.select(key, F.posexplode(every).alias("table_no", "rows"))
+
+
+def counts(spark: SparkSession, *folders: str, pattern: str = "*.pdf") -> DataFrame:
+    """(folder, files) without reading any file: the files of each folder that fit the pattern."""
+    out = []
+    for f in folders:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{f}/{pattern}")
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        out.append((f, len(found) if found is not None else 0))
+    return spark.createDataFrame(out, "folder string, files bigint")
 
-    f = F.udf(one, "struct<full_text: string, error: string>")
-    return files.withColumn("__r", f("content", "suffix", "error")).select(*[c for c in files.columns if c not in ("content", "error")], "__r.full_text", "__r.error")
+
+def results(spark: SparkSession, folder: str, names: tuple[str, ...] = ("processing_results.json", "results.json")) -> DataFrame | None:
+    """The first of these result files that there is."""
+    for n in names:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.option("multiLine", True).json(f"{folder}/{n}")
+    return None
+
+
+def to_copy(parsed: DataFrame, fields: str = "fields", error: str = "error") -> DataFrame:
+    """The documents that are copied to the processed ones: those with fields and without an error."""
+    return parsed.where(F.col(error).isNull() & (F.size(fields) > 0))
+
+
+def copy_files(files: DataFrame, target: str) -> DataFrame:
+    """(path, copied) where the executors wrote each file's content to a folder they share; a file is put in place whole."""
+    prepare(files.sparkSession)
+
+    def run(batches):
+        import os
+        from pathlib import Path
+
+        for b in batches:
+            done = []
+            for path, name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                part = Path(target) / f".{name}.{os.getpid()}"
+                part.write_bytes(content.as_py())
+                part.replace(Path(target) / name)
+                done.append(str(Path(target) / name))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], ["path", "copied"])
+
+    return files.where("content is not null").select("path", "filename", "content").mapInArrow(run, "path string, copied string")
+
+
+def first_table_csv(cells: DataFrame, key: str) -> DataFrame:
+    """(key, content): the first table of each document as CSV text that begins with a byte order mark."""
+    first = cells.where("table_no = 0")
+    quoted = lambda c: F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    rows = first.groupBy(key, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", quoted(F.col("header")).alias("h"), quoted(F.col("value")).alias("v")))).alias("cs"))  # the cells of one row
+    lines = rows.select(key, "row_no", F.array_join(F.transform("cs", lambda c: c["h"]), ",").alias("head"), F.array_join(F.transform("cs", lambda c: c["v"]), ",").alias("line"))
+    whole = lines.groupBy(key).agg(F.min_by("head", "row_no").alias("head"), F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("ls"))
+    return whole.select(key, F.concat(F.lit("\ufeff"), "head", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -117,3 +210,41 @@ def workbooks(df: DataFrame, group: str, rows_each: int = 50_000) -> DataFrame:
         return pd.DataFrame({group: [pdf[group].iloc[0]], "part": [pdf["part"].iloc[0]], "n_rows": [len(rows)], "content": [workbook(names, rows, str(pdf[group].iloc[0]))]})
 
     return salted.groupBy(group, "part").applyInPandas(make, f"{group} string, part int, n_rows bigint, content binary")
+
+
+def appended(content: bytes, rows: list[tuple], sheet: str | None = None) -> bytes:
+    """A workbook of workbook() with rows after its last one; missing values leave their cells out."""
+    import re
+    from xml.etree import ElementTree as ET
+
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ET.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        name = re.search(r'<sheet name="([^"]*)"', z.read("xl/workbook.xml").decode()).group(1)
+    table = []
+    for row in body.iter(f"{ns}row"):
+        cells: dict[int, object] = {}
+        for c in row.iter(f"{ns}c"):
+            at = 0
+            for ch in re.match("[A-Z]+", c.get("r")).group():
+                at = at * 26 + ord(ch) - 64
+            v, t = c.find(f"{ns}v"), c.find(f"{ns}is/{ns}t")
+            cells[at - 1] = float(v.text) if v is not None else t.text
+        table.append(cells)
+    width = max([max(c, default=-1) + 1 for c in table] + [len(r) for r in rows], default=0)
+    whole = [tuple(c.get(i) for i in range(width)) for c in table]
+    names = [str(x) if x is not None else "" for x in whole[0]] if whole else []
+    return workbook(names, [tuple(None if v is None or v != v else v for v in r) + (None,) * (width - len(r)) for r in [*whole[1:], *rows]], sheet or name)
+
+
+def mapped_workbooks(rows: DataFrame, group: str, mappings: dict[str, dict[str, str]], error: str | None = None) -> DataFrame:
+    """workbooks() by the export mapping of each group (group -> cell -> column): the columns in reading order of the
+    cells; documents with an error are left out, and so are groups without a mapping. Names of sheets are cut to 31."""
+    from docmill.operators.extract import in_reading_order
+
+    some = rows.where(F.col(error).isNull()) if error else rows
+    out = None
+    for name, mapping in mappings.items():  # a few mappings
+        part = workbooks(some.where(F.col(group) == name).select(group, *[F.col(mapping[c]).cast("string").alias(c) for c in in_reading_order(mapping)]), group)
+        out = part if out is None else out.unionByName(part)
+    return out

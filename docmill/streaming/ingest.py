@@ -30,9 +30,15 @@ def upsert_stream(spark: SparkSession, source: str, schema, target: str, checkpo
     return spark.read.parquet(f"{target}/snapshot={last}")
 
 
-def windowed(events: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:
-    """Counts and sums of value in tumbling windows; works on streams (with a watermark) and on tables."""
-    w = F.window(time, width)
+def sessions(events: DataFrame, time: str, gap: str, late: str, *by: str) -> DataFrame:
+    """Sessions that end after a gap without events; works on streams (with a watermark) and on tables."""
+    base = events.withWatermark(time, late) if events.isStreaming else events
+    return base.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(*by, F.col("w.start").alias("session_start"), "n")
+
+
+def windowed(events: DataFrame, time: str, width: str, late: str, *by: str, slide: str | None = None) -> DataFrame:
+    """Counts and sums of value in tumbling or sliding windows; works on streams (with a watermark) and on tables."""
+    w = F.window(time, width, slide) if slide else F.window(time, width)
     base = events.withWatermark(time, late) if events.isStreaming else events
     return base.groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
