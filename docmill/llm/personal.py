@@ -1,12 +1,15 @@
 """Problem 2: personal information in free text, by bootstrapped contextual extraction.
 
-Broad shapes propose instances of each kind. Instances whose form alone proves them (a number with
-its country sign, a tax number with sound check digits beside its word, a name with a patronymic)
-are seeds. Each instance also carries lexical patterns: the words before it and, for names, the
-stem of the given name. Spark scores the graph of patterns and instances in rounds: a pattern is as
-good as the share of its instances that are believed, an instance as its best patterns together.
-Instances without a proving form are accepted when high-confidence patterns vouch for them, so
-names, numbers and addresses never seen as seeds are found by the company they keep. Instances of
+Shapes propose instances of each kind: strict ones, whose form speaks for them (a number with its
+country sign, a tax number with sound check digits, a name with a patronymic), and wide ones that
+take in any number of the right length, any two capitalised words and any word with a mail sign.
+The strict ones are seeds, but no seed is accepted by itself. Each instance also carries lexical
+patterns: the words before it and, for names, the stem of the given name. Spark scores the graph of patterns and
+instances in rounds: a pattern is as good as the share of its instances that are believed, an
+instance as its seed and its patterns together. A seed is accepted only if its patterns vouch for it, so one in the
+company of unbelieved instances isn't.
+Wide instances have no seed: only patterns of high confidence find them, and so bring in identifiers whose form
+no rule foresaw. Instances of
 equal patterns are one weighted node, so the rounds run over far fewer rows than there are texts.
 
 Positions count code points of the raw text from 1. Look-alikes, full-width forms, invisible
@@ -21,12 +24,15 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docmill.llm import lookalikes
 from docmill.llm.names import sound
 from docmill.runtime import cut, prepare
 
 ROUNDS, ACCEPT, SMOOTH = 4, 0.6, 1.5
+#: What patterns must at least say for a seed, and for a wide instance.
+VOUCH, VOUCH_WIDE = 0.3, 0.9
 
 _DROP = set(map(chr, lookalikes.INVISIBLE)) | {"̆", "̈", "́"}
 _TO_PLAIN = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(c): " " for c in lookalikes.SPACES} | {"−": "-", "‐": "-", "¬": "-", "–": "-"}
@@ -74,7 +80,7 @@ ADDRESS_EN = re.compile(rf"{D1}(?<![\w/.-].){D}{{0,3}}(?:/{D}{{1,4}})?,?\s+[A-Z]
 _STREET = re.compile(r"(?<!\w)(?:ул|пер|пр-т|просп|пр|б-р|бул|наб|ш|пл|туп|проезд|улица|переулок|проспект|бульвар|шоссе|набережная|площадь|тупик|аллея)(?!\w)|Lane|Street|Avenue|Road|Square|Drive|(?<!\w)(?:ul|per|pr-t|pr)\.|(?<!\w)(?:proezd|pereulok|ulitsa)(?!\w)|\sSt\.|\sAve\.")
 
 _W = r"[А-ЯЁ][А-ЯЁа-яё|!*0-9]*(?:-[ \t]*\n[ \t]*[а-яёА-ЯЁ]+)?[а-яёА-ЯЁ]*|[A-Z][A-Za-z|!*0-9]*(?:-[ \t]*\n[ \t]*[a-z]+)?[a-z]*"
-TOKENS = re.compile(rf"[A-ZА-ЯЁ](?<![\w-].)(?:(?<=(.))(?=[\w.|!*-])|(?=\.))[^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?(?:,?[ \t]*\n?[ \t]*[A-ZА-ЯЁ][^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?){{1,4}}")
+TOKENS = re.compile(rf"[A-ZА-ЯЁ](?<![\w-].)(?:(?<=(.))(?=[\w.|!*-])|(?=\.))[^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?(?:,?[ \t]*\n?[ \t]*[A-ZА-ЯЁ][^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?)+")
 TOKEN = re.compile(rf"(?:{_W})\.?")
 _PATRONYMIC = re.compile(r"(?:[оеё]вич|ьич|ич)(?:а|у|ем|ом|е)?$|(?:[оеё]вн|ичн|иничн)(?:а|ы|е|у|ой|ою)$|(?:ovich|evich|ovna|evna|ichna)$", re.I)
 _FAMILY = re.compile(r"(?:[оеё]в|[иы]н)(?:а|у|ым|е|ой|ою|ы)?$|(?:ск|цк)(?:ий|ого|ому|им|ая|ой|ую)$|(?:enko|ov|ev|yov|in|yn|ova|eva|yova|ina|yna|sky|skaya)$|(?:енко|чук|юк)$", re.I)
@@ -139,9 +145,30 @@ def _names(text: str):
 _LEFT = re.compile(r"[^\W_]+|№|[:@]")
 
 
+#: Any number of ten to twelve digits, however parted; any word with a mail sign; two capitalised words.
+WIDE_NUMBER = re.compile(rf"(?<![\w.,/№+-])[+(]?{D1}(?:(?:[ ()\-]{{0,2}}|\n){D}){{8,12}}(?![\w-])(?![.,]\d)")
+WIDE_EMAIL = re.compile(r"(?<![\w.@])[\w+][\w.+-]*@[\w][\w-]*(?:\.[\w-]+)*")
+
+
 def _left(text: str, start: int) -> list[str]:
-    words = [w.lower() for w in _LEFT.findall(text[max(0, start - 48) : start]) if not w.isdigit()][-3:]
-    return words
+    """The last three words before a place that aren't figures, however far away."""
+    reach = 48
+    while True:
+        words = [w.lower() for w in _LEFT.findall(text[max(0, start - reach) : start]) if not w.isdigit()]
+        if len(words) > 3 or start <= reach:  # the first of them may be cut
+            return words[-3:]
+        reach *= 2
+
+
+def _around(pattern: re.Pattern, text: str, start: int, end: int):
+    """Matches over a place; where one reaches the edge of what was looked at, more is."""
+    reach = 96
+    while True:
+        lo, hi = max(0, start - reach), min(len(text), end + reach)
+        found = [m for m in pattern.finditer(text, lo, hi) if m.end() > start and m.start() < end]
+        if not any(lo > 0 and m.start() < lo + 32 or hi < len(text) and m.end() > hi - 8 for m in found):
+            return found
+        reach *= 2
 
 
 def instances(text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
@@ -158,7 +185,7 @@ def instances(text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
         taken.append((a, b))
         words = _left(plain, a)
         shape = extra[0].split("-")[0] if kind == "identity" else kind
-        pats = [f"{shape}<{w}" for w in (" ".join(words[-2:]), " ".join(words[-1:])) if w] + [f"{kind}:{e}" for e in extra if e and not e.endswith(("-plain", "-other"))]
+        pats = [f"{shape}<{w}" for w in (" ".join(words[-2:]) or "^", " ".join(words[-1:])) if w] + [f"{kind}:{e}" for e in extra if e and not e.endswith(("-plain", "-other"))]
         lo, hi = (a, b - 1) if raw is None else (raw[a], raw[b - 1])
         out.append((kind, lo + 1, hi + 1, seed, pats))
 
@@ -185,9 +212,7 @@ def instances(text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
             add("identity", m.start(), m.end(), 0.95 if sure else 0.0, ["passport-marked" if marked else "passport-plain"])
     for near in _STREET.finditer(plain):
         pattern = ADDRESS_EN if near.group().isascii() else ADDRESS
-        for m in pattern.finditer(plain, max(0, near.start() - 90), near.end() + 60):
-            if m.end() <= near.start() or m.start() >= near.end():
-                continue
+        for m in _around(pattern, plain, near.start(), near.end()):
             start = m.start()
             if pattern is ADDRESS and m.group("town") and not m.group("town").startswith("г") and not m.group("post") and not m.group("region"):
                 # a capitalised word before the street is a town unless it is a name's part
@@ -198,9 +223,36 @@ def instances(text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
     for a, b, proved, order, given in _names(plain):
         stem = given[: max(3, len(given) - 2)][:4]
         add("name", a, b, 0.9 if proved else 0.0, [f"given {stem}" if given else f"form {order}"])
+    wide: list[tuple[str, int, int, float, list[str]]] = []
+    for m in WIDE_EMAIL.finditer(plain) if "@" in plain else ():
+        wide.append(("email", m.start(), m.end(), -1.0, []))
+    for m in WIDE_NUMBER.finditer(plain):
+        digits = re.sub(r"\D", "", m.group().translate(_AS_DIGIT))
+        if 10 <= len(digits) <= 12 and sum(c.isdigit() for c in m.group()) >= len(digits) - 2:
+            wide.append(("phone", m.start(), m.end(), -1.0, []))
+            wide += [("identity", m.start(), m.end(), -1.0, [shape]) for shape in ("passport", "insurance", "tax")]
+    for a, b in _wide_names(plain):
+        wide.append(("name", a, b, -1.0, []))
+    for kind, a, b, seed, extra in wide:
+        if not any(a < y and x < b for x, y in taken):
+            words = _left(plain, a)
+            shape = extra[0] if extra else kind
+            lo, hi = (a, b - 1) if raw is None else (raw[a], raw[b - 1])
+            if any(c.isalpha() for w in words[-2:] for c in w):
+                out.append((kind, lo + 1, hi + 1, seed, [f"{shape}<{' '.join(words[-2:])}"]))
     return out
 
 
+def _wide_names(text: str):
+    """Two capitalised words side by side, neither of which is an initial."""
+    for m in TOKENS.finditer(text):
+        tokens = list(TOKEN.finditer(m.group()))
+        for t, u in zip(tokens, tokens[1:]):
+            between = m.group()[t.end() : u.start()]
+            if len(t.group()) > 2 and len(u.group()) > 2 and not t.group().endswith(".") and "," not in between and t.group()[1:].islower() and u.group().rstrip(".")[1:].islower():
+                yield m.start() + t.start(), m.start() + u.end() - u.group().endswith(".")
+
+
 def candidates(pages: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
     """A row for each instance: key, kind, start_pos, end_pos, node (its seed and patterns as one string)."""
     prepare(pages.sparkSession)
@@ -221,29 +273,43 @@ def candidates(pages: DataFrame, key: str = "page_hash", text: str = "text") ->
 
 
 def believed(found: DataFrame) -> DataFrame:
-    """(node): the nodes whose instances are accepted, after ROUNDS rounds over the graph."""
+    """(node, score): the nodes whose instances are accepted, after ROUNDS rounds over the graph."""
     nodes = found.groupBy("node").agg(F.count("*").alias("w"))
     nodes = cut(nodes.select("node", "w", F.split("node", "\t")[0].cast("double").alias("seed"), F.expr("slice(split(node, '\t'), 2, 9)").alias("pats")))
     edges = cut(nodes.select("node", "w", "seed", F.explode("pats").alias("pat")).where("pat <> ''"))
-    scores = nodes.select("node", F.col("seed").alias("score"))
+    scores = nodes.select("node", F.greatest(F.col("seed"), F.lit(0.0)).alias("score"))
     for _ in range(ROUNDS):
-        # a pattern is worth the share of believed instances, the more the more it has seen
-        pats = edges.join(scores, "node").groupBy("pat").agg((F.sum(F.col("w") * F.col("score")) / (F.sum("w") + SMOOTH)).alias("conf"))
-        vouched = edges.join(pats, "pat").groupBy("node").agg((1 - F.product(1 - 0.9 * F.col("conf"))).alias("by"))
-        scores = cut(nodes.join(vouched, "node", "left").select("node", F.greatest("seed", F.coalesce("by", F.lit(0.0))).alias("score")))
-    return scores.where(F.col("score") >= ACCEPT).select("node")
+        # a pattern is worth the share of believed instances, the more the more it has seen; wide instances are found
+        # by patterns and say nothing on them
+        pats = edges.where("seed >= 0").join(scores, "node").groupBy("pat").agg((F.sum(F.col("w") * F.col("score")) / (F.sum("w") + SMOOTH)).alias("conf"))
+        vouched = edges.join(pats, "pat").groupBy("node").agg((1 - F.product(1 - 0.9 * F.col("conf"))).alias("by"), F.max("conf").alias("best"))
+        by = F.coalesce("by", F.lit(0.0))
+        score = F.when(F.col("seed") < 0, F.coalesce("best", F.lit(0.0))).otherwise(1 - (1 - F.col("seed")) * (1 - by))
+        scores = cut(nodes.join(vouched, "node", "left").select("node", "seed", score.alias("score"), by.alias("by")))
+    wide = F.col("seed") < 0
+    return scores.where(F.when(wide, F.col("score") >= VOUCH_WIDE).otherwise((F.col("score") >= ACCEPT) & (F.col("by") >= VOUCH))).select("node", "score", wide.alias("wide"))
+
+
+def _accepted(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, start_pos, end_pos) of each accepted item, once for each key and place; of several kinds of a wide
+    one the surest, and of wide ones that overlap the first."""
+    found = cut(candidates(pages, key, text))
+    some = found.join(believed(found), "node").select("key", "kind", "start_pos", "end_pos", "score", "wide")
+    sure = some.where("not wide").select("key", "kind", "start_pos", "end_pos").distinct()
+    rest = some.where("wide").groupBy("key", "start_pos").agg(F.max_by(F.struct("kind", "end_pos"), F.struct("score", "kind")).alias("x")).select("key", "x.kind", "start_pos", "x.end_pos")
+    before = Window.partitionBy("key").orderBy("start_pos").rowsBetween(Window.unboundedPreceding, -1)  # the few wide ones of one page
+    rest = rest.withColumn("taken", F.max("end_pos").over(before)).where("taken is null or taken < start_pos").drop("taken")
+    return sure.unionByName(rest)
 
 
 def find(pages: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
-    """(key, kind, start_pos, end_pos) of each accepted item, once for each key and place."""
-    found = cut(candidates(pages, key, text))
-    return found.join(believed(found), "node").select(F.col("key").alias(key), "kind", "start_pos", "end_pos").distinct()
+    """(key, kind, start_pos, end_pos) of each accepted item."""
+    return _accepted(pages, key, text).select(F.col("key").alias(key), "kind", "start_pos", "end_pos")
 
 
 def redact(pages: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
     """(key, text): each different text of a key with its items replaced by [EMAIL], [PHONE] and so on."""
-    found = cut(candidates(pages, key, text))
-    spans = found.join(believed(found), "node").select("key", F.struct("start_pos", "end_pos", "kind").alias("s")).distinct().groupBy("key").agg(F.collect_list("s").alias("spans"))
+    spans = _accepted(pages, key, text).select("key", F.struct("start_pos", "end_pos", "kind").alias("s")).groupBy("key").agg(F.collect_list("s").alias("spans"))
 
     def put(t, spans):
         if t is None or not spans:
