@@ -2,10 +2,11 @@
 
 A longest-match transducer over grapheme clusters (a base character with its marks) is compiled
 from one mapping: full-width forms, letters composed of base and mark, invisible characters and
-unusual spaces. Look-alike letters are two more mappings, one for each target alphabet; which of
+unusual spaces. For words that take a look-alike mapping there are two more, compiled from the same
+mapping closed under the look-alike letters of the target alphabet; which of
 them a word takes is decided from the word's own letters and, for a word made of look-alikes only,
-from the letters around it. The mapping is checked when compiled: no input has two outputs, no
-output holds an input again. Each text is rewritten in one pass.
+from the letters around it. Each mapping is checked when compiled: no input is empty or has two outputs, no
+output holds an input again, of whatever length. Each text is rewritten in one pass.
 
 Defined results: null stays null and empty stays empty; nothing is dropped but invisible
 characters; tabs and line ends stay; applying the operator again changes nothing.
@@ -54,22 +55,23 @@ class Transducer:
 
     def __init__(self, mapping: dict[str, str]):
         self.table = dict(mapping)
-        self.check()
         trie: dict = {}
         for key in self.table:
+            if not key:
+                raise ValueError("conflict in the mapping: an empty input")
             node = trie
             for ch in key:
                 node = node.setdefault(ch, {})
             node[""] = True
         self.pattern = re.compile(self._compile(trie))
+        self.check()
         #: Every input holds one of these: its last character, which is a mark, or its only one.
         self.sign = re.compile("[" + "".join(map(re.escape, sorted({k[-1] for k in self.table}))) + "]")
 
     def check(self) -> None:
-        """Conflicts: an empty input, or an output in which an input begins again."""
-        starts = {k[0] for k in self.table if len(k) == 1}
+        """Conflicts: an output in which an input, of one or more characters, is found again."""
         for key, out in self.table.items():
-            if not key or any(ch in starts for ch in out):
+            if self.pattern.search(out):
                 raise ValueError(f"conflict in the mapping: {key!r} -> {out!r}")
 
     def _compile(self, node: dict) -> str:
@@ -106,7 +108,9 @@ AROUND = 40
 
 
 _NEAR = re.compile(r"\S+")
-_ADDRESS = re.compile(r"@|\(at\)|\.\w+\.\w|\.(?:test|example|invalid|ru|com|org)\b|^buh-", re.I)
+#: An address in the net: a mail sign, or a point right before small Latin letters; and the sign by itself.
+_ADDRESS = re.compile(r"@|[A-Za-z0-9]\.[a-z]{2}")
+_AT = re.compile(r"[(\[{<]?(?:@|at|dog|собака)[)\]}>]?", re.I)
 
 
 def _alphabet(word: str) -> str | None:
@@ -114,27 +118,55 @@ def _alphabet(word: str) -> str | None:
     return None if lat == cyr else "lat" if lat > cyr else "cyr"
 
 
-def _side(text: str, start: int, end: int) -> str | None:
+class _Chunk:
+    """The string between blanks around a place, kept while the places asked for lie in it."""
+
+    def __init__(self, text: str):
+        self.text, self.lo, self.hi, self.lat, self.cyr = text, 0, -1, 0, 0
+
+    def at(self, start: int, end: int) -> None:
+        if self.lo <= start and end <= self.hi:
+            return
+        text, self.lo = self.text, start
+        while self.lo > 0 and not text[self.lo - 1].isspace():
+            self.lo -= 1
+        m = _BLANK.search(text, end)
+        self.hi = m.start() if m else len(text)
+        whole = text[self.lo : self.hi]
+        self.lat, self.cyr = len(_SURE_LAT.findall(whole)), len(_SURE_CYR.findall(whole))
+
+
+_BLANK = re.compile(r"\s")
+
+
+def _showing(words: list[str]) -> str | None:
+    """The alphabet of the nearest word that shows one; addresses in the net show none, nor does what stands beside
+    a mail sign."""
+    for i, w in enumerate(words):
+        if (side := _alphabet(w)) and not _ADDRESS.search(w) and not _AT.fullmatch(w) and not any(_AT.fullmatch(x) and not x.isalpha() for x in words[max(0, i - 1) : i + 2]):
+            return side
+    return None
+
+
+def _side(text: str, start: int, end: int, chunk: _Chunk) -> str | None:
     """Alphabet of the surroundings of text[start:end]: of what is joined to it, else of the nearest
-    words that show one on either side, where both must agree; addresses in the net show none."""
-    lo = start
-    while lo > 0 and not text[lo - 1].isspace() and start - lo < 60:
-        lo -= 1
-    hi = end
-    while hi < len(text) and not text[hi].isspace() and hi - end < 60:
-        hi += 1
-    if side := _alphabet(text[lo:start] + " " + text[end:hi]):
-        return side
-    back = reversed(_NEAR.findall(text[max(0, lo - AROUND) : lo]))
-    ahead = _NEAR.findall(text[hi : hi + AROUND])
-    sides = {next((a for w in words if not _ADDRESS.search(w) and (a := _alphabet(w))), None) for words in (back, ahead)} - {None}
+    words that show one on either side within AROUND characters, where both must agree."""
+    chunk.at(start, end)
+    word = text[start:end]
+    lat, cyr = chunk.lat - len(_SURE_LAT.findall(word)), chunk.cyr - len(_SURE_CYR.findall(word))
+    if lat != cyr:
+        return "lat" if lat > cyr else "cyr"
+    back = _NEAR.findall(text[max(0, chunk.lo - AROUND) : chunk.lo])[::-1]
+    ahead = _NEAR.findall(text[chunk.hi : chunk.hi + AROUND])
+    sides = {_showing(back), _showing(ahead)} - {None}
     return sides.pop() if len(sides) == 1 else None
 
 
-def _words(text: str) -> list[tuple[int, int, dict[str, str]]]:
-    """Stretches of text that take a look-alike mapping, in order."""
-    found: dict[int, tuple[int, dict[str, str]]] = {}
+def _words(text: str) -> list[tuple[int, int, str]]:
+    """Stretches of text that take a look-alike mapping, in order, with the alphabet they are brought to."""
+    found: dict[int, tuple[int, str]] = {}
     has_lat, has_cyr = _ANY_LAT.search(text), _ANY_CYR.search(text)
+    chunk = _Chunk(text)
     if has_lat and has_cyr:
         for m in _MIXED.finditer(text):
             lo = m.start()
@@ -145,22 +177,24 @@ def _words(text: str) -> list[tuple[int, int, dict[str, str]]]:
             hi = _WORD.match(text, lo).end()
             word = text[lo:hi]
             lat, cyr = len(_SURE_LAT.findall(word)), len(_SURE_CYR.findall(word))
-            side = "lat" if lat > cyr else "cyr" if cyr > lat else _side(text, lo, hi)
+            side = "lat" if lat > cyr else "cyr" if cyr > lat else _side(text, lo, hi, chunk)
             if side is None:
                 side = "lat" if len(_ANY_LAT.findall(word)) > len(_ANY_CYR.findall(word)) else "cyr"
-            found[lo] = (hi, TO_LATIN if side == "lat" else TO_CYRILLIC)
-        for pattern, other, table in ((_LAT_ONLY, "cyr", TO_CYRILLIC), (_CYR_ONLY, "lat", TO_LATIN)):
+            found[lo] = (hi, side)
+        for pattern, other in ((_LAT_ONLY, "cyr"), (_CYR_ONLY, "lat")):
             if pattern is _CYR_ONLY and len(_SURE_LAT.findall(text)) < 3:
                 continue
             for m in pattern.finditer(text):
-                if m.start() not in found and _side(text, m.start(), m.end()) == other:
-                    found[m.start()] = (m.end(), table)
+                if m.start() not in found and _side(text, m.start(), m.end(), chunk) == other:
+                    found[m.start()] = (m.end(), other)
     return [(a, b, t) for a, (b, t) in sorted(found.items())]
 
 
-@lru_cache(maxsize=1)
-def transducer() -> Transducer:
-    return Transducer(plain_mapping())
+@lru_cache(maxsize=3)
+def transducer(side: str | None = None) -> Transducer:
+    """The plain mapping, or for words of one alphabet that mapping closed under its look-alikes."""
+    alike = {None: {}, "cyr": TO_CYRILLIC, "lat": TO_LATIN}[side]
+    return Transducer({k: "".join(alike.get(c, c) for c in v) for k, v in plain_mapping().items()} | alike)
 
 
 def _greek(text: str) -> str:
@@ -188,11 +222,11 @@ def normalize(text: str | None) -> str | None:
     words = _words(text)
     if not words:
         return run(text)
-    for lo, hi, table in words:  # one pass: plain stretches and words in turn
+    for lo, hi, side in words:  # one pass: plain stretches and words in turn
         if lo < at:
             continue
         out.append(run(text[at:lo]))
-        out.append("".join(table.get(c, c) for c in run(text[lo:hi])))
+        out.append(transducer(side).pattern.sub(lambda m, t=transducer(side).table: t[m.group()], text[lo:hi]))
         at = hi
     out.append(run(text[at:]))
     return "".join(out)

@@ -45,7 +45,8 @@ def readable(text: str) -> tuple[str, list[int] | None]:
     if not words and _SPECIAL.search(text) is None:
         return text, None
     chars = list(text)
-    for lo, hi, table in words:
+    for lo, hi, side in words:
+        table = lookalikes.TO_CYRILLIC if side == "cyr" else lookalikes.TO_LATIN
         for i in range(lo, hi):
             chars[i] = table.get(chars[i], chars[i])
     keep = [i for i, c in enumerate(chars) if c not in _DROP]
