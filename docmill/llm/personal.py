@@ -32,10 +32,13 @@ from docmill.runtime import cut, prepare
 
 ROUNDS, ACCEPT, SMOOTH = 4, 0.6, 1.5
 #: What patterns must at least say for a seed, and for a wide instance.
-VOUCH, VOUCH_WIDE = 0.3, 0.9
+VOUCH, VOUCH_WIDE = 0.35, 0.9
 
 _DROP = set(map(chr, lookalikes.INVISIBLE)) | {"̆", "̈", "́"}
 _TO_PLAIN = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(c): " " for c in lookalikes.SPACES} | {"−": "-", "‐": "-", "¬": "-", "–": "-"}
+_DROPPED = re.compile("[" + "".join(map(re.escape, _DROP)) + "]")
+_PLAIN = str.maketrans(_TO_PLAIN)
+_SIDES = {"cyr": str.maketrans(lookalikes.TO_CYRILLIC), "lat": str.maketrans(lookalikes.TO_LATIN)}
 _SPECIAL = re.compile("[" + "".join(map(re.escape, [*_DROP, *_TO_PLAIN])) + "]")
 
 
@@ -44,13 +47,15 @@ def readable(text: str) -> tuple[str, list[int] | None]:
     words = lookalikes._words(text)
     if not words and _SPECIAL.search(text) is None:
         return text, None
-    chars = list(text)
-    for lo, hi, side in words:
-        table = lookalikes.TO_CYRILLIC if side == "cyr" else lookalikes.TO_LATIN
-        for i in range(lo, hi):
-            chars[i] = table.get(chars[i], chars[i])
-    keep = [i for i, c in enumerate(chars) if c not in _DROP]
-    return "".join(_TO_PLAIN.get(chars[i], chars[i]) for i in keep), keep
+    pieces, at = [], 0
+    for lo, hi, side in words:  # letters are put in place of letters, so places stay
+        pieces += [text[at:lo], text[lo:hi].translate(_SIDES[side])]
+        at = hi
+    plain = "".join([*pieces, text[at:]]).translate(_PLAIN)
+    if _DROPPED.search(plain) is None:
+        return plain, None
+    keep = [i for i, c in enumerate(plain) if c not in _DROP]
+    return "".join(plain[i] for i in keep), keep
 
 
 #: Letters and signs that digits are misread as.
@@ -78,7 +83,11 @@ ADDRESS = re.compile(
 )
 ADDRESS_EN = re.compile(rf"{D1}(?<![\w/.-].){D}{{0,3}}(?:/{D}{{1,4}})?,?\s+[A-Z][\w|!*]+\s+(?:Lane|Street|Avenue|Road|Square|Drive|St\.|Ave\.)(?!\w)|(?<!\w)[A-Z][\w|!*]+\s+(?:ul|per|pr-t|pr|proezd|pereulok|ulitsa)\.?,?\s+(?:d\.\s*)?[0-9]|(?<!\w)(?:ul|per|pr-t|pr)\.\s*[A-Z][\w|!*]+,?\s+(?:d\.\s*)?[0-9]")
 
-_STREET = re.compile(r"(?<!\w)(?:ул|пер|пр-т|просп|пр|б-р|бул|наб|ш|пл|туп|проезд|улица|переулок|проспект|бульвар|шоссе|набережная|площадь|тупик|аллея)(?!\w)|Lane|Street|Avenue|Road|Square|Drive|(?<!\w)(?:ul|per|pr-t|pr)\.|(?<!\w)(?:proezd|pereulok|ulitsa)(?!\w)|\sSt\.|\sAve\.")
+#: Each word begins with a letter by which it is looked for.
+_STREET = re.compile(
+    r"у(?<!\w.)л(?:ица)?(?!\w)|п(?<!\w.)(?:ер(?:еулок)?|р-т|росп(?:ект)?|роезд|р|л(?:ощадь)?)(?!\w)|б(?<!\w.)(?:-р|ул(?:ьвар)?)(?!\w)|н(?<!\w.)аб(?:ережная)?(?!\w)|ш(?<!\w.)(?:оссе)?(?!\w)|т(?<!\w.)уп(?:ик)?(?!\w)|а(?<!\w.)ллея(?!\w)"
+    r"|Lane|Street|Avenue|Road|Square|Drive|u(?<!\w.)(?:l\.|litsa(?!\w))|p(?<!\w.)(?:er\.|r-t\.|r\.|roezd(?!\w)|ereulok(?!\w))|S(?<=\sS)t\.|A(?<=\sA)ve\."
+)
 
 _W = r"[А-ЯЁ][А-ЯЁа-яё|!*0-9]*(?:-[ \t]*\n[ \t]*[а-яёА-ЯЁ]+)?[а-яёА-ЯЁ]*|[A-Z][A-Za-z|!*0-9]*(?:-[ \t]*\n[ \t]*[a-z]+)?[a-z]*"
 TOKENS = re.compile(rf"[A-ZА-ЯЁ](?<![\w-].)(?:(?<=(.))(?=[\w.|!*-])|(?=\.))[^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?(?:,?[ \t]*\n?[ \t]*[A-ZА-ЯЁ][^\W_]*(?:[|!*][^\W_]*)*(?:-[ \t]*\n[ \t]*[^\W_]+)?\.?)+")
@@ -91,16 +100,21 @@ def _join(word: str) -> str:
     return re.sub(r"-\s*\n\s*", "", word)
 
 
+_AS_LETTER = str.maketrans("0|!*13", "оллезз")
+
+
 def _class(token: str) -> str:
     """I initial, P patronymic, S family name, W any other word."""
     if token in "|,":
         return token
-    word = _join(token)
+    word = _join(token) if "\n" in token else token
     if len(word.rstrip(".")) == 1:
         return "I" if word.endswith(".") else "X"
     if word.endswith("."):
         word = word[:-1]
-    plain = word.lower().translate(str.maketrans("0|!*13", "оллезз"))
+    plain = word.lower()
+    if not plain.isalpha():
+        plain = plain.translate(_AS_LETTER)
     if len(plain) >= 6 and _PATRONYMIC.search(plain):
         return "P"
     return "S" if len(plain) >= 4 and _FAMILY.search(plain) else "W"
@@ -110,20 +124,30 @@ def _class(token: str) -> str:
 _ORDERS = ("SWP", "WPS", "SSP", "SPS", "SII", "IIS", "WIS", "SIS", "SI", "IS", "S,W", "S,S", "WS", "SW", "WP", "SS")
 
 
-def _names(text: str):
-    """(start, end, proved, given name) of each stretch of capitalised words that may be a name."""
+def _stretches(text: str) -> list[list[tuple[int, int, str]]]:
+    """Stretches of capitalised words: (start, end, word) of each; a comma and | for the end of a sentence stand
+    between them."""
+    out = []
     for m in TOKENS.finditer(text):
-        tokens = []
-        last = 0
-        for t in TOKEN.finditer(m.group()):
-            if "," in m.group()[last : t.start()]:
+        tokens, last, whole = [], 0, m.group()
+        comma = "," in whole
+        for t in TOKEN.finditer(whole):
+            word = t.group()
+            if comma and "," in whole[last : t.start()]:
                 tokens.append((0, 0, ","))
             last = t.end()
-            tokens.append((m.start() + t.start(), m.start() + t.end(), t.group()))
-            if len(t.group()) > 2 and t.group().endswith("."):
-                tokens.append((0, 0, "|"))  # the end of a sentence
+            tokens.append((m.start() + t.start(), m.start() + last, word))
+            if len(word) > 2 and word[-1] == ".":
+                tokens.append((0, 0, "|"))
+        out.append(tokens)
+    return out
+
+
+def _names(stretches):
+    """(start, end, proved, order, given name) of each part of a stretch that may be a name."""
+    for tokens in stretches:
         at = 0
-        classes = "".join(_class(t[2]) for t in tokens)
+        classes = "".join([_class(t[2]) for t in tokens])
         while at < len(tokens):
             for order in _ORDERS:
                 if classes.startswith(order, at):
@@ -147,8 +171,8 @@ _LEFT = re.compile(r"[^\W_]+|№|[:@]")
 
 
 #: Any number of ten to twelve digits, however parted; any word with a mail sign; two capitalised words.
-WIDE_NUMBER = re.compile(rf"(?<![\w.,/№+-])[+(]?{D1}(?:(?:[ ()\-]{{0,2}}|\n){D}){{8,12}}(?![\w-])(?![.,]\d)")
-WIDE_EMAIL = re.compile(r"(?<![\w.@])[\w+][\w.+-]*@[\w][\w-]*(?:\.[\w-]+)*")
+WIDE_NUMBER = re.compile(rf"[0-9+(](?<![\w.,/№+(-].)(?:(?:[ ()\-]{{0,2}}|\n){D}){{9,12}}(?![\w-])(?![.,]\d)")
+_WIDE_BEFORE, _WIDE_AFTER = re.compile(r"(?<![\w.@])[\w+][\w.+-]*$"), re.compile(r"[\w][\w-]*(?:\.[\w-]+)*")
 
 
 def _left(text: str, start: int) -> list[str]:
@@ -190,8 +214,9 @@ def instances(text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
         lo, hi = (a, b - 1) if raw is None else (raw[a], raw[b - 1])
         out.append((kind, lo + 1, hi + 1, seed, pats))
 
-    for m in EMAIL.finditer(plain) if _AT_SIGN.search(plain) else ():
-        add("email", m.start(), m.end(), 1.0, [])
+    for at in _AT_SIGN.finditer(plain):
+        for m in _around(EMAIL, plain, at.start(), at.end()):
+            add("email", m.start(), m.end(), 1.0, [])
     for m in INSURANCE.finditer(plain):
         add("identity", m.start(), m.end(), 0.9, ["insurance"])
     for m in PHONE.finditer(plain):
@@ -221,18 +246,23 @@ def instances(text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
                 if not plain[m.end("town") :].startswith(",") and _class(word) != "W":
                     start = m.end("town") + len(re.match(r"[,\s]*", plain[m.end("town") :]).group())
             add("address", start, m.end(), 0.9, [])
-    for a, b, proved, order, given in _names(plain):
+    stretches = _stretches(plain)
+    for a, b, proved, order, given in _names(stretches):
         stem = given[: max(3, len(given) - 2)][:4]
         add("name", a, b, 0.9 if proved else 0.0, [f"given {stem}" if given else f"form {order}"])
     wide: list[tuple[str, int, int, float, list[str]]] = []
-    for m in WIDE_EMAIL.finditer(plain) if "@" in plain else ():
-        wide.append(("email", m.start(), m.end(), -1.0, []))
+    at = plain.find("@")
+    while at >= 0:
+        before, after = _WIDE_BEFORE.search(plain, max(0, at - 64), at), _WIDE_AFTER.match(plain, at + 1)
+        if before and after:
+            wide.append(("email", before.start(), after.end(), -1.0, []))
+        at = plain.find("@", at + 1)
     for m in WIDE_NUMBER.finditer(plain):
         digits = re.sub(r"\D", "", m.group().translate(_AS_DIGIT))
         if 10 <= len(digits) <= 12 and sum(c.isdigit() for c in m.group()) >= len(digits) - 2:
             wide.append(("phone", m.start(), m.end(), -1.0, []))
             wide += [("identity", m.start(), m.end(), -1.0, [shape]) for shape in ("passport", "insurance", "tax")]
-    for a, b in _wide_names(plain):
+    for a, b in _wide_names(stretches):
         wide.append(("name", a, b, -1.0, []))
     for kind, a, b, seed, extra in wide:
         if not any(a < y and x < b for x, y in taken):
@@ -244,14 +274,12 @@ def instances(text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
     return out
 
 
-def _wide_names(text: str):
+def _wide_names(stretches):
     """Two capitalised words side by side, neither of which is an initial."""
-    for m in TOKENS.finditer(text):
-        tokens = list(TOKEN.finditer(m.group()))
-        for t, u in zip(tokens, tokens[1:]):
-            between = m.group()[t.end() : u.start()]
-            if len(t.group()) > 2 and len(u.group()) > 2 and not t.group().endswith(".") and "," not in between and t.group()[1:].islower() and u.group().rstrip(".")[1:].islower():
-                yield m.start() + t.start(), m.start() + u.end() - u.group().endswith(".")
+    for tokens in stretches:
+        for (a, end, t), (_, b, u) in zip(tokens, tokens[1:]):
+            if len(t) > 2 and len(u) > 2 and t[-1] != "." and t[1:].islower() and u.rstrip(".")[1:].islower():
+                yield a, b - (u[-1] == ".")
 
 
 def candidates(pages: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
@@ -282,7 +310,7 @@ def believed(found: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         # a pattern is worth the share of believed instances, the more the more it has seen; wide instances are found
         # by patterns and say nothing on them
-        pats = edges.where("seed >= 0").join(scores, "node").groupBy("pat").agg((F.sum(F.col("w") * F.col("score")) / (F.sum("w") + SMOOTH)).alias("conf"))
+        pats = edges.where("seed >= 0").join(scores.select("node", "score"), "node").groupBy("pat").agg((F.sum(F.col("w") * F.col("score")) / (F.sum("w") + SMOOTH)).alias("conf"))
         vouched = edges.join(pats, "pat").groupBy("node").agg((1 - F.product(1 - 0.9 * F.col("conf"))).alias("by"), F.max("conf").alias("best"))
         by = F.coalesce("by", F.lit(0.0))
         score = F.when(F.col("seed") < 0, F.coalesce("best", F.lit(0.0))).otherwise(1 - (1 - F.col("seed")) * (1 - by))

@@ -34,16 +34,15 @@ def test_patterns_vouch_for_unproved_instances(spark):
     assert P.find(df.limit(0)).count() == 0
 
 
-def test_patterns_find_what_no_form_foresaw_and_doubt_seeds(spark):
+def test_patterns_find_what_no_form_foresaw(spark):
     texts = [f"Отгрузка прошла. Звонить по номеру +7 (280) 507-27-{i:02d} до обеда, водитель Полужков Лев Егорович." for i in range(30)]
     texts += ["Отгрузка прошла. Звонить по номеру 280 507 31 19 до обеда, водитель Ингмар Свен."]
     texts += [f"Деталь по чертежу 280 507 31 {i} и склад Нижний Парк." for i in range(10, 40)]
-    # a number in the form of a phone where such numbers are hardly ever one
-    texts += [f"Код изделия 8 280-507-31-{i} в таблице." for i in range(10, 40)] + ["Код изделия (280) 507-31-19 в таблице."]
+    texts += [f"Код {a}{b} (280) 507-31-19 в таблице." for a in "абв" for b in "гд"]  # seeds in company that nothing is known of
     df = spark.createDataFrame([(f"{i:03d}", t, 1.0, True) for i, t in enumerate(texts)], "page_hash string, text string, score double, wide boolean")
     got = {(r.page_hash, r.kind, texts[int(r.page_hash)][r.start_pos - 1 : r.end_pos]) for r in P.find(df).collect()}
     assert {("030", "phone", "280 507 31 19"), ("030", "name", "Ингмар Свен")} <= got
-    assert not any(k > "030" for k, *_ in got)
+    assert {k for k, *_ in got if k > "030"} == {f"{i:03d}" for i in range(61, 67)}
 
 
 def test_instances_have_no_fixed_reach():
