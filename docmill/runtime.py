@@ -54,20 +54,35 @@ _tables: list[tuple[SparkSession, str]] = []
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a table written to the shared folder; survives the loss of executors, and is smaller
-    than a checkpoint. Tables are removed when the process ends."""
+    than a checkpoint. Tables are removed by release(), else when the process ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote, once all that was made of them is itself cut or collected."""
+    for t in tables:
+        path = getattr(t, "_cut_path", None)
+        if path is not None:
+            _tables[:] = [x for x in _tables if x[1] != path]
+            _remove(t.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _tables:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
             return
 

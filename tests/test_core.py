@@ -334,6 +334,22 @@ def test_paths_and_retries(tmp_path):
     assert logger("t", path=str(tmp_path / "log")) is logger("t", path=str(tmp_path / "log")) and len(logger("t", path=str(tmp_path / "log")).handlers) == 2
 
 
+def test_cut_tables_are_released(spark):
+    from docmill.runtime import cut, once, release, shared_folder
+
+    t = cut(spark.range(5))
+    kept = cut(t.where("id > 2"))
+    p = spark._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(p) and t._cut_path.startswith(shared_folder(spark))
+    release(t, spark.range(1))
+    assert not fs.exists(p) and kept.count() == 2
+    # a column that is used many times is computed once
+    d = once(spark.createDataFrame([("а",), (None,)], "t string"), u=F.regexp_replace("t", "а", "б"))
+    d = d.select("t", *[F.concat("u", F.lit(str(i))).alias(f"c{i}") for i in range(5)])
+    assert d._jdf.queryExecution().executedPlan().toString().count("regexp_replace") == 1 and [r.c4 for r in d.collect()] == ["б4", None]
+
+
 def test_history_changes(spark):
     t = dt.datetime(2024, 1, 1)
     old = rows(spark, [{"id": 5, "original_filename": "a", "file_hash": "x", "processed_at": t}, {"id": 9, "original_filename": "b", "file_hash": "y", "processed_at": t}])
