@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.lookalikes import INVISIBLE, TO_CYRILLIC
-from docmill.runtime import cut, prepare, shared_folder
+from docmill.runtime import cut, prepare, release, shared_folder
 
 WINDOW = 64
 MAX_RUNS = 8
@@ -261,6 +261,7 @@ class AcceptedRuns:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.int32()), b.column(1), b.column(2), b.column(3)], ["kind", "part", "key", "form", "ord"])
 
         new = self._write(keep.select("kind", "key", "form", "ord").mapInArrow(place, _ENTRY))
+        release(keep)
         for r in old:
             self._delete(r)
         self.runs = [new]
@@ -287,6 +288,7 @@ class AcceptedRuns:
         how = F.when(F.col("kind") == "h", "same").otherwise("near")
         out = items.join(found, ["kind", "key", "form"]).where("first < ord").select(F.col("ord").alias(item), how.alias("how"))
         out = cut(out.groupBy(item).agg(F.max("how").alias("how")))  # same comes after near
+        release(items, met)
         if len(self.runs) > MAX_RUNS:
             self.compact()
         return out

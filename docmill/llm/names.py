@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.lookalikes import TO_CYRILLIC, normalize
-from docmill.runtime import cut, prepare
+from docmill.runtime import cut, prepare, release
 
 #: The radius in edits; the sample that pivots are drawn from, the least number of pivots, by what the root of the
 #: number of names is divided to give it, and the number up to which distances are compiled.
@@ -150,8 +150,10 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS, pivots:
         return both.select(F.col("x").alias("q"), "x", F.lit(0).alias("d")).limit(0)
     # a name's cell is its nearest pivot; its rings are the distances to that pivot and to the two after it
     n = len(pivots)
+    distinct = both
     both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x")  # few bytes but much work: not to be put together
     near = cut(both.select("x", "asks", "held", _distances(F.col("x"), pivots).alias("ds")).withColumn("least", F.array_min("ds")))
+    release(distinct)
     homes = near.where("held").select("x", (F.array_position("ds", F.col("least")) - 1).cast("int").alias("cell"), "ds").select(
         "x", "cell", F.expr("ds[cell]").alias("r1"), F.expr(f"ds[(cell + 1) % {n}]").alias("r2"), F.expr(f"ds[(cell + 2) % {n}]").alias("r3")
     )
@@ -250,6 +252,7 @@ def members(history: DataFrame) -> DataFrame:
     slips = _slips(d)
     known = d.join(slips, "inn", "left").withColumn("contractor", F.coalesce("right", F.when(F.col("ok"), F.col("inn")))).drop("right")
     known = cut(known)
+    release(d)
     sure = known.where("contractor is not null")
     orphans = known.join(sure.select("name").distinct(), "name", "left_anti").select("name", "kind", "key", "given", "form").distinct()
     # every key that a contractor is known by; an orphan's key is a contractor of its own if none fits

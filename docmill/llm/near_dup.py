@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.runtime import cut, prepare
+from docmill.runtime import cut, prepare, release
 
 MIN_WORDS, WORDS, THRESHOLD = 30, 3, 0.5
 #: Probed bits beyond the least number.
@@ -253,10 +253,12 @@ def _meetings(batches):
             yield from out(rows)
 
 
-def alike_classes(words: DataFrame) -> DataFrame:
-    """(sig_a, sig_b): classes of pages that are alike, each pair once, with sig_a < sig_b. words: as page_words."""
+def alike_classes(words: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """(sig_a, sig_b): classes of pages that are alike, each pair once, with sig_a < sig_b. words: as page_words; made
+    gets the tables that the result is read from."""
     spark = prepare(words.sparkSession)
     reps = cut(words.select("sig", "h").dropDuplicates(["sig"]))
+    made.append(reps)
     pages = reps.count()
     if not pages:
         return reps.select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"))
@@ -300,6 +302,7 @@ def alike_classes(words: DataFrame) -> DataFrame:
     shared = probes.repartition("place", "cell").sortWithinPartitions("place", "cell", "bit").select("bit", "cell", "sig", "n", "rank", "block").mapInArrow(_meetings, "sig_a bigint, sig_b bigint, c int, least int")
     counted = shared.groupBy("sig_a", "sig_b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least")
     candidates = cut(counted.select("sig_a", "sig_b"))
+    made.append(candidates)
 
     def verify(batches):
         for b in batches:
@@ -325,7 +328,9 @@ def alike_pages(pages: DataFrame, key: str = "page_hash", text: str = "text") ->
     """(field, key_a, key_b): pages alike; classes of equal pages are spread out to their members."""
     words = cut(page_words(pages, key, text))
     classes = words.select("key", "sig").distinct()
-    links = cut(alike_classes(words))
+    made: list[DataFrame] = []
+    links = cut(alike_classes(words, made))
+    release(*made)
     a = classes.select(F.col("sig").alias("sig_a"), F.col("key").alias("x"))
     b = classes.select(F.col("sig").alias("sig_b"), F.col("key").alias("y"))
     across = links.join(a, "sig_a").join(b, "sig_b").select("x", "y")

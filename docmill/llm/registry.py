@@ -87,4 +87,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_running_text, p2_found, p2_redacted, p3_found, p3_members, p4_found, p4_normalized_names, p4_normalized_texts, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)
 }
 
-SQL: dict[str, str] = {}
+#: The pages by brute force over all pairs that share three words, the numbers over all pairs of equal papers; letters
+#: beyond ASCII are put in place of signs first, as the edit distance of SQL counts bytes.
+_LETTERS = "".join(map(chr, [*range(0x410, 0x450), 0x401, 0x451])) + "№–—"
+_SIGNS = "".join(map(chr, [*range(1, 32), *range(0x61, 0x7B)])) + "~!@#$%^&{}[]"
+_BYTES = f"translate(document_number, '{_LETTERS}', '{_SIGNS[: len(_LETTERS)]}')"
+SQL: dict[str, str] = {
+    "p5_found": rf"""WITH w AS (SELECT page_hash, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM (SELECT DISTINCT page_hash, text FROM ocr_cache WHERE page_hash IS NOT NULL)),
+    s AS (SELECT DISTINCT page_hash, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 30)), n AS (SELECT page_hash, count(*) AS n FROM s GROUP BY 1),
+    j AS (SELECT a.page_hash AS x, b.page_hash AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.page_hash < b.page_hash GROUP BY 1, 2),
+    h AS (SELECT id::varchar AS id, {_BYTES} AS d, contractor_inn, document_date, total_amount FROM history WHERE document_number IS NOT NULL)
+    SELECT 'ocr_cache.text' AS field, x AS key_a, y AS key_b FROM j JOIN n p ON p.page_hash = x JOIN n q ON q.page_hash = y WHERE 2 * c >= p.n + q.n - c
+    UNION ALL SELECT 'history.document_number', a.id, b.id FROM h a JOIN h b USING (contractor_inn, document_date, total_amount) WHERE a.id < b.id AND 4 * levenshtein(a.d, b.d) <= greatest(length(a.d), length(b.d))""",
+}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from docmill.llm import lookalikes
-from docmill.runtime import cut, prepare
+from docmill.runtime import cut, prepare, release
 
 #: The least share of the corpus's words that a word of the lexicon has, and its greatest length.
 LEAST_SHARE, LONGEST = 1e-6, 64
@@ -159,7 +159,9 @@ def lexicon(once: DataFrame) -> tuple[dict[str, int], int]:
     pairs = once.where("w is not null").select(F.explode(F.arrays_zip("w", "n")).alias("x"))
     counts = cut(pairs.groupBy("x.w").agg(F.sum("x.n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r.w: r.n for r in counts.where(F.col("n") >= LEAST_SHARE * total).collect()}, total
+    out = {r.w: r.n for r in counts.where(F.col("n") >= LEAST_SHARE * total).collect()}
+    release(counts)
+    return out, total
 
 
 class Reader:
@@ -475,7 +477,9 @@ def _labelled(once: DataFrame, files: DataFrame) -> tuple[DataFrame, Model]:
     """(page, rep, os): the lines near the edges of each page and which of their marks other pages of the
     file carry; and the model fitted to a sample of them."""
     # rows of one page are alike, as they hold the same text
+    # with the lexicon collected before, what was read once isn't needed any more
     edges = cut(once.where("page is not null").select("page", "os").dropDuplicates(["page"]).withColumn("pid", F.xxhash64("page")))
+    release(once)
     where = files.where("file_hash is not null and page_hash is not null").select(F.xxhash64("page_hash").alias("pid"), F.xxhash64("file_hash").alias("file")).distinct()
     placed = cut(edges.select("pid", F.explode("os").alias("o")).where("o.mark is not null").select("pid", "o.mark", "o.less").join(where, "pid"))
     # how many pages of a file carry a line: counted before anything is brought together
