@@ -113,6 +113,12 @@ def delete(history: DataFrame, ids: list[int]) -> DataFrame:
     return history.where(~F.col("id").isin(ids))
 
 
+def to_reprocess(history: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, original_path, original_filename) of the documents that are to be read again; their rows are replaced by the
+    upsert of what comes of it."""
+    return history.where(F.col("id").isin(ids) & F.col("original_path").isNotNull()).select("id", "original_path", "original_filename")
+
+
 #: The columns of an export of the history, and the most rows that it has.
 EXPORT = {
     "original_filename": "Исходное имя файла", "document_type": "Тип документа", "status": "Статус обработки", "contractor_name": "Контрагент", "contractor_inn": "ИНН контрагента",

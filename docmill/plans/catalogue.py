@@ -858,7 +858,20 @@ def _readings(spark, d):
     return pages.select("page_hash", F.inline(F.array(*[F.struct(x.alias("text"), F.lit(c).alias("conf")) for x, c in ((t, 0.55), (tx.clean_ocr_text(t), 0.5), (half, 0.4))])))
 
 
-@query()
+def _combine_sql() -> str:
+    quality_of = _QUALITY.replace("page_hash, ts,", "page_hash, v, conf,").replace("FROM ocr_cache WHERE text IS NOT NULL", "FROM (SELECT * REPLACE (trim(text, ' ') AS text) FROM v)")
+    return f"""WITH p AS (SELECT page_hash, text FROM ocr_cache QUALIFY row_number() OVER (PARTITION BY page_hash ORDER BY ts DESC NULLS LAST, text DESC NULLS LAST) = 1),
+    v AS (SELECT page_hash, 1 AS v, 0.55::double AS conf, text FROM p WHERE text IS NOT NULL UNION ALL SELECT page_hash, 2, 0.5, replace(replace(translate(text, '“”«»–—', '\"\"\"\"--'), '  ', ' '), chr(9), ' ') FROM p WHERE text IS NOT NULL UNION ALL SELECT page_hash, 3, 0.4, substr(text, 1, (length(text) / 2)::int - CASE WHEN length(text) % 2 = 1 AND (length(text) / 2)::int > length(text) / 2 THEN 1 ELSE 0 END) FROM p WHERE text IS NOT NULL),
+    q AS (SELECT page_hash, v, 0.6 * conf + 0.4 * quality AS score, conf FROM ({quality_of.replace("round(least(1.0, greatest(0.0, ", "(least(1.0, greatest(0.0, ").replace("0.15 * st)), 6) AS quality", "0.15 * st))) AS quality")})),
+    t AS (SELECT v.page_hash, v.text, q.score, q.conf FROM v JOIN q USING (page_hash, v) WHERE trim(regexp_replace(v.text, '\s+', ' ', 'g'), ' ') <> ''),
+    l AS (SELECT page_hash, text, score, conf, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM t),
+    n AS (SELECT *, trim(raw, ' ') AS line, trim(regexp_replace(lower({_collapse("trim(raw, ' ')")}), '^[.,;:!?]+|[.,;:!?]+$', '', 'g'), ' ') AS norm FROM l WHERE length(trim(raw, ' ')) >= 3),
+    g AS (SELECT page_hash, norm, count(*) AS votes, avg(conf) AS c, round(avg(score), 9) AS s, min({{'a': -score, 'b': text, 'c': place}}) AS first, min_by(line, {{'a': -score, 'b': text, 'c': place}}) AS line FROM n GROUP BY 1, 2),
+    j AS (SELECT page_hash, string_agg(line, chr(10) ORDER BY s DESC, first) AS voted FROM g WHERE votes >= 2 OR c > 0.6 OR s > 0.7 GROUP BY 1), w AS (SELECT page_hash, count(*) AS variants, max(text) AS single FROM t GROUP BY 1)
+    SELECT page_hash, CASE WHEN variants = 1 THEN single ELSE coalesce(voted, '') END AS text, variants FROM w LEFT JOIN j USING (page_hash)"""
+
+
+@query(_combine_sql())
 def combine_readings(spark, d):
     return quality.combine(_readings(spark, d), "page_hash", "text", "conf")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.runtime import prepare
+from docmill.runtime import cut, prepare
 
 #: Suffixes that are read, and the largest size of a PDF and of an image.
 SUFFIXES = ("pdf", "jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp")
@@ -19,15 +19,15 @@ PDF_BYTES, IMAGE_BYTES = 10 * 1024 * 1024, 50 * 1024 * 1024
 
 
 def folder(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """(path, filename, suffix, length, content, error) of the files of one flat folder. Files over the limit
-    carry an error instead of failing the batch."""
+    """(path, filename, suffix, rank, length, content, error) of the files of one flat folder; rank puts papers before
+    images. Files over the limit carry an error instead of failing the batch."""
     wanted = "{" + ",".join([*(f"*.{s}" for s in SUFFIXES), *(f"*.{s.upper()}" for s in SUFFIXES)]) + "}"
     reader = (spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary") if streaming else spark.read).format("binaryFile").option("pathGlobFilter", wanted)
     files = reader.load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
     limit = F.when(suffix == "pdf", PDF_BYTES).otherwise(IMAGE_BYTES)
     return files.select(
-        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), suffix.alias("suffix"), "length", "content", F.when(F.col("length") > limit, F.lit("file too large")).alias("error")
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), suffix.alias("suffix"), F.when(suffix == "pdf", 0).otherwise(1).alias("rank"), "length", "content", F.when(F.col("length") > limit, F.lit("file too large")).alias("error")
     )
 
 
@@ -88,6 +88,48 @@ def read_pages(files: DataFrame, reader: Callable[[bytes, str], list[dict]]) ->
     return d.select(*[c for c in files.columns if c not in ("content", "error")], "__r.pages", text.alias("full_text"), "__r.error")
 
 
+def measure_images(files: DataFrame, decode: Callable[[bytes], object], text: str | None = None) -> DataFrame:
+    """files with the measures of each image, by a pluggable decoder to a matrix: source, height, width, channels, blur,
+    contrast, noise, brightness, skew, level_score and is_photo; text names a column of text found without recognition.
+    An image that can't be decoded keeps its row, with an error."""
+    from docmill.functions import images
+
+    prepare(files.sparkSession)
+    kind = "height int, width int, channels int, blur double, contrast double, noise double, brightness double, skew double, level_score double, is_photo boolean, error string"
+
+    def one(content, known, error):
+        if error is not None or content is None:
+            return {"error": error or "no content"}
+        try:
+            m = decode(bytes(content))
+            grey = images.rgb_to_grey(m)
+            return {
+                "height": grey.shape[0], "width": grey.shape[1], "channels": 1 if m.ndim == 2 else m.shape[2], "blur": images.blur(grey), "contrast": images.contrast(grey), "noise": images.noise(grey), "brightness": float(grey.mean()),
+                "skew": images.skew(grey), "level_score": images.level_score(m, known or ""), "is_photo": bool(images.is_photo(m, len(known or ""))), "error": None,
+            }
+        except Exception as e:  # noqa: BLE001
+            return {"error": f"{type(e).__name__}: {e}"}
+
+    f = F.udf(one, f"struct<{', '.join(x.replace(' ', ': ') for x in kind.split(', '))}>", useArrow=True)
+    d = files.withColumn("__r", f("content", F.col(text) if text else F.lit(None).cast("string"), "error"))
+    return d.select(*[c for c in files.columns if c not in ("content", "error")], F.lit("image").alias("source"), "__r.*")
+
+
+def recognise_cached(pages: DataFrame, cache: DataFrame, ocr: Callable[[bytes], list[tuple[str, float]]], now: float, lang: str = "ru") -> tuple[DataFrame, DataFrame]:
+    """((page_hash, text, hit), new cache rows) of pages (page_hash, content): cached texts as they are, the others by a
+    pluggable recogniser that gives (line, confidence); strong lines are kept. The new rows are for cache_put()."""
+    from docmill.operators.history import cache_lookup
+    from docmill.operators.quality import kept_ocr_lines
+
+    prepare(pages.sparkSession)
+    known = cache_lookup(pages, cache)
+    missing = pages.dropDuplicates(["page_hash"]).join(known.where("hit").select("page_hash"), "page_hash", "left_anti")
+    read = F.udf(lambda c: [{"text": t, "confidence": float(p)} for t, p in ocr(bytes(c))] if c is not None else [], "array<struct<text: string, confidence: double>>", useArrow=True)
+    text = F.array_join(F.transform(kept_ocr_lines(F.col("lines")), lambda s: s["text"]), "\n")
+    new = cut(missing.select("page_hash", read("content").alias("lines")).select("page_hash", text.alias("text"), F.lit(lang).alias("lang"), F.lit(float(now)).alias("ts")))
+    return known.where("hit").unionByName(new.select("page_hash", "text", F.lit(False).alias("hit"))), new
+
+
 def page_tables(read: DataFrame, key: str) -> DataFrame:
     """(key, table_no, rows) of all tables of all pages, numbered on, empty ones left out."""
     every = F.filter(F.flatten(F.transform("pages", lambda p: p["tables"])), lambda t: F.size(t) > 0)

@@ -313,6 +313,25 @@ def test_folders_results_and_workbooks(spark, tmp_path):
     assert {r.name for r in files.to_copy(spark.sql("select * from values ('a', array(1), cast(null as string)), ('b', array(1), 'bad'), ('c', cast(array() as array<int>), null) t(name, fields, error)")).collect()} == {"a"}
 
 
+def test_images_are_measured_and_pages_read_once(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "a.png").write_bytes(bytes(range(256)) * 4)
+    (tmp_path / "b.png").write_bytes(b"bad")
+    got = files.measure_images(files.folder(spark, str(tmp_path)), lambda raw: np.frombuffer(raw, np.uint8).reshape(32, 32)).orderBy("filename").collect()
+    assert (got[0].height, got[0].channels, got[0].source, got[0].error) == (32, 1, "image", None) and got[0].contrast > 0 and got[1].error.startswith("ValueError")
+    pages = spark.createDataFrame([("p", b"x"), ("q", b"y"), ("q", b"y"), ("r", None)], "page_hash string, content binary")
+    cache = spark.createDataFrame([("p", "old", "ru", 1.0)], "page_hash string, text string, lang string, ts double")
+    texts, new = files.recognise_cached(pages, cache, lambda raw: [("строка", 0.9), ("ш", 0.3), ("шум", 0.1)], 5.0)
+    assert {(r.page_hash, r.text, r.hit) for r in texts.collect()} == {("p", "old", True), ("q", "строка", False), ("r", "", False)}
+    assert history.cache_put(cache, new).count() == 3
+    stream = files.folder(spark, str(tmp_path), streaming=True)
+    seen = []
+    ingest.drain(stream, str(tmp_path / "progress"), lambda batch, n: seen.extend(r.filename for r in batch.select("filename").collect()))
+    ingest.drain(files.folder(spark, str(tmp_path), streaming=True), str(tmp_path / "progress"), lambda batch, n: seen.extend(r.filename for r in batch.select("filename").collect()))
+    assert sorted(seen) == ["a.png", "b.png"]  # each file once
+
+
 def test_paths_and_retries(tmp_path):
     from docmill.runtime import logger, retried
 
