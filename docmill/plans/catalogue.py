@@ -462,9 +462,51 @@ def export_mapping(spark, d):
     return extract.project_mapping(docs, {"A1": "document_number", "B1": "date", "C1": "amount", "A2": "inn", "B2": "_filename"}, "doc_id", filename="filename")
 
 
-@query()
+def _first_sql(pattern: str, c: str = "t") -> str:
+    return f"nullif(regexp_extract({c}, '(?i){pattern.replace(chr(39), chr(39) * 2)}', 1), '')"
+
+
+def _party_sql(role: str) -> str:
+    name = f"regexp_replace(trim({_first_sql(rf'(?:{role})[:{chr(92)}s]+({parse._NAME}+?)(?:{chr(92)}n|ИНН|КПП|адрес|тел|БИК|р/с|$)')}, ' '), ',+$', '')"
+    return f"CASE WHEN length({name}) > 2 THEN {name} END"
+
+
+def _parsed_sql() -> str:
+    invoice = ", ".join(f"'{k}'" for k, p in parse.PLANS.items() if p.invoice)
+    plain = ", ".join(f"'{k}'" for k in parse.FIELD_ONLY)
+    inn = lambda role, of: _first_sql(rf"(?:(?:{role})[:\s]+[А-ЯЁ\s«»,.\-]+?ИНН|ИНН\s+(?:{of}))[\s:\-]*(\d{{10,12}})")
+    beside = lambda n: f"CASE WHEN instr(t, substr({n}, 1, 20)) > 0 THEN nullif(regexp_extract(substr(t, instr(t, substr({n}, 1, 20)) + least(20, length({n}))), '(?i)^\\D*ИНН\\s*[:\\-]?\\s*(\\d{{10,12}})', 1), '') END"
+    number = _first_sql(r"сч[её]т\s*(?:на\s+оплату)?\s*[№N]?\s*[:\-]?\s*[_\s№]*(\d+)")
+    vat = "regexp_replace(replace(" + _first_sql(r"(?:ндс|н\s*д\s*с)[\s:\-/]*(?:в\s+том\s+числе\s+)?([\d ]+[.,]?\d*)") + ", ',', '.'), ' ', '', 'g')"
+    trimmed = lambda c: f"CASE WHEN length({c}) > 2 THEN nullif(regexp_replace(trim({c}, ' '), '[»,]+$', ''), '') END"
+    own = {"document_number": f"CASE WHEN {number} <> '0' THEN {number} END", "supplier": _party_sql("поставщик"), "buyer": _party_sql("покупатель|заказчик"), "supplier_inn": inn("поставщик", "поставщика"), "buyer_inn": inn("покупатель|заказчик", "покупателя|заказчика"), "bic": _first_sql(r"БИК\s*[:\-]?\s*(\d{9})"), "vat": f"CASE WHEN try_cast({vat} AS DOUBLE) <> 0 THEN printf('%.2f', {vat}::double) END"}
+    conf = {"document_number": 0.9, "supplier": 0.8, "buyer": 0.8, "supplier_inn": 0.9, "buyer_inn": 0.9, "bic": 0.9, "vat": 0.8}
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS field_name, {c} AS value, {conf[n]}::double AS confidence, 0 AS prio FROM d WHERE kind IN ({invoice})" for n, c in own.items())
+    orgs = _ORG.replace("text", "t")
+    loose = _first_sql(r"(\d{1,2}[./ ]\d{1,2}[./ ]\d{4}|\d{1,2}\s+[а-яё]+\s+20\d{2})")
+    bad = lambda who: f"f.{who} <> '' AND f.{who}_inn <> '' AND NOT coalesce({_inn_sql(f'f.{who}_inn')}, false)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, document_type AS kind FROM documents),
+    o AS (SELECT doc_id, list_filter(list_transform(list_slice({orgs}, 1, 2), lambda x: trim(x, ' ')), lambda x: length(x) > 3) AS os FROM d WHERE kind IS NULL OR kind NOT IN ({plain})),
+    r AS (SELECT doc_id, field_name, value, confidence, 1 AS prio FROM {_FIELDS} UNION ALL SELECT doc_id, 'organization_' || i, os[i], 0.7, 1 FROM (SELECT doc_id, os, unnest(range(1, len(os) + 1)) AS i FROM o) UNION ALL {rows}),
+    a AS (SELECT * FROM r WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, field_name ORDER BY prio) = 1),
+    w AS (SELECT d.doc_id, t, max(value) FILTER (field_name = 'supplier') AS s0, max(value) FILTER (field_name = 'buyer') AS b0, max(value) FILTER (field_name = 'organization_1') AS o1, max(value) FILTER (field_name = 'organization_2') AS o2 FROM d LEFT JOIN a USING (doc_id) WHERE kind IN ({invoice}) GROUP BY ALL),
+    x AS (SELECT doc_id, t, coalesce(s0, {trimmed('o1')}) AS s, coalesce(b0, {trimmed('o2')}) AS b FROM w),
+    z AS (SELECT doc_id, 'supplier' AS field_name, s AS value, 0.7::double AS confidence FROM x UNION ALL SELECT doc_id, 'buyer', b, 0.7 FROM x UNION ALL SELECT doc_id, 'supplier_inn', {beside('s')}, 0.8 FROM x UNION ALL SELECT doc_id, 'buyer_inn', {beside('b')}, 0.8 FROM x UNION ALL SELECT doc_id, 'date', {loose}, 0.7 FROM x),
+    e AS (SELECT doc_id, field_name, value, confidence FROM a UNION ALL SELECT * FROM z WHERE value IS NOT NULL AND (doc_id, field_name) NOT IN (SELECT doc_id, field_name FROM a)),
+    f AS (SELECT doc_id, max(value) FILTER (field_name = 'supplier') AS supplier, max(value) FILTER (field_name = 'supplier_inn') AS supplier_inn, max(value) FILTER (field_name = 'buyer') AS buyer, max(value) FILTER (field_name = 'buyer_inn') AS buyer_inn, max(value) FILTER (field_name = 'date') AS date FROM e GROUP BY 1),
+    g AS (SELECT doc_id, {bad('supplier')} AS bs, {bad('buyer')} AS bb, CASE WHEN regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_strptime(date, '%Y-%m-%d') WHEN regexp_full_match(date, '[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{4}}') THEN try_strptime(date, '%d.%m.%Y') WHEN regexp_full_match(date, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}') THEN try_strptime(date, '%d-%m-%Y') END::date AS dd FROM f)
+    SELECT e.doc_id, d.kind AS document_type, field_name, value, CASE WHEN field_name = 'supplier_inn' AND bs OR field_name = 'buyer_inn' AND bb THEN 'unsound_inn' WHEN field_name = 'date' AND dd < DATE '2024-06-30' - 7300 THEN 'too_old' WHEN field_name = 'date' AND dd > DATE '2024-06-30' THEN 'future' END AS warning,
+      round(greatest(0.0, confidence - CASE WHEN field_name = 'supplier_inn' AND bs OR field_name = 'buyer_inn' AND bb THEN 0.3 WHEN field_name = 'date' AND dd > DATE '2024-06-30' THEN 0.2 WHEN field_name = 'date' AND dd < DATE '2024-06-30' - 7300 THEN 0.1 ELSE 0.0 END::double), 6) AS confidence
+    FROM e JOIN d USING (doc_id) JOIN g USING (doc_id)"""
+
+
+_ORG = r"regexp_extract_all(text, '(?:ООО|ОАО|ЗАО|ИП|ПАО|АО)\s*[«\"]([^«»\"\n]+)[»\"]', 1)"
+
+
+@query(_parsed_sql())
 def parse_documents(spark, d):
-    return parse.parse_documents(table(spark, d, "documents"), "doc_id", "text", "document_type", now=F.lit("2024-06-30").cast("date"))
+    p = parse.parse_documents(table(spark, d, "documents"), "doc_id", "text", "document_type", now=F.lit("2024-06-30").cast("date"))
+    return p.drop("auto_corrected")  # only with fields of tables
 
 
 _REL = f"""SELECT id, tw, tv, am, dd, nm, inn, conf, abs(tw - (tn + tv)) > 0.01 AND tw <> 0 AND tn <> 0 AND tv <> 0 AS off, tw < 0 AS neg, tw < tn AND tw <> 0 AND tn <> 0 AS less, tn FROM (
@@ -863,7 +905,7 @@ def _combine_sql() -> str:
     return f"""WITH p AS (SELECT page_hash, text FROM ocr_cache QUALIFY row_number() OVER (PARTITION BY page_hash ORDER BY ts DESC NULLS LAST, text DESC NULLS LAST) = 1),
     v AS (SELECT page_hash, 1 AS v, 0.55::double AS conf, text FROM p WHERE text IS NOT NULL UNION ALL SELECT page_hash, 2, 0.5, replace(replace(translate(text, '“”«»–—', '\"\"\"\"--'), '  ', ' '), chr(9), ' ') FROM p WHERE text IS NOT NULL UNION ALL SELECT page_hash, 3, 0.4, substr(text, 1, (length(text) / 2)::int - CASE WHEN length(text) % 2 = 1 AND (length(text) / 2)::int > length(text) / 2 THEN 1 ELSE 0 END) FROM p WHERE text IS NOT NULL),
     q AS (SELECT page_hash, v, 0.6 * conf + 0.4 * quality AS score, conf FROM ({quality_of.replace("round(least(1.0, greatest(0.0, ", "(least(1.0, greatest(0.0, ").replace("0.15 * st)), 6) AS quality", "0.15 * st))) AS quality")})),
-    t AS (SELECT v.page_hash, v.text, q.score, q.conf FROM v JOIN q USING (page_hash, v) WHERE trim(regexp_replace(v.text, '\s+', ' ', 'g'), ' ') <> ''),
+    t AS (SELECT v.page_hash, v.text, q.score, q.conf FROM v JOIN q USING (page_hash, v) WHERE trim(regexp_replace(v.text, '\\s+', ' ', 'g'), ' ') <> ''),
     l AS (SELECT page_hash, text, score, conf, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM t),
     n AS (SELECT *, trim(raw, ' ') AS line, trim(regexp_replace(lower({_collapse("trim(raw, ' ')")}), '^[.,;:!?]+|[.,;:!?]+$', '', 'g'), ' ') AS norm FROM l WHERE length(trim(raw, ' ')) >= 3),
     g AS (SELECT page_hash, norm, count(*) AS votes, avg(conf) AS c, round(avg(score), 9) AS s, min({{'a': -score, 'b': text, 'c': place}}) AS first, min_by(line, {{'a': -score, 'b': text, 'c': place}}) AS line FROM n GROUP BY 1, 2),
