@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,53 +112,60 @@ def _same_words(line: str) -> list[str]:
 # --- lexicon -----------------------------------------------------------------------------------
 
 
-_MARKS = pa.struct([("side", pa.string()), ("line_no", pa.int64()), ("form", pa.string()), ("mark", pa.int64()), ("less", pa.list_(pa.int64()))])
-_EDGE = "struct<side: string, line_no: bigint, form: string, mark: bigint, less: array<bigint>>"
+#: Forms of lines as one letter each.
+_CODE = {"prose": "p", "plain": "l", "title": "t", "long": "g", "dressed": "d", "bare": "b", "table": "x", "blank": "_", "first": "f", "lower": "w"}
+_EDGES = "lines int, top string, foot string, marks array<bigint>, less array<array<bigint>>"
 
 
 def read_once(pages: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
-    """(page, os, w, n), written: the lines near the edges of each page (os), and for each batch of pages its words
-    (w) and their counts (n). Words with their own hyphen count as one word, too; figures alone are no words."""
+    """(page, lines, top, foot, marks, less, w, k), written. Of each page its number of lines, the forms of those from
+    the top and of those from the foot inwards, and the marks of both (0 for none); and for each batch of pages its words
+    (w) and their counts (k). Words with their own hyphen count as one word, too; figures alone are no words."""
     prepare(pages.sparkSession)
     kind = dict(pages.dtypes)[key]
 
+    def lists(values, sizes):
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
+
     def run(batches):
         for b in batches:
             strings: Counter[str] = Counter()  # words are looked for in each different string between blanks once
-            ids, rows = [], []
+            ids, size, sides, marks, each, less, parts = [], [], ([], []), [], [], [], []
             for i, (page, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 if not t:
                     continue
                 lines = readable_lines(t)
                 strings.update("\n".join(lines).lower().split())
                 if page is not None:
-                    row = []
-                    for side, n, line, form in edge_lines(lines):
-                        mark, less = line_marks(line) if form in ("plain", "long", "title") else (None, [])
-                        row.append({"side": side, "line_no": n, "form": form, "mark": mark, "less": less})
+                    edge = edge_lines(lines)
+                    for name, out in zip("tf", sides):
+                        out.append("".join([_CODE[form] for side, _, _, form in edge if side == name]))
+                    for _, _, line, form in edge:
+                        mark, some = line_marks(line) if form in ("plain", "long", "title") else (None, ())
+                        marks.append(mark or 0)
+                        parts += some
+                        less.append(len(some))
                     ids.append(i)
-                    rows.append(row)
+                    size.append(len(lines))
+                    each.append(len(edge))
             count: Counter[str] = Counter()
             for string, k in strings.items():
                 for w in _WORD.findall(string):
                     count[w] += k
             words = [(w, k) for w, k in count.items() if len(w) <= LONGEST and not w.isdigit()]
-            some = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.nulls(1, b.column(0).type)]), pa.array([*rows, None], pa.list_(_MARKS)),
-                    pa.array([*[None] * some, [w for w, _ in words]], pa.list_(pa.string())), pa.array([*[None] * some, [k for _, k in words]], pa.list_(pa.int64())),
-                ],
-                ["page", "os", "w", "n"],
-            )
+            n = len(ids)
+            rows = [b.column(0).take(pa.array(ids, pa.int64())), pa.array(size, pa.int32()), *(pa.array(x, pa.string()) for x in sides), lists(pa.array(marks, pa.int64()), each), lists(lists(pa.array(parts, pa.int64()), less), each)]
+            one = [lists(pa.array([w for w, _ in words], pa.string()), [len(words)]), lists(pa.array([k for _, k in words], pa.int64()), [len(words)])]
+            full = [pa.concat_arrays([x, pa.nulls(1, x.type)]) for x in rows] + [pa.concat_arrays([pa.nulls(n, x.type), x]) for x in one]
+            yield pa.RecordBatch.from_arrays(full, ["page", "lines", "top", "foot", "marks", "less", "w", "k"])
 
-    return cut(pages.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"page {kind}, os array<{_EDGE}>, w array<string>, n array<bigint>"))
+    return cut(pages.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"page {kind}, {_EDGES}, w array<string>, k array<bigint>"))
 
 
 def lexicon(once: DataFrame) -> tuple[dict[str, int], int]:
     """(counts of the words of the lexicon, count of all words) of pages read once."""
-    pairs = once.where("w is not null").select(F.explode(F.arrays_zip("w", "n")).alias("x"))
-    counts = cut(pairs.groupBy("x.w").agg(F.sum("x.n").alias("n")))
+    pairs = once.where("w is not null").select(F.explode(F.arrays_zip("w", "k")).alias("x"))
+    counts = cut(pairs.groupBy("x.w").agg(F.sum("x.k").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     out = {r.w: r.n for r in counts.where(F.col("n") >= LEAST_SHARE * total).collect()}
     release(counts)
@@ -363,7 +371,7 @@ def _runs_on(body: str) -> bool:
 
 #: Header, number, title, body line, first line of a paragraph, table line, break in the margin, break in the body.
 STATES = "HNTBPXEK"
-FORMS = ("prose", "plain", "title", "long", "dressed", "bare", "table", "blank", "first", "lower")
+FORMS = tuple(_CODE)
 #: Where the fit starts; what isn't named is unlikely.
 _START_P = {"H": 0.3, "N": 0.2, "T": 0.2, "B": 0.14, "P": 0.1, "X": 0.02, "E": 0.04}
 _STEP_P = {
@@ -390,13 +398,23 @@ class Model:
     def __init__(self):
         self.start = {s: _START_P.get(s, _RARE) for s in STATES}
         self.step = {a: {b: _STEP_P[a].get(b, _RARE) for b in STATES} for a in STATES}
-        self.emit = {s: {(f, r): _start_emission(s, f, r) for f in FORMS for r in (False, True)} for s in STATES}
+        self.emit = {s: {(_CODE[f], r): _start_emission(s, f, r) for f in FORMS for r in (False, True)} for s in STATES}
         self._ready()
 
     def _ready(self) -> None:
         self.log_step = [[math.log(self.step[a][b]) for a in STATES] for b in STATES]
         self.log_emit = {o: [math.log(self.emit[s][o]) for s in STATES] for o in self.emit["H"]}
         self.done: dict[tuple, tuple] = {}
+        self.whole: dict[tuple, str] = {}
+
+    def labels(self, forms: str, again: tuple[bool, ...]) -> str:
+        """The likeliest labels of a side; few different ones occur."""
+        got = self.whole.get((forms, again))
+        if got is None:
+            if len(self.whole) > 100_000:
+                self.whole.clear()
+            got = self.whole[forms, again] = self.label(list(zip(forms, again)))
+        return got
 
     def label(self, seen: list[tuple[str, bool]], before: str | None = None) -> str:
         """The likeliest labels of the lines, one after another, after a line labelled before. Scores are kept
@@ -471,17 +489,17 @@ def line_marks(line: str) -> tuple[int | None, list[int]]:
 
 
 _NAMES = {"H": "header", "N": "page_number"}
+_NUMBERED = re.compile("[db]")
 
 
 def _labelled(once: DataFrame, files: DataFrame) -> tuple[DataFrame, Model]:
-    """(page, rep, os): the lines near the edges of each page and which of their marks other pages of the
-    file carry; and the model fitted to a sample of them."""
-    # rows of one page are alike, as they hold the same text
-    # with the lexicon collected before, what was read once isn't needed any more
-    edges = cut(once.where("page is not null").select("page", "os").dropDuplicates(["page"]).withColumn("pid", F.xxhash64("page")))
+    """(page, rep, lines, top, foot, marks): the lines near the edges of each page and which of their marks other pages
+    of the file carry; and the model fitted to a sample of them."""
+    # rows of one page are alike, as they hold the same text; the lexicon is collected, so nothing else needs them
+    edges = cut(once.where("page is not null").drop("w", "k").dropDuplicates(["page"]).withColumn("pid", F.xxhash64("page")))
     release(once)
     where = files.where("file_hash is not null and page_hash is not null").select(F.xxhash64("page_hash").alias("pid"), F.xxhash64("file_hash").alias("file")).distinct()
-    placed = cut(edges.select("pid", F.explode("os").alias("o")).where("o.mark is not null").select("pid", "o.mark", "o.less").join(where, "pid"))
+    placed = cut(edges.select("pid", F.explode(F.arrays_zip("marks", "less")).alias("o")).where("o.marks <> 0").select("pid", F.col("o.marks").alias("mark"), "o.less").join(where, "pid"))
     # how many pages of a file carry a line: counted before anything is brought together
     carried = cut(placed.groupBy("file", "mark").agg(F.count_distinct("pid").alias("pages"), F.first("less").alias("less")).where("pages > 1").drop("pages"))
     exact = placed.join(carried.select("file", "mark"), ["file", "mark"]).select("pid", "mark")
@@ -489,40 +507,46 @@ def _labelled(once: DataFrame, files: DataFrame) -> tuple[DataFrame, Model]:
     rest = placed.join(carried.select("file", "mark"), ["file", "mark"], "left_anti").select("pid", "mark", "file", F.explode("less").alias("part"))
     near = rest.join(carried.select("file", F.explode("less").alias("part")).distinct(), ["file", "part"]).select("pid", "mark")
     rep = exact.unionByName(near).groupBy("pid").agg(F.collect_set("mark").alias("rep"))  # at most the lines near a page's edges
-    chains = edges.join(rep, "pid", "left").select("page", F.coalesce("rep", F.array().cast("array<bigint>")).alias("rep"), F.transform("os", lambda o: o.dropFields("less")).alias("os"))
+    chains = edges.join(rep, "pid", "left").select("page", F.coalesce("rep", F.array().cast("array<bigint>")).alias("rep"), "lines", "top", "foot", "marks")
     some = chains.orderBy(F.xxhash64("page")).limit(SAMPLE_PAGES).collect()
-    return chains, Model().fit([x for r in some for side in "tf" if (x := _seen(r.os, set(r.rep), side))])
+    sides = [x for r in some for x in _sides(r.top, r.foot, r.marks, r.rep)]
+    return chains, Model().fit([list(zip(forms, again)) for forms, again in sides if forms])
 
 
-def _seen(os, rep: set[int], side: str) -> list[tuple[str, bool]]:
-    return [(o["form"], o["mark"] is not None and o["mark"] in rep) for o in os if o["side"] == side]
+def _sides(top: str, foot: str, marks, rep) -> list[tuple[str, tuple[bool, ...]]]:
+    """(forms, whether each line is carried) of either side."""
+    rep = set(rep)
+    again = [m != 0 and m in rep for m in marks] if rep else [False] * len(marks)
+    return [(top, tuple(again[: len(top)])), (foot, tuple(again[len(top) :]))]
 
 
-def _edge_labels(os, rep: set[int], model: Model):
+def _edge_labels(lines: int, top: str, foot: str, marks, rep, model: Model):
     """(line number, noise) of the running headers and page numbers among a page's lines near the edges."""
-    for side in "tf":
-        obs = _seen(os, rep, side)
-        for o, (form, again), s in zip((o for o in os if o["side"] == side), obs, model.label(obs)):
-            if s == "H" and again or s == "N" and form in ("dressed", "bare"):
-                yield o["line_no"], _NAMES[s]
+    if not rep and not _NUMBERED.search(top) and not _NUMBERED.search(foot):
+        return  # no line is carried, none looks like a number
+    for at, (forms, again) in enumerate(_sides(top, foot, marks, rep)):
+        for i, s in enumerate(model.labels(forms, again)):
+            if s == "H" and again[i] or s == "N" and forms[i] in "db":
+                yield (lines - i if at else i + 1), _NAMES[s]
 
 
 def edge_noise(once: DataFrame, files: DataFrame, key: str = "page_hash") -> DataFrame:
     """(key, line_no, noise) of running headers and page numbers of pages read once."""
-    chains, model = _labelled(once, files)
     kind = dict(once.dtypes)["page"]
+    chains, model = _labelled(once, files)
 
     def label(batches):
         for b in batches:
-            ids, lines, noise = [], [], []
-            for i, (rep, os) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                for n, name in _edge_labels(os, set(rep), model):
+            ids, at, noise = [], [], []
+            rep, lines, top, foot, marks = (b.column(i).to_pylist() for i in range(1, 6))
+            for i, x in enumerate(zip(lines, top, foot, marks, rep)):
+                for n, name in _edge_labels(*x, model):
                     ids.append(i)
-                    lines.append(n)
+                    at.append(n)
                     noise.append(name)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(lines, pa.int64()), pa.array(noise, pa.string())], [key, "line_no", "noise"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(at, pa.int64()), pa.array(noise, pa.string())], [key, "line_no", "noise"])
 
-    return chains.select("page", "rep", "os").mapInArrow(label, f"{key} {kind}, line_no bigint, noise string")
+    return chains.mapInArrow(label, f"{key} {kind}, line_no bigint, noise string")
 
 
 def find(pages: DataFrame, files: DataFrame, key: str = "page_hash", text: str = "text") -> DataFrame:
@@ -554,16 +578,16 @@ def running_text(pages: DataFrame, files: DataFrame, key: str = "page_hash", tex
     chains, model = _labelled(once, files)
     readers: list[Reader] = []  # one for each task, as it remembers words
 
-    def rebuild(t, rep, os):
+    def rebuild(t, rep, lines, top, foot, marks):
         if t is None:
             return None
         if not readers:
             readers.append(Reader(*counts.value))
-        drop = {n for n, _ in _edge_labels(os, set(rep), model)} if os is not None else set()
+        drop = {n for n, _ in _edge_labels(lines, top, foot, marks, rep, model)} if lines is not None else set()
         return reassemble(t, drop, readers[0], model)
 
     texts = pages.select(F.col(key).alias("page"), F.col(text).alias("t")).distinct()
-    return texts.join(chains, "page", "left").select(F.col("page").alias(key), F.udf(rebuild, "string", useArrow=True)("t", "rep", "os").alias(text))
+    return texts.join(chains, "page", "left").select(F.col("page").alias(key), F.udf(rebuild, "string", useArrow=True)("t", "rep", "lines", "top", "foot", "marks").alias(text))
 
 
 def body_labels(lines: list[str], drop: set[int], model: Model) -> str:
@@ -586,7 +610,7 @@ def body_labels(lines: list[str], drop: set[int], model: Model) -> str:
             form = "title"
         else:
             form = "prose" if body[-1] in ".,;:!?‐¬-" else "plain"
-        seen.append((form, False))
+        seen.append((_CODE[form], False))
         last = body
     return model.label(seen, "K")
 

@@ -36,8 +36,10 @@ def test_edges_have_no_fixed_depth_and_long_words_are_let_be():
     seen = edge = S.edge_lines(top + body)
     assert [n for side, n, _, form in seen if side == "t" and form == "plain"] == [1, 2, 3, 4, 5]
     model = S.Model()
-    marks = [({"side": side, "line_no": n, "form": form, "mark": n}) for side, n, _, form in edge]
-    assert {n for n, noise in S._edge_labels(marks, {1, 2, 3, 4, 5}, model) if noise == "header"} == {1, 2, 3, 4, 5}
+    top = "".join(S._CODE[form] for side, *_, form in edge if side == "t")
+    foot = "".join(S._CODE[form] for side, *_, form in edge if side == "f")
+    marks = [n if form == "plain" else 0 for _, n, _, form in edge]
+    assert {n for n, noise in S._edge_labels(13, top, foot, marks, [1, 2, 3, 4, 5], model) if noise == "header"} == {1, 2, 3, 4, 5}
     assert S.line_noise("1" + "а" * 100_000 + "-\nб", S.Reader({"аа": 5})) == []
     assert S.edge_lines([""]) == [("t", 1, "", "blank")] and S.Model().label([]) == ""
 
