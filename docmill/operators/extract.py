@@ -43,7 +43,7 @@ CONTEXT = {
 }
 NEAR = 200
 #: Fields whose tax number must have sound check digits.
-CHECKED = ("inn", "supplier_inn", "buyer_inn")
+CHECKED = ("inn", "supplier_inn", "buyer_inn", "payer_inn", "recipient_inn", "seller_inn", "executor_inn", "customer_inn", "party1_inn", "party2_inn")
 
 #: A small table for the papers of the test tables; larger ones come from a configuration file.
 FIELDS = (
@@ -57,9 +57,9 @@ FIELDS = (
 )
 
 
-def fields_from_config(config: dict, checked: tuple[str, ...] | None = None) -> tuple[Field, ...]:
+def fields_from_config(config: dict, checked: tuple[str, ...] = CHECKED) -> tuple[Field, ...]:
     """From a configuration: fields with a list of patterns, or the older single pattern (priority 5, no context
-    words); other shapes are left out. checked: the fields whose check digits count; else inn and all *_inn."""
+    words); other shapes are left out. checked: the fields whose check digits count."""
     out = []
     for name, spec in config.items():
         raw = spec.get("patterns") or ([{"pattern": spec["pattern"]}] if "pattern" in spec else [])
@@ -70,7 +70,7 @@ def fields_from_config(config: dict, checked: tuple[str, ...] | None = None) ->
                 text = text[2:-1]
             pats.append(Pattern(text, p.get("priority", 5), tuple(p.get("context_keywords", ()))))
         if pats:
-            out.append(Field(name, tuple(pats), spec.get("validate", "text"), name in checked if checked is not None else name == "inn" or name.endswith("_inn")))
+            out.append(Field(name, tuple(pats), spec.get("validate", "text"), name in checked))
     return tuple(out)
 
 

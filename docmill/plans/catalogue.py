@@ -202,6 +202,17 @@ def value_parse_float(spark, d):
     return li.select("l_orderkey", "l_linenumber", vl.parse_float(raw).alias("v"))
 
 
+@query(
+    r"""SELECT id, CASE WHEN regexp_full_match(contractor_inn, '[0-9]{10,12}') THEN contractor_inn END AS inn, CASE WHEN regexp_full_match(document_number, '[0-9]{9}') THEN document_number END AS nine, CASE WHEN regexp_full_match(contractor_inn || contractor_inn, '[0-9]{20}') THEN contractor_inn || contractor_inn END AS twenty,
+    nullif(regexp_replace(document_number, '[^0-9]', '', 'g'), '') AS digits, nullif(trim(regexp_replace(contractor_name, '[\s\x{a0}]+', ' ', 'g'), ' '), '') AS text FROM history"""
+)
+def value_parse_digits_and_text(spark, d):
+    p, inn = vl.PARSERS, F.col("contractor_inn")
+    return table(spark, d, "history").select(
+        "id", p["digits_10_12"](inn).alias("inn"), p["digits_9"](F.col("document_number")).alias("nine"), p["digits_20"](F.concat(inn, inn)).alias("twenty"), p["digits"](F.col("document_number")).alias("digits"), p["text"](F.col("contractor_name")).alias("text")
+    )
+
+
 @query(
     r"""SELECT id, document_date AS raw, coalesce(
       strftime(try_strptime(nullif(regexp_extract(document_date, '\d{2}\.\d{2}\.\d{4}'), ''), '%d.%m.%Y'), '%Y-%m-%d'),

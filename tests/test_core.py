@@ -110,8 +110,8 @@ def test_extraction(spark):
     assert extract.resolve([("a", "1", None, 0.9, "long source"), ("a", "2", None, 0.95, "short")])[1] == "1"
     assert [extract.parse_value(k, v)[0] for k, v in (("digits", "№ 12-3"), ("float", "1.234.50"), ("date", "5 февраля 2024"), ("date", "31.02.2024"), ("digits_9", "044 525 225"), ("text", "\xa0а\tб "))] == ["123", None, "2024-02-05", None, "044525225", "а б"]
     assert extract.extract(df.limit(0), "id", "t").count() == 0
-    lifted = extract.fields_from_config({"x_inn": {"pattern": "r'(\\d+)'", "validate": "digits"}})
-    assert lifted[0].patterns[0].pattern == "(\\d+)" and lifted[0].patterns[0].priority == 5 and lifted[0].checked_inn
+    lifted = extract.fields_from_config({"payer_inn": {"pattern": "r'(\\d+)'", "validate": "digits"}, "x_inn": {"pattern": "y"}, "odd": {"regex": "z"}})
+    assert lifted[0].patterns[0].pattern == "(\\d+)" and lifted[0].patterns[0].priority == 5 and [f.checked_inn for f in lifted] == [True, False]
     assert extract.summary(classify.rule_classify(df.select(F.col("id"), F.col("t").alias("text"))), fields, "id").first().documents == 3
     empty = extract.summary(classify.rule_classify(df.limit(0).select(F.col("id"), F.col("t").alias("text"))), fields.limit(0), "id").first()
     assert (empty.documents, empty.score, empty.recommendations) == (0, 0.0, [])
