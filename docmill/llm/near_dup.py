@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from docmill.runtime import cut, prepare, release
 
-MIN_WORDS, WORDS, THRESHOLD = 30, 3, 0.5
+MIN_WORDS, THRESHOLD = 30, 0.5
 #: Probed bits beyond the least number.
 EXTRA = 4
 #: log2 of the counters of bits (least and most) and of words.

@@ -67,8 +67,9 @@ def test_alike_numbers_against_brute_force(spark, monkeypatch, window):
     assert D.alike_numbers(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("pivots", [None, ["", "ааааааа"]])
-def test_radius_join_is_exact(spark, pivots):
+@pytest.mark.parametrize("pivots, compiled", [(None, 64), (["", "ааааааа"], 64), (["", "а", "бб", "ввв", "абв"], 3)])
+def test_radius_join_is_exact(spark, monkeypatch, pivots, compiled):
+    monkeypatch.setattr(N, "COMPILED", compiled)
     rng = random.Random(7)
     words = sorted({"".join(rng.choice("абв") for _ in range(rng.randrange(0, 9))) for _ in range(150)})
     left, right = spark.createDataFrame([(w,) for w in words[::2]], "q string"), spark.createDataFrame([(w,) for w in words], "x string")
