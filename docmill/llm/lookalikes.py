@@ -93,15 +93,18 @@ _CYR = "Ѐ-ԯ"
 _LAT = "A-Za-zÀ-ɏＡ-Ｚａ-ｚ"
 _INV = "".join(map(re.escape, map(chr, INVISIBLE)))
 _IN_WORD = rf"{_CYR}{_LAT}Ͱ-Ͽ̀-ͯ{_INV}"
-#: A word in which both alphabets meet.
-_MIXED = re.compile(rf"(?:(?<=[{_CYR}])[̀-ͯ{_INV}]*[{_LAT}]|(?<=[{_LAT}])[̀-ͯ{_INV}]*[{_CYR}])")
+#: A stretch of Latin letters, and what stands between it and a letter of the other alphabet where both meet in a word.
+_LAT_RUN = re.compile(f"[{_LAT}]+")
+_CYR_AFTER = re.compile(rf"[̀-ͯ{_INV}]*[{_CYR}]")
+_BETWEEN = frozenset([*map(chr, INVISIBLE), *map(chr, range(0x300, 0x370))])
 _WORD = re.compile(rf"[{_IN_WORD}]+")
 #: Words made of look-alikes only. A digit beside makes a code (A4), a degree sign a unit.
-_LAT_ONLY = re.compile(rf"(?<![\w°])[{LATIN}][{LATIN}{_INV}]*(?![\ẁ-ͯ])")
-_CYR_ONLY = re.compile(rf"(?<![\w°])[{CYRILLIC}][{CYRILLIC}{_INV}]*(?![\ẁ-ͯ])")
+_LAT_ONLY = re.compile(rf"[{LATIN}](?<![\w°].)[{LATIN}{_INV}]*(?![\ẁ-ͯ])")
+_CYR_ONLY = re.compile(rf"[{CYRILLIC}](?<![\w°].)[{CYRILLIC}{_INV}]*(?![\ẁ-ͯ])")
 _GREEK = re.compile(f"[{''.join(GREEK)}]")
 _SURE_LAT = re.compile(f"[bdf-hk-nqrtu-wzDFGLNQRU-WZＡ-Ｚａ-ｚ]")
 _SURE_CYR = re.compile("[бвгджзийклмнптфцчшщъыьэюяёБГДЖЗИЙЛПУФЦЧШЩЪЫЬЭЮЯЁ]")
+_A_CYR = re.compile(f"[{_CYR}]")
 _ANY_LAT, _ANY_CYR = re.compile("[A-Za-z]"), re.compile(f"[{_CYR}]")
 #: Characters looked at on either side for the alphabet of a word made of look-alikes only.
 AROUND = 40
@@ -168,8 +171,14 @@ def _words(text: str) -> list[tuple[int, int, str]]:
     has_lat, has_cyr = _ANY_LAT.search(text), _ANY_CYR.search(text)
     chunk = _Chunk(text)
     if has_lat and has_cyr:
-        for m in _MIXED.finditer(text):
-            lo = m.start()
+        runs = [m.span() for m in _LAT_RUN.finditer(text)]
+        for start, end in runs:
+            lo = start
+            while lo > 0 and text[lo - 1] in _BETWEEN:
+                lo -= 1
+            if not (lo > 0 and _A_CYR.match(text, lo - 1)) and not _CYR_AFTER.match(text, end):
+                continue
+            lo = start
             while lo > 0 and _WORD.match(text, lo - 1):
                 lo -= 1
             if lo in found:
@@ -181,10 +190,9 @@ def _words(text: str) -> list[tuple[int, int, str]]:
             if side is None:
                 side = "lat" if len(_ANY_LAT.findall(word)) > len(_ANY_CYR.findall(word)) else "cyr"
             found[lo] = (hi, side)
-        for pattern, other in ((_LAT_ONLY, "cyr"), (_CYR_ONLY, "lat")):
-            if pattern is _CYR_ONLY and len(_SURE_LAT.findall(text)) < 3:
-                continue
-            for m in pattern.finditer(text):
+        alone = [m for start, _ in runs if (m := _LAT_ONLY.match(text, start))]
+        for some, other in ((alone, "cyr"), (_CYR_ONLY.finditer(text) if len(_SURE_LAT.findall(text)) >= 3 else (), "lat")):
+            for m in some:
                 if m.start() not in found and _side(text, m.start(), m.end(), chunk) == other:
                     found[m.start()] = (m.end(), other)
     return [(a, b, t) for a, (b, t) in sorted(found.items())]
