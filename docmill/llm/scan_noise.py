@@ -617,7 +617,7 @@ def body_labels(lines: list[str], drop: set[int], model: Model) -> str:
 
 def reassemble(text: str, drop: set[int], reader: Reader, model: Model | None = None) -> str:
     lines = readable_lines(text)
-    broken = {n for n, k in line_noise(text, reader) if k == "hyphen"}
+    broken = {n for n, k in line_noise(text, reader) if k == "hyphen"}  # soft hyphens are read in another way there
     labels = iter(body_labels(lines, drop, model or Model()))
     paragraphs: list[str] = []
     last, glue = "K", False
@@ -637,8 +637,9 @@ def reassemble(text: str, drop: set[int], reader: Reader, model: Model | None =
         else:
             paragraphs.append(body)
         last, glue = label, n in broken
-    # words are repaired once broken ones are whole
-    return "\n\n".join(_WORD.sub(lambda m: _like(m, reader), p).replace("\n", " ") for p in paragraphs)
+    # words are repaired once broken ones are whole; a line of strings met without misread characters stays
+    fix = lambda line: line if not reader.misread(line.split()) else _WORD.sub(lambda m: _like(m, reader), line)
+    return "\n\n".join(" ".join(map(fix, p.split("\n"))) for p in paragraphs)
 
 
 def _like(m: re.Match, reader: Reader) -> str:
